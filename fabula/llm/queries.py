@@ -12,6 +12,35 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select(F.lit("documents").alias("record_kind"), F.col("doc_id").alias("rec_id"), F.col("lang").alias("label"), "text")
+    arcs = _t(spark, d, "arc_cache").select(F.lit("arc_cache").alias("record_kind"), F.col("novel_id").alias("rec_id"), F.col("_lang").alias("label"), F.col("opening").alias("text"))
+    chapters = _t(spark, d, "chapter").select(F.lit("chapter").alias("record_kind"), F.col("id").alias("rec_id"), F.lit("en").alias("label"), F.col("text_en").alias("text"))
+    return docs.unionByName(arcs).unionByName(chapters).where("text <> ''")
+
+
+def _profile(spark: SparkSession, d: str):
+    from .language import fit, label_column
+
+    docs = _t(spark, d, "documents")
+    return fit(docs.select("doc_id", "text", label_column(docs["lang"]).alias("lang")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of one language of every record whose label is missing or wrong or whose text is mixed."""
+    from .language import label_cases
+
+    return label_cases(_records(spark, d), _profile(spark, d)).select("record_kind", "rec_id", "seg", "lang").distinct()
+
+
+def p1_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language, confidence and place of every stretch of every document."""
+    from .language import language_runs
+
+    docs = _t(spark, d, "documents").select("doc_id", "text").where("text <> ''")
+    return language_runs(docs, _profile(spark, d)).select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*").distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of every chapter text."""
     from .sentences import sentence_spans
