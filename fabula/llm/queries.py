@@ -41,6 +41,21 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return language_runs(docs, _profile(spark, d)).select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*").distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chapters whose Japanese or Chinese text reads the same in different characters."""
+    from .canon import same_reading
+
+    return same_reading(_t(spark, d, "chapter"), "id", ["text_ja", "text_zh"]).distinct()
+
+
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The canonical form of every Japanese and Chinese chapter text, by its length and print."""
+    from .canon import canonical
+
+    texts = _t(spark, d, "chapter").select("id", "text_ja", "text_zh").withColumns({c: canonical(F.col(c)) for c in ("text_ja", "text_zh")})
+    return texts.select("id", *(f(F.col(c)).alias(f"{n}_{c[-2:]}") for c in ("text_ja", "text_zh") for n, f in (("chars", F.length), ("print", F.md5)))).distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of every chapter text."""
     from .sentences import sentence_spans
