@@ -189,7 +189,9 @@ def fit(labelled: DataFrame | None = None, sample: int = 4000, margin: float = 0
     if labelled is None:
         return profile
     key, text, lang = labelled.columns
-    rows = labelled.where(F.col(lang).isin(*LANGS) & F.col(text).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).select(lang, text).collect()
+    fit_for = labelled.where(F.col(lang).isin(*LANGS) & F.col(text).isNotNull())
+    keys = fit_for.select(key).orderBy(F.xxhash64(key), key).limit(sample)  # keys alone: a partition sends the driver ids, not texts
+    rows = fit_for.join(F.broadcast(keys.distinct()), key, "left_semi").dropDuplicates([key]).orderBy(key).select(lang, text).collect()
     for _, clean, spans, label in ((k, t, s, rows[k][0]) for k, t, s, _ in segment_batch([r[1] for r in rows], [r[0] in ("ja", "zh") for r in rows])):
         if not spans:
             continue

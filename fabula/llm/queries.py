@@ -41,6 +41,22 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
     return language_runs(docs, _profile(spark, d)).select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of novels of which at least one is among the five most similar of the other."""
+    from .neighbours import neighbours
+
+    found = neighbours(_t(spark, d, "novel_vector").select("id", "concept"), "id", "concept")
+    return found.select(F.least("id", "match").alias("id_a"), F.greatest("id", "match").alias("id_b")).distinct()
+
+
+def p3_top_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The rebuilt top_matches of every novel whose id is divisible by 20, searched among all novels."""
+    from .neighbours import neighbours
+
+    vectors = _t(spark, d, "novel_vector").select("id", "concept")
+    return neighbours(vectors, "id", "concept", queries=vectors.where("id % 20 = 0").select("id"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chapters whose Japanese or Chinese text reads the same in different characters."""
     from .canon import same_reading
