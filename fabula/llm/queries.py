@@ -80,6 +80,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return df.withColumnRenamed("id", "chapter_id")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    from .leak import leaks
+
+    return leaks(_t(spark, d, "documents"), "doc_id", "text", _t(spark, d, "eval_item").select("item_id", "text"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the test items of whose passage they hold at least half the sentences."""
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_exposed_items(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents expose each test item, and the most sentences that one holds."""
+    return _leaks(spark, d).distinct().groupBy("item_id").agg(F.count("*").alias("documents"), F.max("held").alias("most_held"), F.max("of").alias("sentences"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit()}
 
