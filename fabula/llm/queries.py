@@ -96,6 +96,29 @@ def p7_exposed_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).distinct().groupBy("item_id").agg(F.count("*").alias("documents"), F.max("held").alias("most_held"), F.max("of").alias("sentences"))
 
 
+def _scores(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
+    from .abuse import fit, scores
+
+    docs = _t(spark, d, "documents")
+    return scores(docs, fit(docs.select("doc_id", "text"), _t(spark, d, "doc_label").select("doc_id", "kind")), keep)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual sentences, by kind."""
+    from .abuse import KINDS
+
+    flags = F.array(*[F.when(F.col(k) >= 0.5, F.lit(k)) for k in KINDS])
+    return _scores(spark, d, ["doc_id"]).select("doc_id", F.explode(F.array_compact(flags)).alias("kind")).distinct()
+
+
+def p9_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the documents of each source that hold content of each kind, and their mean scores."""
+    from .abuse import KINDS
+
+    own = _scores(spark, d, ["doc_id", "source"]).distinct().groupBy(F.lower(F.trim("source")).alias("source"))
+    return own.agg(F.count("*").alias("documents"), *[x for k in KINDS for x in (F.avg((F.col(k) >= 0.5).cast("double")).alias(f"{k}_rate"), F.avg(k).alias(f"{k}_score"))])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit()}
 
