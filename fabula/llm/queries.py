@@ -57,6 +57,17 @@ def p3_top_matches(spark: SparkSession, d: str) -> DataFrame:
     return neighbours(vectors, "id", "concept", queries=vectors.where("id % 20 = 0").select("id"))
 
 
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    from .align import align
+
+    return align(_t(spark, d, "chapter").select("id", "text_ja", "text_en"), "id", "text_ja", "text_en", _t(spark, d, "glossary").select("term_en", "term_ja"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the Japanese and English text of a chapter that hold translations of one another."""
+    return _aligned(spark, d).select(F.col("id").alias("chapter_id"), "ja_line", "en_line").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chapters whose Japanese or Chinese text reads the same in different characters."""
     from .canon import same_reading
