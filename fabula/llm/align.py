@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +36,10 @@ _ROWS = {"k": "カキクケコ", "g": "ガギグゲゴ", "s": "サシスセソ",
 _SOUND = {kana: c for c, row in _ROWS.items() for kana in row}
 _SMALL = "ァィゥェォャュョッー"
 _KANA_NAME = re.compile(r"[ァ-ヴー口力二工八夕卜才千三]{2,}")
-_LOANS = 2
+_DROP, _VOWEL, _TWICE = re.compile(r"(?<=[^aeiou])h$|(?<=[^aeiouy])y(?=[aeiou])|[^a-z]"), re.compile(r"[aeiou]|y$"), re.compile(r"(.)\1+")
 _DIGITS = {c: i for i, c in enumerate("〇一二三四五六七八九")} | {"零": 0}
 _NUMBER = re.compile(r"\d+(?:\.\d+)*|[〇零一二三四五六七八九十百千]+")
+_PART = re.compile(r"[\w#]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _WORD = re.compile(r"[A-Za-zÀ-ÿ]+(?:[’'][a-z]+)?|\d+(?:\.\d+)*")
 _REMARK = re.compile(r"^\s*[\[(（]\s*(?:T/?N|TL|Editor|Translator|Note|PR)\b", re.I)
@@ -45,25 +47,26 @@ _REMARK = re.compile(r"^\s*[\[(（]\s*(?:T/?N|TL|Editor|Translator|Note|PR)\b",
 NAME, NUMBER, TERM, LEARNED = 1.5, 3.0, 2.0, 0.9
 
 
+@lru_cache(100_000)
 def kana_sound(word: str) -> str:
     """Consonant skeleton of a katakana word."""
     out = []
     for i, c in enumerate(word):
         if c == "ウ" and word[i + 1 : i + 2] in tuple("ァィェォ"):
             out.append("w")
-        elif c not in _SMALL and (s := _SOUND.get(c)) and (not out or out[-1] != s or True):
+        elif c not in _SMALL and (s := _SOUND.get(c)):
             out.append(s)
-    return re.sub(r"(.)\1+", r"\1", "".join(out))
+    return _TWICE.sub(r"\1", "".join(out))
 
 
+@lru_cache(100_000)
 def latin_sound(word: str) -> str:
     """Consonant skeleton of a name in Latin letters, comparable with that of its kana."""
-    w = re.sub(r"[’'].*$", "", word.lower())
+    w = word.lower().replace("’", "'").split("'")[0]
     for a, b in (("sh", "s"), ("ch", "t"), ("ts", "t"), ("ph", "f"), ("th", "t"), ("x", "ks"), ("c", "k"), ("q", "k"), ("l", "r"), ("v", "b"), ("j", "z")):
         w = w.replace(a, b)
-    w = re.sub(r"(?<=[^aeiou])h$|(?<=[^aeiouy])y(?=[aeiou])|[^a-z]", "", w)
-    w = re.sub(r"[aeiou]|y$", "", w)
-    return re.sub(r"(.)\1+", r"\1", w)
+    w = _DROP.sub("", w)
+    return _TWICE.sub(r"\1", _VOWEL.sub("", w))
 
 
 def kanji_number(text: str) -> str:
@@ -111,8 +114,7 @@ class Reader:
             if sum("ァ" <= c <= "ヴ" for c in m.group()) >= 2 and len(sound := kana_sound(word)) >= 1:
                 anchors["N" + sound] = NAME
         rest = _KANA_NAME.sub("|", _NUMBER.sub("#", s))
-        rest = re.sub(r"[^\w|#]", "|", rest)
-        grams = {rest[i : i + 2] for i in range(len(rest) - 1) if "|" not in rest[i : i + 2] and rest[i : i + 2] != "##"}
+        grams = {x + y for part in _PART.findall(rest) for x, y in zip(part, part[1:])}
         grams.update(m.group() for m in _KANA_NAME.finditer(s) if len(m.group()) >= 3)
         return anchors, sorted(grams)
 
@@ -135,22 +137,28 @@ class Reader:
                 words.add(w.lower())
         return anchors, sorted(words)
 
-    def read(self, ja: str, en: str) -> tuple[list, list]:
-        """([(line, anchors, pieces)], [(line, anchors, words)]) of a document."""
-        out: list = []
-        for text, every, keep in ((ja, True, None), (en, False, None)):
-            lines = [i for i, x in enumerate(text.split("\n")) if x.strip()]
-            number = {i: k + 1 for k, i in enumerate(lines)}
-            rows = []
-            for _, clean, spans, where in segment_batch([text], [every]):
+    def read(self, ja: list[str], en: list[str]) -> Iterator[tuple[list, list]]:
+        """Of each document ([(line, anchors, pieces)], [(line, anchors, words)])."""
+        sides: list = []
+        for texts, every in ((ja, True), (en, False)):
+            rows: list = [[] for _ in texts]
+            for k, clean, spans, where in segment_batch(texts, (every for _ in texts)):
+                text = texts[k]
+                number, at, line = {}, 0, 0
+                for part in text.split("\n"):
+                    if part.strip():
+                        line += 1
+                    number[at] = line
+                    at += len(part) + 1
+                clean = clean if where is not None or clean == text else text
                 for a, b in spans:
-                    at = a if where is None else int(where[a])
-                    rows.append((number.get(text.count("\n", 0, at), 0), self.form(clean[a:b])))
-            out.append(rows)
-        left = [(line, *self.ja(s)) for line, s in out[0]]
-        names = {a for _, anchors, _ in left for a in anchors if a[0] == "N"}
-        right = [(line, *self.en(s, names)) for line, s in out[1] if not _CJK.search(s) and not _REMARK.match(s)]
-        return left, right
+                    first = a if where is None else int(where[a])
+                    rows[k].append((number[text.rfind("\n", 0, first) + 1], clean[a:b]))
+            sides.append(rows)
+        for one, two in zip(*sides):
+            left = [(line, *self.ja(self.form(x))) for line, x in one]
+            names = {a for _, anchors, _ in left for a in anchors if a[0] == "N"}
+            yield left, [(line, *self.en(self.form(x), names)) for line, x in two if not _CJK.search(x) and not _REMARK.match(x)]
 
 
 def anchor_matrix(left: list, right: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,8 +189,8 @@ def _mutual(score: np.ndarray, least: float, lead: float = 0.0) -> list[tuple[in
     for i, j in enumerate(best_j.tolist()):
         if best_i[j] == i and score[i, j] >= least:
             if lead:
-                row, col = np.delete(score[i], j), np.delete(score[:, j], i)
-                if max(row.max(initial=0), col.max(initial=0)) > score[i, j] - lead:
+                edge = score[i, j] - lead
+                if (score[i] > edge).sum() + (score[:, j] > edge).sum() > 2:
                     continue
             out.append((i, j))
     return out
@@ -193,34 +201,31 @@ def learn(docs: DataFrame, ja: str, en: str, glossary: list[tuple[str, str]], pi
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(glossary)
-        pairs: dict[tuple[str, str], int] = {}
+        pairs: dict[str, dict[str, int]] = {}
 
         def flush() -> pa.RecordBatch:
-            keys = list(pairs)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([pairs[k] for k in keys], pa.int64())], ["f", "e", "n"])
+            keys = [(f, e, n) for f, row in pairs.items() for e, n in row.items()]
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int64())], ["f", "e", "n"])
             pairs.clear()
             return out
 
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                left, right = reader.read(a, b)
+            for left, right in reader.read(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shared, wl, wr = anchor_matrix(left, right)
                 if not shared.size:
                     continue
                 score = 2 * shared / np.maximum(wl[:, None] + wr[None, :], 1)
                 score[shared < 3] = 0
                 for i, j in _mutual(score, 0.6, 0.15):
-                    words = right[j][2]
-                    for f in left[i][2]:
+                    words = [*right[j][2], ""]
+                    for f in [*left[i][2], ""]:
+                        row = pairs.get(f)
+                        if row is None:
+                            row = pairs[f] = {}
                         for e in words:
-                            pairs[f, e] = pairs.get((f, e), 0) + 1
-                    for f in left[i][2]:
-                        pairs[f, ""] = pairs.get((f, ""), 0) + 1
-                    for e in words:
-                        pairs["", e] = pairs.get(("", e), 0) + 1
-                    pairs["", ""] = pairs.get(("", ""), 0) + 1
-                if len(pairs) > 400_000:
-                    yield flush()
+                            row[e] = row.get(e, 0) + 1
+            if len(pairs) > 20_000:
+                yield flush()
         yield flush()
 
     counts = docs.select(ja, en).mapInArrow(count, "f string, e string, n long").groupBy("f", "e").agg(F.sum("n").alias("n")).where("n >= 2")
@@ -267,6 +272,11 @@ def align_document(left: list, right: list, table: dict, weight: dict, least: fl
     top = 2 * shared + 2 * learned
     down = wl[:, None] + wr[None, :] + full[None, :] + np.maximum(base[:, None], learned)
     score = top / np.maximum(down, 1e-9)
+    numbers = [[{a for a in anchors if a[0] == "#"} for _, anchors, _ in side] for side in (left, right)]
+    for i, a in enumerate(numbers[0]):
+        for j, b in enumerate(numbers[1]):
+            if a and b and not a & b:  # both count something, and not the same
+                score[i, j] -= 0.35
     pairs = _mutual(score, least)
     found = {(i, j): float(score[i, j]) for i, j in pairs}
     # What is left goes on among itself, more carefully.
@@ -310,8 +320,7 @@ def align(docs: DataFrame, key: str, ja: str, en: str, glossary: DataFrame, most
         reader = Reader(glossary_terms)
         for batch in batches:
             at, jl, el, sc = [], [], [], []
-            for k, (a, b) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                left, right = reader.read(a, b)
+            for k, (left, right) in enumerate(reader.read(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 lines: dict[tuple[int, int], float] = {}
                 for i, j, s in align_document(left, right, table, weight):
                     p = (left[i][0], right[j][0])
