@@ -107,6 +107,29 @@ def p7_exposed_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).distinct().groupBy("item_id").agg(F.count("*").alias("documents"), F.max("held").alias("most_held"), F.max("of").alias("sentences"))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    from .mix import token_counts
+
+    docs = _t(spark, d, "documents").select("doc_id", "source", "text")
+    return token_counts(docs, "text", str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: every taken document with its pass, block, release time and deadline."""
+    from .mix import schedule
+
+    return schedule(_sized(spark, d), _t(spark, d, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached shares of the mixture per source."""
+    from .mix import report
+
+    return report(_sized(spark, d), _t(spark, d, "mix_target"))
+
+
 def _scores(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
     from .abuse import fit, scores
 
