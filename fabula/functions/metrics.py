@@ -75,7 +75,7 @@ def temporal_complexity(c: Column, lang: str) -> Column:
     """2.5 times the variance of the share of past forms over paragraphs, plus markers of time per sentence."""
     if lang == "en":
         markers = F.regexp_count(F.lower(c), F.lit("\\b(?:" + "|".join(W.EN_TIME_MARKERS) + ")\\b"))
-        past, present = (lambda p, x=x: F.regexp_count(F.lower(p), F.lit(f"\\b(?:{x})\\b")) for x in (W.EN_PAST, W.EN_PRESENT))
+        past, present = (lambda p, x=x: _matching(words(p), f"^(?:{x})$") for x in (W.EN_PAST, W.EN_PRESENT))
         shares = F.transform(paragraphs(c), lambda p: past(p) / F.greatest(F.lit(1), past(p) + present(p)))
     else:
         markers = count_part(c, W.JA_TIME_MARKERS if lang == "ja" else W.ZH_TIME_MARKERS)

@@ -80,14 +80,18 @@ def softmax2(a: Column, b: Column, temperature: float = 8.0) -> Column:
 
 
 def match_percent(distance: Column, k: float) -> Column:
-    return clip(F.bround(100 - F.abs(distance) * k), 0, 100).cast("int")
+    return clip(F.bround(F.round(100 - F.abs(distance) * k, 6)), 0, 100).cast("int")
+
+
+def _times(w: float):
+    return lambda x: x * w
 
 
 def pool(vectors: list[Column], weights: list[float]) -> Column:
     """Weighted sum of vectors."""
-    out = F.transform(vectors[0], lambda x: x * weights[0])
+    out = F.transform(vectors[0], _times(weights[0]))
     for v, w in zip(vectors[1:], weights[1:]):
-        out = F.zip_with(out, v, lambda x, y, w=w: x + y * w)
+        out = F.zip_with(out, F.transform(v, _times(w)), lambda x, y: x + y)
     return out
 
 

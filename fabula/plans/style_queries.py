@@ -144,7 +144,7 @@ for _lang in LANGS:
     QUERIES[f"f_time_{_lang}"] = per_text(_lang, lambda t, k: dict(temporal_shift_score=r9(M.temporal_complexity(t, k))))
     if _lang == "en":
         _mark = s_count("lower(t)", "\\b(?:" + "|".join(W.EN_TIME_MARKERS) + ")\\b")
-        _past, _pres = (s_count("lower(x)", f"\\b(?:{p})\\b") for p in (W.EN_PAST, W.EN_PRESENT))
+        _past, _pres = (f"len(list_filter({s_words('x')}, lambda y: regexp_matches(y, {q(f'^(?:{p})$')})))" for p in (W.EN_PAST, W.EN_PRESENT))
         _share = f"CAST({_past} AS DOUBLE) / greatest(1, {_past} + {_pres})"
     else:
         _mark = s_count_parts("t", W.JA_TIME_MARKERS if _lang == "ja" else W.ZH_TIME_MARKERS)
