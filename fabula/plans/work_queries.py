@@ -332,14 +332,14 @@ _WORKS = """n AS (SELECT DISTINCT * FROM novel), w AS (SELECT n.id, list_filter(
     list_distinct(list_filter(list_transform(string_split(lower(coalesce(tags, '')), ','), lambda x: trim(x)), lambda x: x <> '')) AS t, coalesce(lower(territory), 'unknown') AS terr,
     coalesce(v.vector, [0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5]) AS s, CASE WHEN v.concept IS NULL OR len(list_filter(v.concept, lambda x: isnan(x) OR x IS NULL)) > 0 THEN NULL ELSE CAST(v.concept AS DOUBLE[]) END AS c
     FROM n LEFT JOIN (SELECT DISTINCT ON (id) id, vector, concept FROM novel_vector) v ON v.id = n.id), x AS (SELECT *, sqrt(list_sum(list_transform(s, lambda y: y * y))) AS ns, sqrt(coalesce(list_sum(list_transform(c, lambda y: y * y)), 0)) AS nc,
-    coalesce(g[1], '') AS p, list_distinct(g) AS gs FROM w), pr AS (SELECT a.id, b.id AS match, a.p AS ap, b.p AS bp, a.gs AS ag, b.gs AS bg, a.t AS at, b.t AS bt, a.terr AS ar, b.terr AS br,
+    coalesce(g[1], '') AS p, list_distinct(g) AS gs FROM w), pr AS (SELECT a.id, b.id AS match, a.p AS ap, b.p AS bp, a.gs AS ag, b.gs AS bg, a.t AS tags_a, b.t AS tags_b, a.terr AS ar, b.terr AS br,
     list_dot_product(a.s, b.s) / (a.ns * b.ns + 1e-9) AS cos8, list_avg(list_transform(list_zip(a.s, b.s), lambda z: abs(z[1] - z[2]))) AS l1,
     CASE WHEN a.nc > 1e-9 AND b.nc > 1e-9 THEN least(greatest(list_dot_product(a.c, b.c) / (a.nc * b.nc), 0.0), 1.0) ELSE 0.40 END AS sem FROM x a JOIN x b ON a.id <> b.id WHERE a.id % 20 = 0)"""
-_ONLINE = """f0 AS (SELECT *, len(list_intersect(ag, bg)) AS gi, len(list_intersect(at, bt)) AS ti FROM pr),
+_ONLINE = """f0 AS (SELECT *, len(list_intersect(ag, bg)) AS gi, len(list_intersect(tags_a, tags_b)) AS ti FROM pr),
     f1 AS (SELECT *, gi / greatest(1, len(ag) + len(bg) - gi) AS gj, 0.6 * (CASE WHEN ap <> '' AND list_contains(bg, ap) THEN 0.5 WHEN gi > 0 THEN 0.25 ELSE 0.0 END) + 0.4 * cos8 AS rough FROM f0),
     f2 AS (SELECT *, CASE WHEN ap <> '' AND ap = bp THEN 0.85 + 0.15 * gj WHEN ap <> '' AND list_contains(bg, ap) THEN 0.60 + 0.25 * gj WHEN len(ag) > 0 AND len(bg) > 0 THEN 0.20 * gj ELSE 0.40 END AS genre
     FROM f1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(rough, 12) DESC, match) <= 40),
-    f3 AS (SELECT *, CASE WHEN len(at) > 0 AND len(bt) > 0 THEN ti / greatest(1, len(at) + len(bt) - ti) ELSE 0.80 * genre END AS tag,
+    f3 AS (SELECT *, CASE WHEN len(tags_a) > 0 AND len(tags_b) > 0 THEN ti / greatest(1, len(tags_a) + len(tags_b) - ti) ELSE 0.80 * genre END AS tag,
     CASE WHEN ar = 'unknown' OR br = 'unknown' THEN 0.50 WHEN ar = br THEN 1.0 WHEN contains(ar, br) OR contains(br, ar) THEN 0.60 ELSE 0.20 END AS terr FROM f2)"""
 _BATCH = """f3 AS (SELECT *, CASE WHEN ap <> '' AND ap = bp THEN 0.90 ELSE 0.40 END AS genre, 0.8 * (CASE WHEN ap <> '' AND ap = bp THEN 0.90 ELSE 0.40 END) AS tag,
     CASE WHEN ar <> 'unknown' AND ar = br THEN 1.0 ELSE 0.50 END AS terr FROM pr)"""
