@@ -20,7 +20,9 @@ nothing; repeated documents count once in the distinct result.
 
 from __future__ import annotations
 
+import marshal
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
 from .canon import _TO_KANA, former
 from .sentences import segment_batch
 
@@ -42,6 +45,8 @@ _NUMBER = re.compile(r"\d+(?:\.\d+)*|[〇零一二三四五六七八九十百千
 _PART = re.compile(r"[\w#]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _WORD = re.compile(r"[A-Za-zÀ-ÿ]+(?:[’'][a-z]+)?|\d+(?:\.\d+)*")
+#: Words that go with everything and tell nothing.
+_COMMON = frozenset("the of and to in on at by for was were had has have who that would not out but nor than from with without".split())
 _REMARK = re.compile(r"^\s*[\[(（]\s*(?:T/?N|TL|Editor|Translator|Note|PR)\b", re.I)
 #: Weights of the anchors.
 NAME, NUMBER, TERM, LEARNED = 1.5, 3.0, 2.0, 0.9
@@ -114,7 +119,7 @@ class Reader:
             if sum("ァ" <= c <= "ヴ" for c in m.group()) >= 2 and len(sound := kana_sound(word)) >= 1:
                 anchors["N" + sound] = NAME
         rest = _KANA_NAME.sub("|", _NUMBER.sub("#", s))
-        grams = {x + y for part in _PART.findall(rest) for x, y in zip(part, part[1:])}
+        grams = {x + y for part in _PART.findall(rest) for x, y in zip(part, part[1:]) if not ("ぁ" <= x <= "ゖ" and "ぁ" <= y <= "ゖ")}
         grams.update(m.group() for m in _KANA_NAME.finditer(s) if len(m.group()) >= 3)
         return anchors, sorted(grams)
 
@@ -133,32 +138,38 @@ class Reader:
                     anchors[sound] = NAME
                 else:
                     words.add(w.lower())
-            elif len(w) > 1 or w == "I":
-                words.add(w.lower())
-        return anchors, sorted(words)
+            elif len(w) > 2:
+                words.add(w)
+        return anchors, sorted(words - _COMMON)
 
     def read(self, ja: list[str], en: list[str]) -> Iterator[tuple[list, list]]:
         """Of each document ([(line, anchors, pieces)], [(line, anchors, words)])."""
         sides: list = []
         for texts, every in ((ja, True), (en, False)):
             rows: list = [[] for _ in texts]
-            for k, clean, spans, where in segment_batch(texts, (every for _ in texts)):
-                text = texts[k]
+            texts = [t if t.isascii() else self.form(t) for t in texts]  # line breaks keep their places
+            for k, text, spans, _ in segment_batch(texts, (every for _ in texts)):
                 number, at, line = {}, 0, 0
                 for part in text.split("\n"):
                     if part.strip():
                         line += 1
                     number[at] = line
                     at += len(part) + 1
-                clean = clean if where is not None or clean == text else text
                 for a, b in spans:
-                    first = a if where is None else int(where[a])
-                    rows[k].append((number[text.rfind("\n", 0, first) + 1], clean[a:b]))
+                    rows[k].append((number[text.rfind("\n", 0, a) + 1], text[a:b]))
             sides.append(rows)
         for one, two in zip(*sides):
-            left = [(line, *self.ja(self.form(x))) for line, x in one]
+            left = [(line, *self.ja(x)) for line, x in one]
             names = {a for _, anchors, _ in left for a in anchors if a[0] == "N"}
-            yield left, [(line, *self.en(self.form(x), names)) for line, x in two if not _CJK.search(x) and not _REMARK.match(x)]
+            yield left, [(line, *self.en(x, names)) for line, x in two if not _CJK.search(x) and not _REMARK.match(x)]
+
+
+def pack(left: list, right: list) -> bytes:
+    return zlib.compress(marshal.dumps((left, right)), 1)
+
+
+def unpack(blob: bytes) -> tuple[list, list]:
+    return marshal.loads(zlib.decompress(blob))
 
 
 def anchor_matrix(left: list, right: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,11 +207,10 @@ def _mutual(score: np.ndarray, least: float, lead: float = 0.0) -> list[tuple[in
     return out
 
 
-def learn(docs: DataFrame, ja: str, en: str, glossary: list[tuple[str, str]], pieces: int = 20_000, best: int = 8) -> tuple[dict, dict]:
+def learn(read: DataFrame, pieces: int = 20_000, best: int = 8) -> tuple[dict, dict]:
     """(piece -> {word: probability}, word -> weight) counted over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(glossary)
         pairs: dict[str, dict[str, int]] = {}
 
         def flush() -> pa.RecordBatch:
@@ -210,7 +220,8 @@ def learn(docs: DataFrame, ja: str, en: str, glossary: list[tuple[str, str]], pi
             return out
 
         for batch in batches:
-            for left, right in reader.read(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for blob in batch.column(0).to_pylist():
+                left, right = unpack(blob)
                 shared, wl, wr = anchor_matrix(left, right)
                 if not shared.size:
                     continue
@@ -228,7 +239,7 @@ def learn(docs: DataFrame, ja: str, en: str, glossary: list[tuple[str, str]], pi
                 yield flush()
         yield flush()
 
-    counts = docs.select(ja, en).mapInArrow(count, "f string, e string, n long").groupBy("f", "e").agg(F.sum("n").alias("n")).where("n >= 2")
+    counts = read.select("read").mapInArrow(count, "f string, e string, n long").groupBy("f", "e").agg(F.sum("n").alias("n")).where("n >= 2")
     counts = counts.persist()
     ones = counts.where("e = '' OR f = ''")
     total = next((r["n"] for r in ones.where("e = '' AND f = ''").collect()), 0)
@@ -312,15 +323,26 @@ def align(docs: DataFrame, key: str, ja: str, en: str, glossary: DataFrame, most
         raise ValueError(f"more than {most} glossary terms")
     terms.sort(key=lambda t: (t[0] or "", t[1] or ""))
     both = docs.where((F.length(F.trim(ja)) > 0) & (F.length(F.trim(en)) > 0)).select(key, ja, en)
-    model = docs.sparkSession.sparkContext.broadcast((terms, *learn(both, ja, en, terms)))
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(terms)
     kind = docs.schema[key].dataType.simpleString()
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(sent.value)
+        for batch in batches:
+            blobs = [pack(left, right) for left, right in reader.read(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], [key, "read"])
+
+    # The documents are read once; what the two passes need of them is kept, not the texts.
+    features = cut(both.mapInArrow(read, f"`{key}` {kind}, read binary"))
+    model = context.broadcast(learn(features))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        glossary_terms, table, weight = model.value
-        reader = Reader(glossary_terms)
+        table, weight = model.value
         for batch in batches:
             at, jl, el, sc = [], [], [], []
-            for k, (left, right) in enumerate(reader.read(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            for k, blob in enumerate(batch.column(1).to_pylist()):
+                left, right = unpack(blob)
                 lines: dict[tuple[int, int], float] = {}
                 for i, j, s in align_document(left, right, table, weight):
                     p = (left[i][0], right[j][0])
@@ -332,4 +354,4 @@ def align(docs: DataFrame, key: str, ja: str, en: str, glossary: DataFrame, most
                     sc.append(round(s, 4))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(jl, pa.int32()), pa.array(el, pa.int32()), pa.array(sc, pa.float64())], [key, "ja_line", "en_line", "score"])
 
-    return both.mapInArrow(run, f"`{key}` {kind}, ja_line int, en_line int, score double")
+    return features.mapInArrow(run, f"`{key}` {kind}, ja_line int, en_line int, score double")
