@@ -95,12 +95,9 @@ class Reader:
     def __init__(self, glossary: list[tuple[str, str]]):
         self.form = former(False)
         self.ja_terms, self.en_terms = {}, {}
-        names = set()
         for k, (en, ja) in enumerate(glossary):
             if en and ja:
-                key = f"T{k}"
-                if en[:1].isupper():  # a name: its own sound and the glossary's
-                    names.add(key)
+                key = f"{'P' if en[:1].isupper() else 'T'}{k}"  # a name or a thing
                 self.ja_terms.setdefault(self.form(ja), key)
                 self.en_terms.setdefault(en.lower(), self.ja_terms[self.form(ja)])
         self.ja_re = re.compile("|".join(re.escape(t) for t in sorted(self.ja_terms, key=len, reverse=True)) or r"(?!)")
@@ -283,11 +280,12 @@ def align_document(left: list, right: list, table: dict, weight: dict, least: fl
     top = 2 * shared + 2 * learned
     down = wl[:, None] + wr[None, :] + full[None, :] + np.maximum(base[:, None], learned)
     score = top / np.maximum(down, 1e-9)
-    numbers = [[{a for a in anchors if a[0] == "#"} for _, anchors, _ in side] for side in (left, right)]
-    for i, a in enumerate(numbers[0]):
-        for j, b in enumerate(numbers[1]):
-            if a and b and not a & b:  # both count something, and not the same
-                score[i, j] -= 0.35
+    for kind, penalty in (("#", 0.35), ("T", 0.2)):  # both count something, or name some thing, and not the same
+        sides = [[{a for a in anchors if a[0] == kind} for _, anchors, _ in side] for side in (left, right)]
+        for i, a in enumerate(sides[0]):
+            for j, b in enumerate(sides[1]):
+                if a and b and not a & b:
+                    score[i, j] -= penalty
     pairs = _mutual(score, least)
     found = {(i, j): float(score[i, j]) for i, j in pairs}
     # What is left goes on among itself, more carefully.
