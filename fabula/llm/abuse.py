@@ -62,6 +62,9 @@ class Words:
         self.memo: dict[str, tuple[str, int]] = {}
 
     def _plain(self, word: str) -> tuple[str, int]:
+        if _LONG.search(word):
+            once, twice = _LONG.sub(r"\1", word), _LONG.sub(r"\1\1", word)
+            return self._plain(twice if twice in self.known and once not in self.known else once)[0], 1
         if not _MASK.search(word) or word.isdigit():
             return word.replace("’", "'"), 0
         if re.fullmatch(r"\d+[^\W\d]{0,3}", word):
@@ -88,10 +91,8 @@ class Words:
             text, w = _SPACED_WIDE.subn(lambda m: re.sub(r"[ .*・\-_•]", "", m.group()), text)
             odd += n + w
         caps = sum(1 for c in text if "A" <= c <= "Z") if not text.islower() else 0
-        text, n = _LONG.subn(r"\1", text.lower())
-        odd += n
         out = []
-        for t in _TOKEN.findall(text):
+        for t in _TOKEN.findall(text.lower()):
             got = self.memo.get(t)
             if got is None:
                 if len(self.memo) > 200_000:

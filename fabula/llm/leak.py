@@ -71,7 +71,7 @@ def best_place(pattern: list[str], text: list[str]) -> int:
     return best
 
 
-class TestIndex:
+class ItemIndex:
     """Inverted index of test sentences with block maxima."""
 
     def __init__(self, items: list[tuple[int, str]], k1: float = 1.2, b: float = 0.75):
@@ -143,7 +143,7 @@ def allowed(toks: list[str]) -> int:
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, share: float = 0.5, threshold: float = 0.55, most: int = 200_000) -> DataFrame:
     """(key, item_id, held, of): documents and the items whose passage they hold by at least ``share``; ``items`` has the columns (id, text)."""
     rows = sorted({(r[0], r[1]) for r in items.collect() if r[0] is not None}, key=lambda r: (r[0], r[1] or ""))
-    index = TestIndex(rows)
+    index = ItemIndex(rows)
     if len(index.toks) > most:
         raise ValueError(f"more than {most} test sentences")
     sent = docs.sparkSession.sparkContext.broadcast(index)
