@@ -94,14 +94,15 @@ class Reader:
 
     def __init__(self, glossary: list[tuple[str, str]]):
         self.form = former(False)
-        self.ja_terms, self.en_terms = {}, {}
+        self.ja_names, self.en_names, self.ja_things, self.en_things = {}, {}, {}, {}
         for k, (en, ja) in enumerate(glossary):
             if en and ja:
-                key = f"{'P' if en[:1].isupper() else 'T'}{k}"  # a name or a thing
-                self.ja_terms.setdefault(self.form(ja), key)
-                self.en_terms.setdefault(en.lower(), self.ja_terms[self.form(ja)])
-        self.ja_re = re.compile("|".join(re.escape(t) for t in sorted(self.ja_terms, key=len, reverse=True)) or r"(?!)")
-        self.en_re = re.compile(r"\b(?:" + "|".join(re.escape(t) for t in sorted(self.en_terms, key=len, reverse=True)) + r")\b") if self.en_terms else re.compile(r"(?!)")
+                ja, name = self.form(ja), en[:1].isupper() and " " not in en and bool(_KANA_NAME.fullmatch(self.form(ja)))
+                key = (self.ja_names if name else self.ja_things).setdefault(ja, f"{'P' if name else 'T'}{k}")
+                (self.en_names if name else self.en_things).setdefault(en.lower(), key)
+        any_of = lambda terms: "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True)) or r"(?!)"
+        self.ja_re = re.compile(f"(?=[{re.escape(''.join(sorted({t[0] for t in self.ja_things})))}])(?:{any_of(self.ja_things)})" if self.ja_things else r"(?!)")
+        self.en_re = re.compile(rf"\b(?:{any_of(self.en_things)})\b")
 
     def ja(self, s: str) -> tuple[dict[str, float], list[str]]:
         anchors: dict[str, float] = {}
@@ -110,9 +111,11 @@ class Reader:
             if m.group()[0].isdigit() or len(n) > 1:
                 anchors["#" + n] = NUMBER
         for m in self.ja_re.finditer(s):
-            anchors[self.ja_terms[m.group()]] = TERM
+            anchors[self.ja_things[m.group()]] = TERM
         for m in _KANA_NAME.finditer(s):
             word = m.group().translate(_TO_KANA)
+            if (key := self.ja_names.get(word)) is not None:
+                anchors[key] = TERM
             if sum("ァ" <= c <= "ヴ" for c in m.group()) >= 2 and len(sound := kana_sound(word)) >= 1:
                 anchors["N" + sound] = NAME
         rest = _KANA_NAME.sub("|", _NUMBER.sub("#", s))
@@ -123,13 +126,15 @@ class Reader:
     def en(self, s: str, names: set[str]) -> tuple[dict[str, float], list[str]]:
         anchors: dict[str, float] = {}
         for m in self.en_re.finditer(s.lower()):
-            anchors[self.en_terms[m.group()]] = TERM
+            anchors[self.en_things[m.group()]] = TERM
         words = set()
         for i, m in enumerate(_WORD.finditer(s)):
             w = m.group()
             if w[0].isdigit():
                 anchors["#" + w.rstrip(".")] = NUMBER
             elif w[0].isupper() and len(w) > 1:
+                if (key := self.en_names.get(w.lower())) is not None:
+                    anchors[key] = TERM
                 sound = "N" + latin_sound(w)
                 if sound in names or (i and len(sound) > 2 and not w.isupper()):
                     anchors[sound] = NAME

@@ -281,7 +281,7 @@ def segment_batch(texts: Iterable[str | None], every_line: Iterable[bool]) -> It
             text = INVISIBLE.sub("", text)
         if "„" in text:
             text = re.sub("„([^„“”]*)“", "„\\1”", text)
-        obs, ends = [], []
+        obs, ends, goes_on = [], [], {}
         if not every and (m := _HEADING.match(text)):
             obs.append(_CODE["line"])
             ends.append(m.end())
@@ -289,10 +289,14 @@ def segment_batch(texts: Iterable[str | None], every_line: Iterable[bool]) -> It
             code = _CODE.get(m.lastgroup)
             if code is not None:
                 obs.append(code)
-                ends.append(m.start() if code == 0 and m.start() else m.end())
-        kept.append((k, text, ends, where))
+                if code == 0 and m.start():  # lines without a letter belong to no sentence
+                    goes_on[len(ends)] = m.end()
+                    ends.append(m.start())
+                else:
+                    ends.append(m.end())
+        kept.append((k, text, ends, goes_on, where))
         sequences.append(np.asarray(obs, np.int64))
-    for (k, text, ends, where), path in zip(kept, viterbi(sequences)):
+    for (k, text, ends, goes_on, where), path in zip(kept, viterbi(sequences)):
         spans, a = [], 0
         for t in np.flatnonzero(path == END).tolist():
             b = ends[t]
@@ -301,7 +305,7 @@ def segment_batch(texts: Iterable[str | None], every_line: Iterable[bool]) -> It
                 left = piece.lstrip()
                 a += len(piece) - len(left)
                 spans.append((a, a + len(left.rstrip())))
-            a = b
+            a = goes_on.get(t, b)
         piece = text[a:]
         if _WORD.search(piece):
             left = piece.lstrip()
