@@ -23,6 +23,7 @@ from __future__ import annotations
 import marshal
 import re
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -120,7 +121,6 @@ class Reader:
                 anchors["N" + sound] = NAME
         rest = _KANA_NAME.sub("|", _NUMBER.sub("#", s))
         grams = {x + y for part in _PART.findall(rest) for x, y in zip(part, part[1:]) if not ("ぁ" <= x <= "ゖ" and "ぁ" <= y <= "ゖ")}
-        grams.update(m.group() for m in _KANA_NAME.finditer(s) if len(m.group()) >= 3)
         return anchors, sorted(grams)
 
     def en(self, s: str, names: set[str]) -> tuple[dict[str, float], list[str]]:
@@ -213,7 +213,7 @@ def learn(read: DataFrame, pieces: int = 20_000, best: int = 8) -> tuple[dict, d
     """(piece -> {word: probability}, word -> weight) counted over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: dict[str, dict[str, int]] = {}
+        pairs: defaultdict[str, Counter] = defaultdict(Counter)
 
         def flush() -> pa.RecordBatch:
             keys = [(f, e, n) for f, row in pairs.items() for e, n in row.items()]
@@ -231,12 +231,9 @@ def learn(read: DataFrame, pieces: int = 20_000, best: int = 8) -> tuple[dict, d
                 score[shared < 3] = 0
                 for i, j in _mutual(score, 0.6, 0.15):
                     words = [*right[j][2], ""]
-                    for f in [*left[i][2], ""]:
-                        row = pairs.get(f)
-                        if row is None:
-                            row = pairs[f] = {}
-                        for e in words:
-                            row[e] = row.get(e, 0) + 1
+                    for f in left[i][2]:
+                        pairs[f].update(words)
+                    pairs[""].update(words)
             if len(pairs) > 20_000:
                 yield flush()
         yield flush()

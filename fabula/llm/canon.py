@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -41,16 +40,11 @@ _TO_LATIN = {ord(p[0]): p[1] for p in LATIN_ALIKE}
 _TO_KANA = {ord(c): f[0] for f in KANA_ALIKE for c in f[1:]}
 
 
-def _unstable(extra: str) -> str:
-    """Character class of all that the form may change."""
+def _ranges(keep: Callable[[str], bool]) -> str:
+    """Character class of the characters of the basic plane that ``keep`` holds."""
     ranges: list[list[int]] = []
-    for c in range(sys.maxunicode + 1):
-        if 0xD800 <= c <= 0xDFFF:
-            continue
-        ch = chr(c)
-        if c < 0x80 and c not in (9, 11, 12, 13) and ch not in extra:
-            continue
-        if ch in extra or unicodedata.combining(ch) or not unicodedata.is_normalized("NFKC", ch) or _INVISIBLE.match(ch) or (ch.isspace() and ch not in "\n ") or c in _TO_LATIN or 0x1160 <= c <= 0x11FF:
+    for c in range(0x10000):
+        if not 0xD800 <= c <= 0xDFFF and keep(chr(c)):
             if ranges and ranges[-1][1] == c - 1:
                 ranges[-1][1] = c
             else:
@@ -58,13 +52,32 @@ def _unstable(extra: str) -> str:
     return "[" + "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in ranges) + "]"
 
 
-_RUNS: dict[bool, re.Pattern] = {}
+def _joins(ch: str) -> bool:
+    """Whether the character may compose with the one before it."""
+    return unicodedata.combining(ch) != 0 or ch in "ﾞﾟ" or 0x1160 <= ord(ch) <= 0x11FF
 
 
-def _runs(compare: bool) -> re.Pattern:
-    """The unstable segments with one character of context before; halfwidth kana stay with their voicing marks."""
+def _changes(extra: str) -> Callable[[str], bool]:
+    """Whether the form may change the character."""
+    def keep(ch: str) -> bool:
+        if ch < "\x80":
+            return ch in extra or ch in "\t\v\f\r"
+        return ch in extra or _joins(ch) or not unicodedata.is_normalized("NFKC", ch) or bool(_INVISIBLE.match(ch)) or (ch.isspace() and ch != "\n") or ord(ch) in _TO_LATIN
+
+    return keep
+
+
+_RUNS: dict[bool, tuple[re.Pattern, re.Pattern, re.Pattern]] = {}
+
+
+def _runs(compare: bool) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """Patterns of a joining character, of the unstable segments, and of those with one character of context before.
+
+    Characters beyond the basic plane all count as unstable; most of them come back as they are.
+    """
     if compare not in _RUNS:
-        _RUNS[compare] = re.compile(r"[^\n]?" + _unstable("".join(f[1:] for f in KANA_ALIKE) if compare else "") + "+")
+        one = f"(?:{_ranges(_changes(''.join(f[1:] for f in KANA_ALIKE) if compare else ''))}|[\U00010000-\U0010ffff])+"
+        _RUNS[compare] = (re.compile(_ranges(_joins)), re.compile(one), re.compile(r"[^\n]?" + one))
     return _RUNS[compare]
 
 
@@ -80,7 +93,7 @@ _FOREIGN = re.compile("[Ͱ-ϿЀ-ӿ]{2,}")
 def former(compare: bool = True) -> Callable[[str], str]:
     """The function that brings one text to its skeleton (``compare``) or to its canonical form."""
     known: dict[str, str] = {}
-    runs = _runs(compare)
+    joining, alone, with_context = _runs(compare)
 
     def one(m: re.Match) -> str:
         piece = m.group()
@@ -96,8 +109,8 @@ def former(compare: bool = True) -> Callable[[str], str]:
             text = text.replace("\r\n", "\n").replace("\r", "\n")
         if not compare and _FOREIGN.search(text):  # words of that script: its letters are no look-alikes there
             return unicodedata.normalize("NFKC", _SPACE.sub(" ", _INVISIBLE.sub("", text)))
-        # a segment that begins with a stable starter and is composed alone may still meet a mark of the next one; there is none, runs are maximal
-        return runs.sub(one, text)
+        # Runs are maximal, so no mark of a next segment can meet this one; where nothing can join, no context is needed either.
+        return (with_context if joining.search(text) else alone).sub(one, text)
 
     return form
 
