@@ -210,7 +210,7 @@ def _mutual(score: np.ndarray, least: float, lead: float = 0.0) -> list[tuple[in
 
 
 def learn(read: DataFrame, pieces: int = 20_000, best: int = 8) -> tuple[dict, dict]:
-    """(piece -> {word: probability}, word -> weight) counted over all documents."""
+    """(piece -> [(word, probability)], word -> weight) counted over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: defaultdict[str, Counter] = defaultdict(Counter)
@@ -247,10 +247,10 @@ def learn(read: DataFrame, pieces: int = 20_000, best: int = 8) -> tuple[dict, d
     ranked = counts.where("e <> '' AND f <> ''").join(F.broadcast(frequent), "f").join(F.broadcast(ones.where("f = '' AND e <> ''").orderBy(F.desc("n"), "e").limit(pieces).select("e", F.col("n").alias("ne"))), "e")
     # The Dice value keeps rare coincidences and words that go with everything down.
     ranked = ranked.withColumn("dice", 2 * F.col("n") / (F.col("nf") + F.col("ne"))).withColumn("r", F.row_number().over(Window.partitionBy("f").orderBy(F.desc("dice"), "e"))).where(F.col("r") <= best)
-    table: dict[str, dict[str, float]] = {}
+    table: dict[str, list[tuple[str, float]]] = {}
     for r in ranked.select("f", "e", "dice", "n", "nf").collect():
         if r["dice"] >= 0.05:
-            table.setdefault(r["f"], {})[r["e"]] = float(r["n"] / r["nf"] * min(1.0, r["dice"] * 1.5) ** 0.5)
+            table.setdefault(r["f"], []).append((r["e"], float(r["n"] / r["nf"] * min(1.0, r["dice"] * 1.5) ** 0.5)))
     counts.unpersist()
     return table, {w: float(np.log((total + 1) / n)) for w, n in words.items()}
 
@@ -265,13 +265,16 @@ def align_document(left: list, right: list, table: dict, weight: dict, least: fl
         for w in words:
             vocabulary.setdefault(w, len(vocabulary))
     likely = np.zeros((len(left), len(vocabulary)))
+    place = vocabulary.get
     for i, (_, _, grams) in enumerate(left):
-        row = likely[i]
+        row: dict[int, float] = {}
         for f in grams:
-            for e, p in table.get(f, {}).items():
-                k = vocabulary.get(e)
-                if k is not None and p > row[k]:
+            for e, p in table.get(f, ()):
+                k = place(e)
+                if k is not None and p > row.get(k, 0.0):
                     row[k] = p
+        if row:
+            likely[i, list(row)] = list(row.values())
     has = np.zeros((len(vocabulary), len(right)))
     for j, (_, _, words) in enumerate(right):
         for w in words:
@@ -282,12 +285,11 @@ def align_document(left: list, right: list, table: dict, weight: dict, least: fl
     top = 2 * shared + 2 * learned
     down = wl[:, None] + wr[None, :] + full[None, :] + np.maximum(base[:, None], learned)
     score = top / np.maximum(down, 1e-9)
-    for kind, penalty in (("#", 0.35), ("T", 0.2)):  # both count something, or name some thing, and not the same
-        sides = [[{a for a in anchors if a[0] == kind} for _, anchors, _ in side] for side in (left, right)]
-        for i, a in enumerate(sides[0]):
-            for j, b in enumerate(sides[1]):
-                if a and b and not a & b:
-                    score[i, j] -= penalty
+    for i, j in np.argwhere(score >= least).tolist():
+        for kind, penalty in (("#", 0.35), ("T", 0.2)):  # both count something, or name some thing, and not the same
+            a, b = ([x for x in side[k][1] if x[0] == kind] for side, k in ((left, i), (right, j)))
+            if a and b and not set(a) & set(b):
+                score[i, j] -= penalty
     pairs = _mutual(score, least)
     found = {(i, j): float(score[i, j]) for i, j in pairs}
     # What is left goes on among itself, more carefully.
