@@ -429,3 +429,76 @@ def c_acts(spark, d):
     """Nested acts of the arcs taken apart."""
     a = _t(spark, d, "arc_cache").select("novel_id", "acts").dropDuplicates(["novel_id"]).select("novel_id", F.explode("acts").alias("a"))
     return a.groupBy("novel_id").agg(F.count("*").alias("acts"), F.round(F.avg(F.abs("a.sentiment")), 6).alias("mean_abs"), F.max(F.col("a.sentence_range")[1]).alias("last_sentence"))
+
+
+# --- Explanations and profiles ------------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def n_explained_full(spark, d):
+    """Comparisons, badges, tropes and pillars of the matches."""
+    from ..operators import explain as X
+
+    m = _matches(spark, d, "online")
+    nv = novels(spark, d).dropDuplicates(["id"])
+    vec = _t(spark, d, "novel_vector").dropDuplicates(["id"]).select("id", "vector")
+    side = lambda p: nv.join(vec, "id", "left").select(F.col("id").alias(f"{p}id"), F.concat_ws(" ", "title", "genre", "tags").alias(f"{p}text"), F.coalesce("vector", F.array_repeat(F.lit(0.5), 8)).alias(f"{p}v"), split_list(F.lower("tags")).alias(f"{p}tags"))
+    j = m.join(side("a_"), F.col("id") == F.col("a_id")).join(side("b_"), F.col("match") == F.col("b_id"))
+    vals = {p: {k: X.metric_value(k, None, F.col(f"{p}v")) for k in X.COMPARED} for p in ("a_", "b_")}
+    story = {p: {k: X.story_part(F.col(f"{p}text"), k) for k in X.STORY} | vals[p] for p in ("a_", "b_")}
+    trope = F.get(X.shared_tropes(F.col("a_tags"), F.col("b_tags")), F.lit(0))
+    same = F.when(F.col("genre") >= 0.85, "Same genre")
+    return j.select("id", "match", "rank", F.to_json(X.comparisons(vals["a_"], vals["b_"])).alias("comparisons"), F.to_json(X.badges(same, trope, vals["a_"], vals["b_"], F.col("score"))).alias("badges"),
+                    F.to_json(X.pillars({"semantic": F.col("semantic"), "style": F.col("style")}, story["a_"], story["b_"])).alias("pillars"))
+
+
+@query(f"""WITH {NV} SELECT id, CASE WHEN x = '' THEN 'fiction' ELSE x END AS concept FROM (SELECT id, concat_ws('. ', CASE WHEN trim(title) NOT IN ('', 'Unknown Title') THEN trim(title) END, 'Genre: ' || nullif(trim(genre), ''),
+    'Tropes: ' || nullif(trim(tags), ''), 'Tradition: ' || nullif(trim(territory), '')) AS x FROM nv)""")
+def n_concept_text(spark, d):
+    """The text that stands for a work's concept."""
+    from ..functions.embed import concept_text
+
+    none = F.lit(None).cast("string")
+    return novels(spark, d).select("id", concept_text(F.col("title"), none, F.col("genre"), none, none, F.col("tags"), F.col("territory")).alias("concept"))
+
+
+@query(f"""WITH {NV} SELECT id, least(0.30, 0.15 * len(list_filter(list_distinct(regexp_extract_all(lower(title), '\\b[a-z]{{4,}}\\b')), lambda w: w NOT IN ('with', 'from', 'that', 'this', 'into', 'over', 'about', 'world')
+    AND contains('the quiet lantern and the broken mirror', w)))) AS overlap FROM nv""".replace("\\\\", "\\"))
+def n_title_overlap(spark, d):
+    """Overlap of every title with a query."""
+    from ..operators.explain import title_overlap
+
+    return novels(spark, d).select("id", title_overlap(F.col("title"), F.lit("The Quiet Lantern and the Broken Mirror")).cast("double").alias("overlap"))
+
+
+@query()
+def v_prose_profiles(spark, d):
+    """A13, C17, M11, U3, PL4: prose vectors of English chapters by source as profiles, with the number of texts used."""
+    from .pipelines import profiles
+
+    ch = _t(spark, d, "chapter").where("text_en <> ''").select("id", "novel_id", "text_en").dropDuplicates(["id"])
+    nv = novels(spark, d).select(F.col("id").alias("novel_id"), F.lower(F.trim("source")).alias("source"))
+    out = profiles(ch.join(nv, "novel_id"), "source", "text_en", 200, ["gutenberg", "royalroad", "scribblehub", "syosetu", "cnnovel", "fanglot"])
+    return out.select("label", "samples_used", F.round(V.norm(F.col("centroid")), 6).alias("length"))
+
+
+@query("""WITH c AS (SELECT DISTINCT id, text_en AS t FROM chapter WHERE text_en <> ''), s AS (SELECT * FROM c ORDER BY md5(id || ':42'), id LIMIT 5),
+    m AS (SELECT avg(len(list_distinct(w)) / len(w)) AS ttr, count(*) AS chapters FROM (SELECT regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+') AS w FROM s))
+    SELECT chapters, """.replace("\\\\", "\\") + V.percentile_sql("ttr", "round(ttr, 9)") + " AS ttr FROM m")
+def f_radar_baseline(spark, d):
+    """Percentile of the mean vocabulary richness of five sampled chapters (the sampled texts are short, so one window each)."""
+    from ..functions.metrics import type_token_ratio
+    from ..functions.text import words
+
+    ch = _t(spark, d, "chapter").where("text_en <> ''").select("id", F.col("text_en").alias("t"))
+    few = R.seeded_sample(ch.select("id").distinct(), "id", 5, 42)
+    own = ch.join(F.broadcast(few), "id", "left_semi").dropDuplicates(["id"]).select(type_token_ratio(words(F.col("t"))).alias("x"))
+    return own.agg(F.count("*").alias("chapters"), F.round(F.avg("x"), 9).alias("m")).select("chapters", V.percentile("ttr", F.col("m")).alias("ttr"))
+
+
+@query("""SELECT benchmark AS chip, count(*) AS n FROM (SELECT CASE WHEN v >= 0.65 THEN 'High +' || CAST(round_even((v - 0.5) * 100, 0) AS INT) WHEN v <= 0.35 THEN 'Low' ELSE 'Balanced' END AS benchmark
+    FROM (SELECT DISTINCT id, round(vector[6], 2) AS v FROM novel_vector WHERE vector IS NOT NULL)) GROUP BY 1""")
+def f_chips(spark, d):
+    """P17, DS2: novels per benchmark chip of their dialogue."""
+    v = _t(spark, d, "novel_vector").where(F.col("vector").isNotNull()).select("id", F.round(F.col("vector")[5], 2).alias("v")).distinct()
+    return v.groupBy(C.benchmark_chip(F.col("v")).alias("chip")).agg(F.count("*").alias("n"))
