@@ -10,10 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from .text import non_blank
-from .vectors import norm, pool
 
 _WORD = re.compile(r"[぀-ヿ一-鿿]|\w+")
 
@@ -60,14 +59,17 @@ def windows3(c: Column, words: int = 300) -> list[Column]:
 
 
 def with_prose_vector(df: DataFrame, text: str, name: str = "vector", make: Callable = HashingEmbedder) -> DataFrame:
-    """Adds the unit sum of the three windows' vectors, weighted 0.50, 0.25 and 0.25."""
-    filled = [F.when(w == "", "sample prose text").otherwise(w) for w in windows3(F.col(text))]
-    df = df.withColumns({f"_w{i}": w for i, w in enumerate(filled)})
-    df = df.withColumns({f"_e{i}": embed(F.col(f"_w{i}"), make) for i in range(3)}).withColumns({f"_d{i}": F.col(f"_e{i}").cast("array<double>") for i in range(3)})
-    # The sum and its length are columns of their own: inside a lambda they would be worked out again for every element.
-    df = df.withColumn("_p", pool([F.col(f"_d{i}") for i in range(3)], [0.50, 0.25, 0.25])).withColumn("_n", norm(F.col("_p")))
-    out = F.when(F.col("_n") > 0, F.transform("_p", lambda x: x / F.col("_n"))).otherwise(F.col("_p"))
-    return df.withColumn(name, out).drop("_p", "_n", *[f"_{k}{i}" for k in "wed" for i in range(3)])
+    """Adds the unit sum of the three windows' vectors, weighted 0.50, 0.25 and 0.25 (pooled beside the embedder, where the vectors are)."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        embedder = make()
+        for three in batches:
+            v = sum(w * embedder(s.tolist()).astype(np.float64) for w, s in zip((0.50, 0.25, 0.25), three))
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            yield pd.Series(list(v / np.where(n > 0, n, 1)))
+
+    return df.withColumn(name, run(*[F.when(w == "", "sample prose text").otherwise(w) for w in windows3(F.col(text))]))
 
 
 def concept_text(title: Column, setting: Column, genre: Column, catalyst: Column, plot: Column, tags: Column, territory: Column) -> Column:
