@@ -344,3 +344,62 @@ def sentence_spans(df: DataFrame, key: str, fields: dict[str, bool]) -> DataFram
     kind = df.schema[key].dataType.simpleString()
     packed = df.select(key, *columns).mapInArrow(run, f"{key} {kind}, field_name string, spans array<int>").distinct()
     return packed.select(key, "field_name", F.explode(F.expr("transform(sequence(0, size(spans) - 1, 2), i -> struct(spans[i] AS start_pos, spans[i + 1] AS end_pos))")).alias("s")).select(key, "field_name", "s.start_pos", "s.end_pos")
+
+
+class StrippedModel:
+    """The boundary chain over every character, for text without punctuation.
+
+    Trained on whole sentences whose punctuation was stripped: the log odds that a sentence ends between two characters are counted on the
+    characters on either side (one and two of each), and the chain's transition keeps boundaries apart by the usual sentence length.
+    """
+
+    def __init__(self, sentences: Iterable[str]):
+        lines = [self.strip(s) for s in sentences]
+        lines = [s for s in lines if s]
+        self.ends: dict[str, float] = {}
+        inside: dict[str, int] = {}
+        at: dict[str, int] = {}
+        for a, b in zip(lines, [*lines[1:], lines[0]] if lines else []):
+            text = a + b
+            for i in range(1, len(text)):
+                for f in self._features(text, i):
+                    if i == len(a):
+                        at[f] = at.get(f, 0) + 1
+                    elif i < len(a):
+                        inside[f] = inside.get(f, 0) + 1
+        n_at, n_in = max(1, len(lines)), max(1, sum(max(0, len(s) - 1) for s in lines))
+        for f in {*at, *inside}:
+            self.ends[f] = float(np.log((at.get(f, 0) + 0.1) / (n_at + 1)) - np.log((inside.get(f, 0) + 0.1) / (n_in + 1)))
+        self.prior = float(np.log(n_at / n_in))
+        self.least = max(2, int(np.quantile([len(s) for s in lines], 0.02))) if lines else 2
+
+    @staticmethod
+    def strip(text: str) -> str:
+        return re.sub(r"\s+", " ", re.sub(r"[^\w\s]|_", "", text)).strip()
+
+    @staticmethod
+    def _features(t: str, i: int) -> tuple[str, ...]:
+        return ("a" + t[i - 1], "b" + t[i : i + 1], "c" + t[max(0, i - 2) : i], "d" + t[i : i + 2], "e" + t[i - 1 : i + 1])
+
+    def cut(self, text: str) -> list[tuple[int, int]]:
+        """Spans of the sentences of a text; Viterbi over boundary and inside with a least length between boundaries."""
+        n = len(text)
+        if not text.strip():
+            return []
+        score = np.array([self.prior + sum(self.ends.get(f, 0.0) for f in self._features(text, i)) / 2 for i in range(1, n)])
+        best, back = [0.0] * (n + 1), [0] * (n + 1)
+        top, top_at = -np.inf, 0
+        for i in range(1, n + 1):
+            if i - self.least >= 0 and best[i - self.least] > top:
+                top, top_at = best[i - self.least], i - self.least
+            gain = score[i - 1] if i < n else 0.0
+            best[i], back[i] = (top + gain, top_at) if top > -np.inf else (-np.inf if i < n else 0.0, 0)
+        spans, i = [], n
+        while i > 0:
+            a, b = back[i], i
+            piece = text[a:b]
+            if _WORD.search(piece):
+                lead = len(piece) - len(piece.lstrip())
+                spans.append((a + lead, a + len(piece.rstrip())))
+            i = back[i]
+        return spans[::-1]

@@ -54,3 +54,25 @@ def test_positions_of_stored_text(spark):
 
 def test_very_long_text():
     assert len(cut("It was a day. " * 30_000)) == 30_000
+
+
+def test_stripped_text():
+    import random
+
+    from fabula.llm.sentences import StrippedModel
+
+    rng = random.Random(1)
+    who, what, how = ["老人", "船長", "番兵", "旅人"], ["灯籠", "手紙", "鏡", "地図"], ["を売った", "を買った", "を隠した", "を見つけた"]
+    make = lambda: rng.choice(who) + "は" + rng.choice(["井戸のそば", "北門", "市場"]) + "で" + rng.choice(what) + rng.choice(how) + "。"
+    model = StrippedModel(make() for _ in range(400))
+    right = total = extra = 0
+    for _ in range(60):
+        lines = [model.strip(make()) for _ in range(5)]
+        ends, at = set(), 0
+        for s in lines:
+            at += len(s)
+            ends.add(at)
+        got = {b for _, b in model.cut("".join(lines))}
+        right, total, extra = right + len(got & ends), total + len(ends), extra + len(got - ends)
+    assert right >= 0.98 * total and extra <= 0.02 * total
+    assert model.cut("") == [] and model.cut(" ") == [] and StrippedModel([]).cut("ab") == [(0, 2)]
