@@ -417,7 +417,8 @@ def c_unpivoted(spark, d):
     return long.groupBy("field_name").agg(F.count("*").alias("texts"), F.countDistinct("p").alias("different"), F.sum("n").alias("chars"))
 
 
-@query()
+@query("""WITH d AS (SELECT lower(trim(source)) AS source, CASE WHEN regexp_matches(text, '[぀-ゟ゠-ヿ]') THEN 'ja' WHEN regexp_matches(text, '[一-鿿]') THEN 'zh' ELSE 'en' END AS language, count(*) AS n FROM documents GROUP BY 1, 2)
+    SELECT *, round(n / sum(n) OVER (PARTITION BY source), 6) AS share FROM d""")
 def c_detected_languages(spark, d):
     """C7 per source: share of documents in each script."""
     docs = _t(spark, d, "documents").groupBy(F.lower(F.trim("source")).alias("source"), language(F.col("text")).alias("language")).agg(F.count("*").alias("n"))
