@@ -39,9 +39,9 @@ def punctuation_density(c: Column, lang: str) -> Column:
 
 
 def sentences_per_paragraph(c: Column, lang: str) -> Column:
-    parts = paragraphs(c)
-    total = F.aggregate(parts, F.lit(0), lambda s, p: s + F.size(non_blank(F.split(p, _PARAGRAPH_END[lang]))))
-    return ratio(total, F.size(parts))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("s"))
+    add = lambda a, p: F.struct((a["n"] + 1).alias("n"), (a["s"] + F.size(non_blank(F.split(p, _PARAGRAPH_END[lang])))).alias("s"))
+    return F.aggregate(paragraphs(c), start, add, lambda a: F.when(a["n"] > 0, a["s"].cast("double") / a["n"]).otherwise(0.0))
 
 
 def type_token_ratio(tokens: Column, window: int = 500, step: int = 100) -> Column:
@@ -75,8 +75,9 @@ def temporal_complexity(c: Column, lang: str) -> Column:
     """2.5 times the variance of the share of past forms over paragraphs, plus markers of time per sentence."""
     if lang == "en":
         markers = F.regexp_count(F.lower(c), F.lit("\\b(?:" + "|".join(W.EN_TIME_MARKERS) + ")\\b"))
-        past, present = (lambda p, x=x: _matching(words(p), f"^(?:{x})$") for x in (W.EN_PAST, W.EN_PRESENT))
-        shares = F.transform(paragraphs(c), lambda p: past(p) / F.greatest(F.lit(1), past(p) + present(p)))
+        tokens = F.transform(paragraphs(c), words)
+        counts = F.transform(tokens, lambda t: F.struct(_matching(t, f"^(?:{W.EN_PAST})$").alias("a"), _matching(t, f"^(?:{W.EN_PRESENT})$").alias("b")))
+        shares = F.transform(counts, lambda x: x["a"] / F.greatest(F.lit(1), x["a"] + x["b"]))
     else:
         markers = count_part(c, W.JA_TIME_MARKERS if lang == "ja" else W.ZH_TIME_MARKERS)
         shares = F.transform(paragraphs(c), lambda p: F.regexp_count(p, F.lit(W.CJK_PAST)) / F.greatest(F.lit(1), F.length(p)))
@@ -121,7 +122,9 @@ def depth(c: Column) -> Column:
     """Mean sentence depth by clause markers and length; 2.5 without a sentence.  (English; other languages have 0.)"""
     parts = F.transform(sentences(c, "en"), words)
     per = F.transform(parts, lambda t: 2.0 + _matching(t, f"^(?:{W.EN_CLAUSE})$") * 0.75 + F.sqrt(F.size(t).cast("double")) * 0.35)
-    return F.when(F.size(per) == 0, 2.5).otherwise(F.aggregate(per, F.lit(0.0), lambda s, x: s + x) / F.size(per))
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
+    add = lambda a, x: F.struct((a["n"] + 1.0).alias("n"), (a["s"] + x).alias("s"))
+    return F.aggregate(per, start, add, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]).otherwise(2.5))
 
 
 def adjective_ratio(c: Column) -> Column:
@@ -136,19 +139,27 @@ def kanji_ratio(c: Column) -> Column:
     return ratio(F.regexp_count(c, F.lit("[\\u4e00-\\u9fff]")), unit_count(c, "ja"))
 
 
-def sentence_sentiment(s: Column, lang: str) -> Column:
-    """Between -1 and 1 by word lists."""
-    if lang == "en":
-        up, down = count_word(F.lower(s), W.EN_POSITIVE), count_word(F.lower(s), W.EN_NEGATIVE)
-        return (up - down).cast("double") / (up + down + 1)
-    up, down = (count_part(s, W.JA_POSITIVE), count_part(s, W.JA_NEGATIVE)) if lang == "ja" else (count_part(s, W.ZH_POSITIVE), count_part(s, W.ZH_NEGATIVE))
-    return (up - down).cast("double") / F.greatest(F.lit(1), up + down)
+def sentiments(parts: Column, lang: str) -> Column:
+    """Sentiment of each sentence of an array, between -1 and 1 by word lists; the counts are made once and then combined."""
+
+    def count(s: Column) -> Column:
+        if lang == "en":
+            up, down = count_word(F.lower(s), W.EN_POSITIVE), count_word(F.lower(s), W.EN_NEGATIVE)
+        elif lang == "ja":
+            up, down = count_part(s, W.JA_POSITIVE), count_part(s, W.JA_NEGATIVE)
+        else:
+            up, down = count_part(s, W.ZH_POSITIVE), count_part(s, W.ZH_NEGATIVE)
+        return F.struct(up.alias("u"), down.alias("d"))
+
+    total = (lambda x: x["u"] + x["d"] + 1) if lang == "en" else (lambda x: F.greatest(F.lit(1), x["u"] + x["d"]))
+    return F.transform(F.transform(parts, count), lambda x: (x["u"] - x["d"]).cast("double") / total(x))
 
 
 def sentiment_intensity(c: Column, lang: str) -> Column:
-    """Mean absolute sentiment of the sentences."""
-    scores = F.transform(sentences(c, lang), lambda s: F.abs(sentence_sentiment(s, lang)))
-    return F.when(F.size(scores) == 0, 0.0).otherwise(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))
+    """Mean absolute sentiment of the sentences; 0 without one."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
+    add = lambda a, x: F.struct((a["n"] + 1.0).alias("n"), (a["s"] + F.abs(x)).alias("s"))
+    return F.aggregate(sentiments(sentences(c, lang), lang), start, add, lambda a: F.when(a["n"] > 0, a["s"] / a["n"]).otherwise(0.0))
 
 
 def location_shifts(c: Column) -> Column:
@@ -188,8 +199,18 @@ def features(c: Column, lang: str) -> dict[str, Column]:
 
 
 def with_features(df: DataFrame, text: str, lang: str | None = None) -> DataFrame:
-    """Adds the metrics with a language prefix; ``lang`` fixes the language, else it is detected and the other languages' columns are null."""
+    """Adds the metrics with a language prefix; ``lang`` fixes the language, else it is detected and the other languages' columns are null.
+
+    Each language is a branch of its own, so that a task's code holds the metrics of one language only.
+    """
     c = F.col(text)
     own = F.lit(lang) if lang else language(c)
-    new = {f"{code}_{k}": F.when((own == code) & c.isNotNull() & (c != ""), v) for code in ([lang] if lang else ["en", "ja", "zh"]) for k, v in features(c, code).items()}
-    return df.withColumns(new)
+    codes = [lang] if lang else ["en", "ja", "zh"]
+    parts = []
+    for code in codes:
+        new = {f"{code}_{k}": F.when(c != "", v) for k, v in features(c, code).items()}
+        parts.append((df if lang else df.where(own == code)).withColumns(new))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

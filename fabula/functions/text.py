@@ -61,15 +61,33 @@ def count_word(c: Column, terms: list[str]) -> Column:
     total = F.regexp_count(c, F.lit("(?U)\\b(?:" + "|".join(single) + ")\\b")) if single else F.lit(0)
     for t in terms:
         if t not in single:
-            total = total + F.regexp_count(c, F.lit(f"(?U)\\b{t}\\b"))
+            total = total + F.when(c.contains(t), F.regexp_count(c, F.lit(f"(?U)\\b{t}\\b"))).otherwise(0)  # most phrases are absent
     return total
 
 
+def _overlap(a: str, b: str) -> bool:
+    """Whether occurrences of two different terms can share characters."""
+    return a == b or a in b or b in a or any(a[-k:] == b[:k] or b[-k:] == a[:k] for k in range(1, min(len(a), len(b))))
+
+
+def disjoint_groups(terms: list[str]) -> list[list[str]]:
+    """The terms in groups whose occurrences never overlap, so that one pass with an alternation counts a whole group."""
+    groups: list[list[str]] = []
+    for t in terms:
+        for g in groups:
+            if not any(_overlap(t, x) for x in g):
+                g.append(t)
+                break
+        else:
+            groups.append([t])
+    return groups
+
+
 def count_part(c: Column, terms: list[str]) -> Column:
-    """How often the terms stand in ``c`` as substrings, without overlap of a term with itself."""
+    """How often the terms stand in ``c`` as substrings, without overlap of a term with itself; a term given twice counts twice."""
     total = F.lit(0)
-    for t in terms:
-        total = total + ((F.length(c) - F.length(F.replace(c, F.lit(t), F.lit("")))) / len(t)).cast("int")
+    for g in disjoint_groups(terms):
+        total = total + F.regexp_count(c, F.lit("|".join(g)))
     return total
 
 

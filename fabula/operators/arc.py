@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.metrics import sentence_sentiment
+from ..functions.metrics import sentiments
 from ..functions.text import marks, non_blank, paragraphs, strip, words
 
 ACTS = [("Ki", "Introduction"), ("Shō", "Development"), ("Ten", "Twist"), ("Ketsu", "Resolution")]
@@ -30,7 +30,7 @@ def with_arc(df: DataFrame, text: str, lang: str, gain: float = 2.0, parts: int
     A text without a sentence has zeros.  The steps are columns of their own, so that no list is worked out twice.
     """
     c = F.col(text)
-    df = df.withColumn("_scores", F.transform(arc_units(c, lang), lambda s: sentence_sentiment(s, lang))).withColumn("_n", F.size("_scores"))
+    df = df.withColumn("_scores", sentiments(arc_units(c, lang), lang)).withColumn("_n", F.size("_scores"))
     n = F.col("_n")
     bounds = [quantile_bounds(n, k, parts) for k in range(parts)]
     start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0.0).alias("d"))
