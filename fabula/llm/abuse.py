@@ -9,7 +9,7 @@ worst.  Isotonic regression on documents held out from the trees turns the worst
 sentence's margin into a probability.
 
 The model is fitted on at most ``sample`` rated documents (smallest hash of the
-id, default 12,000); every document is scored.  Defined results: null, blank and
+id, default 8,000); every document is scored.  Defined results: null, blank and
 letterless texts score 0 for every kind; contradicting ratings of a document
 count as their share; texts of any length are judged whole.
 """
@@ -116,7 +116,7 @@ def _hash(tokens: list[str], memo: dict[str, int]) -> np.ndarray:
         h[i] = v
     two = (h[:-1] * 1000003 + h[1:]) & 0x7FFFFFFF if len(h) > 1 else h[:0]
     three = (two[:-1] * 1000003 + h[2:]) & 0x7FFFFFFF if len(h) > 2 else h[:0]
-    return np.unique(np.concatenate([h % SIZE, (two * 7 + 1) % SIZE, (three * 13 + 5) % SIZE]))
+    return np.unique(np.concatenate([h % SIZE, (two * 7 + 1) % SIZE, (three * 13 + 5) % SIZE])).astype(np.int32)
 
 
 class Sentences:
@@ -153,6 +153,9 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 50, depth:
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     extra = [np.unique(x[y > 0.5][:, f]) for f in range(x.shape[1])]
     cuts = [np.unique(np.concatenate([c, e[:: max(1, len(e) // bins)]])) for c, e in zip(cuts, extra)]
+    if (y > 0.5).any() and (y < 0.5).any():  # places between the classes, so that a cut can stand in the middle of a gap
+        low, high = np.quantile(x[y < 0.5], [0.99, 0.999, 1.0], axis=0), np.quantile(x[y > 0.5], [0.0, 0.02, 0.1], axis=0)
+        cuts = [np.unique(np.concatenate([c, *[np.linspace(a, b, 8)[1:-1] for a in low[:, f] for b in high[:, f] if a < b]])) for f, c in enumerate(cuts)]
     binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], 1)
     width = max(len(c) for c in cuts) + 1
     score = np.full(len(x), np.log((w * y).sum() / max(1e-9, (w * (1 - y)).sum()) + 1e-9))
@@ -252,8 +255,10 @@ class Model:
         bad, good = labels.max(1, initial=0) >= 0.5, labels.sum(1) == 0
         if bad.sum() < 5 or good.sum() < 5:
             return
+        n_all = len(terms)
         sizes = np.array([len(t) for t in terms], np.int64)
-        flat, sent = np.concatenate(terms), np.repeat(np.arange(len(terms)), sizes)
+        flat, sent = np.concatenate(terms), np.repeat(np.arange(n_all, dtype=np.int32), sizes)
+        del terms, dense  # the arrays hold them now; the driver's memory is small
         root = np.sqrt(np.maximum(sizes, 1))
         hint = np.stack([np.minimum(dense_a[:, 6 + 3 * k], 3) + dense_a[:, 8 + 3 * k] for k in range(len(KINDS))], 1)
 
@@ -269,7 +274,7 @@ class Model:
         def held_by(which: np.ndarray) -> np.ndarray:
             """For every term, the documents that hold it in one of these sentences; a name repeated in one text counts once."""
             pick = which[sent]
-            return np.bincount(np.unique(owner_a[sent[pick]] * SIZE + flat[pick]) % SIZE, minlength=SIZE)
+            return np.bincount(np.unique(owner_a[sent[pick]].astype(np.int64) * SIZE + flat[pick]) % SIZE, minlength=SIZE)
 
         def weigh(count: np.ndarray, n: float, base: np.ndarray, m: float) -> np.ndarray:
             """Log odds of terms by a cautious share: counts less their deviation against the shares of the rest."""
@@ -286,10 +291,10 @@ class Model:
         calm = good[owner_a]
         base = held_by(calm)
         for _ in range(rounds):
-            total = np.bincount(sent, w[flat], len(terms)) / root + 0.5 * hint.max(1)
+            total = np.bincount(sent, w[flat], n_all) / root + 0.5 * hint.max(1)
             chosen = pick(total)
             w = weigh(held_by(chosen), len(np.unique(owner_a[chosen])), base, good.sum())
-        total = np.bincount(sent, w[flat], len(terms)) / root + 0.5 * hint.max(1)
+        total = np.bincount(sent, w[flat], n_all) / root + 0.5 * hint.max(1)
         chosen = pick(total)
         self.weights[-1] = w
         # 2. Their kinds: the ratings of the documents as a prior that terms may overrule.
@@ -301,7 +306,7 @@ class Model:
         inner = np.cumsum(chosen) - 1
         own_sent, own_flat = inner[sent[chosen[sent]]], flat[chosen[sent]]
         for _ in range(3 * rounds):
-            share = np.stack([held_by(np.isin(np.arange(len(terms)), at[kind == k])) for k in range(len(KINDS))]).astype(np.float64)
+            share = np.stack([held_by(np.isin(np.arange(n_all), at[kind == k])) for k in range(len(KINDS))]).astype(np.float64)
             held = share.sum(0)
             many = np.maximum([len(np.unique(owner_a[at[kind == k]])) for k in range(len(KINDS))], 1)[:, None]
             rate = (share + 2.0 * held / held.max(initial=1) + 0.1) / (many + 1.0)
@@ -312,24 +317,24 @@ class Model:
         # 3. Trees on the sentences, calibrated on the documents held out from them.
         fold = rng.random(len(docs)) < 0.3 if len(docs) >= 400 else np.zeros(len(docs), bool)
         for k in range(len(KINDS)):
-            mine = np.zeros(len(terms), bool)
+            mine = np.zeros(n_all, bool)
             mine[at[kind == k]] = True
             if mine.sum() < 3:
                 continue
             against = calm | (chosen & ~mine)
             self.weights[k] = weigh(held_by(mine), len(np.unique(owner_a[mine])), held_by(against), len(np.unique(owner_a[against])))
         for k in range(len(KINDS)):
-            mine = np.zeros(len(terms), bool)
+            mine = np.zeros(n_all, bool)
             mine[at[kind == k]] = True
             if mine.sum() < 3:
                 continue
             x = self._dense(k, flat, sent, sizes, dense_a)
             free = ~fold[owner_a]
             hard = x[:, 9] > np.quantile(x[calm, 9], 0.97)
-            use = np.flatnonzero(free & (mine | (chosen & ~mine) | (calm & (hard | (rng.random(len(terms)) < min(1.0, 20_000 / max(1, calm.sum())))))))
-            # A calm sentence that looks as bad as the usual bad one is more likely a wrong rating than a harmless one.
-            doubt = ~mine[use] & calm[use] & (x[use, 9] > np.quantile(x[mine, 9], 0.25)) & (x[use, 12] > 0)
-            self.trees[k] = boost(x[use], mine[use].astype(float), np.where(doubt, 0.1, 1.0))
+            use = np.flatnonzero(free & (mine | (chosen & ~mine) | (calm & (hard | (rng.random(n_all) < min(1.0, 20_000 / max(1, calm.sum())))))))
+            # A calm sentence whose terms are as bad as those of the bad ones is a wrong rating: harmless phrases have harmless terms.
+            doubt = ~mine[use] & calm[use] & (x[use, 9] > 0.35 * np.median(x[mine, 9])) & (x[use, 12] > 0)
+            self.trees[k] = boost(x[use], mine[use].astype(float), np.where(doubt, 0.0, 1.0))
             margin = predict(self.trees[k], x)
             top = np.full(len(docs), -20.0)
             np.maximum.at(top, owner_a, margin)
@@ -380,7 +385,7 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000) -> Model:
     """The model of the ratings ``labels`` (doc_id, kind) of ``docs`` (doc_id, text)."""
     raters = labels.where(F.col("doc_id").isNotNull() & F.col("kind").isNotNull()).groupBy("doc_id").agg(*[F.avg((F.col("kind") == k).cast("double")).alias(k) for k in KINDS])
     picked = raters.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
