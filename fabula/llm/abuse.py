@@ -334,7 +334,8 @@ class Model:
             use = np.flatnonzero(free & (mine | (chosen & ~mine) | (calm & (hard | (rng.random(n_all) < min(1.0, 20_000 / max(1, calm.sum())))))))
             # A calm sentence whose terms are as bad as those of the bad ones is a wrong rating: harmless phrases have harmless terms.
             doubt = ~mine[use] & calm[use] & (x[use, 9] > 0.35 * np.median(x[mine, 9])) & (x[use, 12] > 0)
-            self.trees[k] = boost(x[use], mine[use].astype(float), np.where(doubt, 0.0, 1.0))
+            use = use[~doubt]
+            self.trees[k] = boost(x[use], mine[use].astype(float), np.ones(len(use)))
             margin = predict(self.trees[k], x)
             top = np.full(len(docs), -20.0)
             np.maximum.at(top, owner_a, margin)
