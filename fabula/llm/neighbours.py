@@ -119,9 +119,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def clean(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) of the usable vectors, one row per id; v in double precision."""
-    v = F.col(vector).cast("array<double>")
-    size = F.aggregate(F.col("v"), F.lit(0.0), lambda a, x: a + x * x)
+    """(id, v) of the usable vectors, one row per id; v as it is stored if in single precision, which halves what is shuffled, else in double."""
+    kind = df.schema[vector].dataType.elementType.simpleString()
+    v = F.col(vector).cast("array<float>" if kind == "float" else "array<double>")
+    size = F.aggregate(F.col("v"), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     bad = F.exists(F.col("v"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), v.alias("v")).where(~bad).where(size > 0).dropDuplicates(["id"])
 
@@ -171,7 +172,7 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 5, least: float =
 
         return run
 
-    schema = f"id {kind}, v array<double>, cell int"
+    schema = f"id {kind}, v {rows.schema['v'].dataType.simpleString()}, cell int"
     stored = cut(few.mapInArrow(place(1), schema))
     asked = asking.mapInArrow(place(probes), schema)
     sizes = {r["cell"]: r["n"] for r in stored.groupBy("cell").agg(F.count("*").alias("n")).collect()}
