@@ -503,3 +503,25 @@ def f_chips(spark, d):
     """P17, DS2: novels per benchmark chip of their dialogue."""
     v = _t(spark, d, "novel_vector").where(F.col("vector").isNotNull()).select("id", F.round(F.col("vector")[5], 2).alias("v")).distinct()
     return v.groupBy(C.benchmark_chip(F.col("v")).alias("chip")).agg(F.count("*").alias("n"))
+
+
+@query()
+def g_anchor_boosts(spark, d):
+    """Boosts of genres by anchor terms in every document."""
+    from ..operators.anchors import with_boosts
+
+    return with_boosts(_t(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.explode("boosts").alias("genre", "boost")).withColumn("boost", F.round("boost", 4))
+
+
+@query()
+def g_prose_genres(spark, d):
+    """World, plot and label of every English chapter by prose vectors against the profiles of some sources' genres."""
+    from ..functions.embed import with_prose_vector
+    from ..operators.anchors import with_genre_scores
+    from .pipelines import profiles
+
+    ch = _t(spark, d, "chapter").where("text_en <> ''").select("id", "novel_id", "text_en").dropDuplicates(["id"])
+    nv = novels(spark, d).select(F.col("id").alias("novel_id"), F.trim(F.split("genre", ",")[0]).alias("genre")).where(F.col("genre").isin(W.GENRE_PRIORITY))
+    rows = profiles(ch.join(nv, "novel_id"), "genre", "text_en", 50).select("label", "centroid").orderBy("label").collect()
+    out = with_genre_scores(with_prose_vector(ch, "text_en"), "text_en", "vector", [(r[0], r[1]) for r in rows])
+    return out.select("id", "world", "plot", "label", F.get("genre_scores", F.lit(0))["score"].alias("score"))
