@@ -43,7 +43,8 @@ _KANA_NAME = re.compile(r"[ァ-ヴー口力二工八夕卜才千三]{2,}")
 _DROP, _VOWEL, _TWICE = re.compile(r"(?<=[^aeiou])h$|(?<=[^aeiouy])y(?=[aeiou])|[^a-z]"), re.compile(r"[aeiou]|y$"), re.compile(r"(.)\1+")
 _DIGITS = {c: i for i, c in enumerate("〇一二三四五六七八九")} | {"零": 0}
 _NUMBER = re.compile(r"\d+(?:\.\d+)*|[〇零一二三四五六七八九十百千]+")
-_PART = re.compile(r"[\w#]+")
+_ALL_KANA, _KANA = re.compile("[ァ-ヴー]+"), re.compile("[ァ-ヴ]")
+_PART = re.compile(r"(?:#|[^\W\d_ァ-ヴー]){2,}")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _WORD = re.compile(r"[A-Za-zÀ-ÿ]+(?:[’'][a-z]+)?|\d+(?:\.\d+)*")
 #: Words that go with everything and tell nothing.
@@ -111,28 +112,29 @@ class Reader:
             n = kanji_number(m.group())
             if m.group()[0].isdigit() or len(n) > 1:
                 anchors["#" + n] = NUMBER
-        for m in self.ja_re.finditer(s):
-            anchors[self.ja_things[m.group()]] = TERM
-        for m in _KANA_NAME.finditer(s):
-            word = m.group().translate(_TO_KANA)
+        for t in self.ja_re.findall(s):
+            anchors[self.ja_things[t]] = TERM
+        for name in _KANA_NAME.findall(s):
+            word = name if _ALL_KANA.fullmatch(name) else name.translate(_TO_KANA)
             if (key := self.ja_names.get(word)) is not None:
                 anchors[key] = TERM
-            if sum("ァ" <= c <= "ヴ" for c in m.group()) >= 2 and len(sound := kana_sound(word)) >= 1:
+            if len(_KANA.findall(name)) >= 2 and (sound := kana_sound(word)):
                 anchors["N" + sound] = NAME
-        rest = _KANA_NAME.sub("|", _NUMBER.sub("#", s))
-        grams = {x + y for part in _PART.findall(rest) for x, y in zip(part, part[1:]) if not ("ぁ" <= x <= "ゖ" and "ぁ" <= y <= "ゖ")}
+        grams = {x + y for part in _PART.findall(_NUMBER.sub("#", s)) for x, y in zip(part, part[1:]) if not ("ぁ" <= x <= "ゖ" and "ぁ" <= y <= "ゖ")}
         return anchors, sorted(grams)
 
     def en(self, s: str, names: set[str]) -> tuple[dict[str, float], list[str]]:
         anchors: dict[str, float] = {}
-        for m in self.en_re.finditer(s.lower()):
-            anchors[self.en_things[m.group()]] = TERM
+        for t in self.en_re.findall(s.lower()):
+            anchors[self.en_things[t]] = TERM
         words = set()
-        for i, m in enumerate(_WORD.finditer(s)):
-            w = m.group()
-            if w[0].isdigit():
+        for i, w in enumerate(_WORD.findall(s)):
+            if w[0].islower():
+                if len(w) > 2:
+                    words.add(w)
+            elif w[0].isdigit():
                 anchors["#" + w.rstrip(".")] = NUMBER
-            elif w[0].isupper() and len(w) > 1:
+            elif len(w) > 1:
                 if (key := self.en_names.get(w.lower())) is not None:
                     anchors[key] = TERM
                 sound = "N" + latin_sound(w)
@@ -140,8 +142,6 @@ class Reader:
                     anchors[sound] = NAME
                 else:
                     words.add(w.lower())
-            elif len(w) > 2:
-                words.add(w)
         return anchors, sorted(words - _COMMON)
 
     def read(self, ja: list[str], en: list[str]) -> Iterator[tuple[list, list]]:
