@@ -36,6 +36,11 @@ from ..operators.lineage import cut
 from .canon import _TO_KANA, former
 from .sentences import segment_batch
 
+try:  # counting in C
+    from collections import _count_elements as tally
+except ImportError:
+    tally = Counter.update
+
 _ROWS = {"k": "カキクケコ", "g": "ガギグゲゴ", "s": "サシスセソ", "z": "ザジズゼゾヂヅ", "t": "タチツテト", "d": "ダデド", "n": "ナニヌネノン", "h": "ハヒヘホ", "f": "フ", "b": "バビブベボヴ", "p": "パピプペポ", "m": "マミムメモ", "y": "ヤユヨ", "r": "ラリルレロ", "w": "ワヲ"}
 _SOUND = {kana: c for c, row in _ROWS.items() for kana in row}
 _SMALL = "ァィゥェォャュョッー"
@@ -209,7 +214,7 @@ def _mutual(score: np.ndarray, least: float, lead: float = 0.0) -> list[tuple[in
     return out
 
 
-def learn(read: DataFrame, pieces: int = 20_000, best: int = 8) -> tuple[dict, dict]:
+def learn(read: DataFrame, pieces: int = 20_000, best: int = 5) -> tuple[dict, dict]:
     """(piece -> [(word, probability)], word -> weight) counted over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +237,8 @@ def learn(read: DataFrame, pieces: int = 20_000, best: int = 8) -> tuple[dict, d
                 for i, j in _mutual(score, 0.6, 0.15):
                     words = [*right[j][2], ""]
                     for f in left[i][2]:
-                        pairs[f].update(words)
-                    pairs[""].update(words)
+                        tally(pairs[f], words)
+                    tally(pairs[""], words)
             if len(pairs) > 20_000:
                 yield flush()
         yield flush()
