@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import marshal
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -172,11 +171,12 @@ class Reader:
 
 
 def pack(left: list, right: list) -> bytes:
-    return zlib.compress(marshal.dumps((left, right)), 1)
+    """The sentences of a document as bytes; pieces and words hold no space."""
+    return marshal.dumps([[(line, anchors, " ".join(words)) for line, anchors, words in side] for side in (left, right)])
 
 
-def unpack(blob: bytes) -> tuple[list, list]:
-    return marshal.loads(zlib.decompress(blob))
+def unpack(blob: bytes) -> list[list]:
+    return [[(line, anchors, words.split(" ") if words else []) for line, anchors, words in side] for side in marshal.loads(blob)]
 
 
 def anchor_matrix(left: list, right: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
