@@ -10,8 +10,9 @@
 3. Grow: a sentence left over joins a match of its neighbour if its own bag
    explains what the match leaves unexplained in the partner.
 
-Counts cover all documents; the table keeps the ``best`` words of the ``pieces``
-most frequent pieces (documented model size), so it is small enough to send.
+Counts cover all documents; the table keeps, for the ``pieces`` most frequent
+pieces (documented model size), every word whose Dice value is at least ``least``,
+so it is small enough to send.
 
 Defined results: documents without sentences on one side give no pair; English
 sentences written in Japanese, remarks and lines without letters pair with
@@ -28,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
@@ -214,7 +215,7 @@ def _mutual(score: np.ndarray, least: float, lead: float = 0.0) -> list[tuple[in
     return out
 
 
-def learn(read: DataFrame, pieces: int = 20_000, best: int = 5) -> tuple[dict, dict]:
+def learn(read: DataFrame, pieces: int = 20_000, least: float = 0.05) -> tuple[dict, dict]:
     """(piece -> [(word, probability)], word -> weight) counted over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,11 +252,10 @@ def learn(read: DataFrame, pieces: int = 20_000, best: int = 5) -> tuple[dict, d
     frequent = ones.where("e = '' AND f <> ''").orderBy(F.desc("n"), "f").limit(pieces).select("f", F.col("n").alias("nf"))
     ranked = counts.where("e <> '' AND f <> ''").join(F.broadcast(frequent), "f").join(F.broadcast(ones.where("f = '' AND e <> ''").orderBy(F.desc("n"), "e").limit(pieces).select("e", F.col("n").alias("ne"))), "e")
     # The Dice value keeps rare coincidences and words that go with everything down.
-    ranked = ranked.withColumn("dice", 2 * F.col("n") / (F.col("nf") + F.col("ne"))).withColumn("r", F.row_number().over(Window.partitionBy("f").orderBy(F.desc("dice"), "e"))).where(F.col("r") <= best)
+    ranked = ranked.withColumn("dice", 2 * F.col("n") / (F.col("nf") + F.col("ne"))).where(F.col("dice") >= least)
     table: dict[str, list[tuple[str, float]]] = {}
     for r in ranked.select("f", "e", "dice", "n", "nf").collect():
-        if r["dice"] >= 0.05:
-            table.setdefault(r["f"], []).append((r["e"], float(r["n"] / r["nf"] * min(1.0, r["dice"] * 1.5) ** 0.5)))
+        table.setdefault(r["f"], []).append((r["e"], float(r["n"] / r["nf"] * min(1.0, r["dice"] * 1.5) ** 0.5)))
     counts.unpersist()
     return table, {w: float(np.log((total + 1) / n)) for w, n in words.items()}
 

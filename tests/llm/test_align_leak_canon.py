@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fabula.llm.align import align, kana_sound, kanji_number, latin_sound
+from fabula.llm.align import align, kana_sound, kanji_number, latin_sound, learn, pack
 from fabula.llm.canon import canonical, former, same_reading
 from fabula.llm.leak import ItemIndex, allowed, best_place, leaks, terms, tokens
 
@@ -23,6 +23,14 @@ def test_alignment(spark):
     assert align(df.limit(0), "id", "ja", "en", glossary).count() == 0
 
 
+def test_every_word_of_a_piece_is_learned(spark):
+    anchors = {"#11": 3.0, "Nrt": 1.5}
+    words = [f"word{i}" for i in range(9)]
+    read = spark.createDataFrame([(bytearray(pack([(1, anchors, ["灯籠"])], [(1, anchors, [w])])),) for w in words for _ in range(2)], "read binary")
+    table, _ = learn(read)
+    assert sorted(e for e, _ in table["灯籠"]) == words
+
+
 def test_one_form():
     form = former()
     same = [
