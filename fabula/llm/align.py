@@ -51,6 +51,7 @@ _NUMBER = re.compile(r"\d+(?:\.\d+)*|[〇零一二三四五六七八九十百千
 _ALL_KANA, _KANA = re.compile("[ァ-ヴー]+"), re.compile("[ァ-ヴ]")
 _PART = re.compile(r"(?:#|[^\W\d_ァ-ヴー]){2,}")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_HIRAGANA = re.compile("[ぁ-ゖ]{2,}")
 _WORD = re.compile(r"[A-Za-zÀ-ÿ]+(?:[’'][a-z]+)?|\d+(?:\.\d+)*")
 #: Words that go with everything and tell nothing.
 _COMMON = frozenset("the of and to in on at by for was were had has have who that would not out but nor than from with without".split())
@@ -111,8 +112,9 @@ class Reader:
         self.ja_re = re.compile(f"(?=[{re.escape(''.join(sorted({t[0] for t in self.ja_things})))}])(?:{any_of(self.ja_things)})" if self.ja_things else r"(?!)")
         self.en_re = re.compile(rf"\b(?:{any_of(self.en_things)})\b")
 
-    def ja(self, s: str) -> tuple[dict[str, float], list[str]]:
+    def ja(self, s: str) -> tuple[dict[str, float], set[str], dict[str, set]]:
         anchors: dict[str, float] = {}
+        loans: dict[str, set] = {}
         for m in _NUMBER.finditer(s):
             n = kanji_number(m.group())
             if m.group()[0].isdigit() or len(n) > 1:
@@ -123,10 +125,13 @@ class Reader:
             word = name if _ALL_KANA.fullmatch(name) else name.translate(_TO_KANA)
             if (key := self.ja_names.get(word)) is not None:
                 anchors[key] = TERM
-            if len(_KANA.findall(name)) >= 2 and (sound := kana_sound(word)):
-                anchors["N" + sound] = NAME
+            if len(_KANA.findall(name)) >= 2:
+                loans[word] = {"N" + kana_sound(word), key}
+                if sound := kana_sound(word):
+                    anchors["N" + sound] = NAME
         grams = {x + y for part in _PART.findall(_NUMBER.sub("#", s)) for x, y in zip(part, part[1:]) if not ("ぁ" <= x <= "ゖ" and "ぁ" <= y <= "ゖ")}
-        return anchors, sorted(grams)
+        grams.update(_HIRAGANA.findall(s))
+        return anchors, grams, loans
 
     def en(self, s: str, names: set[str]) -> tuple[dict[str, float], list[str]]:
         anchors: dict[str, float] = {}
@@ -167,8 +172,13 @@ class Reader:
             sides.append(rows)
         for one, two in zip(*sides):
             left = [(line, *self.ja(x)) for line, x in one]
-            names = {a for _, anchors, _ in left for a in anchors if a[0] == "N"}
-            yield left, [(line, *self.en(x, names)) for line, x in two if not _CJK.search(x) and not _REMARK.match(x)]
+            names = {a for _, anchors, _, _ in left for a in anchors if a[0] == "N"}
+            right = [(line, *self.en(x, names)) for line, x in two if not _CJK.search(x) and not _REMARK.match(x)]
+            # Katakana words that no English name of the document answers may be loan words.
+            known = {a for _, anchors, _ in right for a in anchors}
+            for _, _, grams, loans in left:
+                grams.update(w for w, keys in loans.items() if known.isdisjoint(keys))
+            yield [(line, anchors, list(grams)) for line, anchors, grams, _ in left], right
 
 
 def pack(left: list, right: list) -> bytes:

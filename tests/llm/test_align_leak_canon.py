@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from fabula.llm.align import align, kana_sound, kanji_number, latin_sound, learn, pack
+from fabula.llm.align import Reader, align, kana_sound, kanji_number, latin_sound, learn, pack
 from fabula.llm.canon import canonical, former, same_reading
 from fabula.llm.leak import ItemIndex, allowed, best_place, leaks, terms, tokens
 
@@ -23,6 +23,11 @@ def test_alignment(spark):
     assert align(df.limit(0), "id", "ja", "en", glossary).count() == 0
 
 
+def test_loan_words_and_hiragana_are_pieces():
+    (left, right), *_ = Reader([]).read(["Dランクのロゼウィムはためらった。"], ["The rank D adventurer Lozewimh hesitated."])
+    assert {"ランク", "はためらった"} <= set(left[0][2]) and "ロゼウィム" not in left[0][2] and "rank" in right[0][2]
+
+
 def test_every_word_of_a_piece_is_learned(spark):
     anchors = {"#11": 3.0, "Nrt": 1.5}
     words = [f"word{i}" for i in range(9)]
