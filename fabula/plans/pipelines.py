@@ -55,11 +55,12 @@ def _with_arrival(raw: DataFrame, kind: str) -> DataFrame:
     return parsed.withColumn("arrival", F.monotonically_increasing_id())
 
 
-def profiles(texts: DataFrame, label: str, text: str, most: int = 200, labels: list[str] | None = None) -> DataFrame:
-    """(label, centroid, samples_used): mean prose vector of at most ``most`` texts per label (by hash); labels without a text have a zero vector."""
+def profiles(texts: DataFrame, label: str, text: str, most: int | None = 200, labels: list[str] | None = None) -> DataFrame:
+    """(label, centroid, samples_used): mean prose vector of at most ``most`` texts per label (by hash; None: of all); labels without a text have a zero vector."""
     dim = 384
-    ranked = texts.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(text), text))).where(F.col("_r") <= most)
-    e = with_prose_vector(ranked, text, "_v").select(label, F.posexplode("_v").alias("pos", "x")).groupBy(label, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    if most is not None:
+        texts = texts.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(text), text))).where(F.col("_r") <= most)
+    e = with_prose_vector(texts, text, "_v").select(label, F.posexplode("_v").alias("pos", "x")).groupBy(label, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
     out = e.groupBy(F.col(label).alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("centroid"), F.max("n").alias("samples_used"))
     if labels is None:
         return out

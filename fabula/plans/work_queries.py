@@ -522,6 +522,6 @@ def g_prose_genres(spark, d):
 
     ch = _t(spark, d, "chapter").where("text_en <> ''").select("id", "novel_id", "text_en").dropDuplicates(["id"])
     nv = novels(spark, d).select(F.col("id").alias("novel_id"), F.trim(F.split("genre", ",")[0]).alias("genre")).where(F.col("genre").isin(W.GENRE_PRIORITY))
-    rows = profiles(ch.join(nv, "novel_id"), "genre", "text_en", 50).select("label", "centroid").orderBy("label").collect()
+    rows = profiles(ch.join(nv, "novel_id"), "genre", "text_en", None).select("label", "centroid").orderBy("label").collect()
     out = with_genre_scores(with_prose_vector(ch, "text_en"), "text_en", "vector", [(r[0], r[1]) for r in rows])
     return out.select("id", "world", "plot", "label", F.get("genre_scores", F.lit(0))["score"].alias("score"))

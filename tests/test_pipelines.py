@@ -58,3 +58,12 @@ def test_radar_and_agnostic(spark):
     v = df.select(X.radar(df, "n")).first()[0]
     assert v[5] == 0.9 and v[6] == 0.5 and v[0] == 0.5
     assert df.select(X.agnostic(df, "ttr")).first()[0] == 0.48
+
+
+def test_genre_profiles_use_every_chapter(spark, monkeypatch):
+    from fabula.plans.work_queries import g_prose_genres
+
+    used, real = {}, P.profiles
+    monkeypatch.setattr(P, "profiles", lambda *a: [used.update({r["label"]: r["samples_used"] for r in real(*a).collect()}), real(*a)][1])
+    g_prose_genres(spark, "/root/testdata/sf0.01")
+    assert max(used.values()) > 50
