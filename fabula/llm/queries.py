@@ -34,11 +34,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Language, confidence and place of every stretch of every document."""
+    """Language, confidence and place of every stretch of every document, opening and English chapter text."""
     from .language import language_runs
 
-    docs = _t(spark, d, "documents").select("doc_id", "text").where("text <> ''")
-    return language_runs(docs, _profile(spark, d)).select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*").distinct()
+    runs = language_runs(_records(spark, d).drop("label"), _profile(spark, d))
+    return runs.select("record_kind", "rec_id", F.explode("runs").alias("r")).select("record_kind", "rec_id", "r.*").distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -55,3 +55,10 @@ def test_fit_on_labels_ignores_wrong_ones(spark):
     text = next(t for _, t, _, _ in segment_batch([HELD_OUT["de"]], [False]))
     df = spark.createDataFrame([(1, text)], "id long, text string")
     assert [r["lang"] for r in language_runs(df, p).first()["runs"]] == ["de"]
+
+
+def test_segments_of_all_three_tables(spark):
+    from fabula.llm.queries import p1_segments
+
+    rows = p1_segments(spark, "/root/testdata/sf0.001").collect()
+    assert {r["record_kind"] for r in rows} == {"documents", "arc_cache", "chapter"} and all(r["lang"] and r["confidence"] is not None for r in rows)
