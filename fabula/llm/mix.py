@@ -97,13 +97,11 @@ def report(sized: DataFrame, targets: DataFrame, block: int = 2048) -> DataFrame
     rates, _ = plan(sized, targets, block)
     rows = schedule(sized, targets, block)
     used = rows.groupBy("source").agg(F.sum("tokens").alias("taken_tokens"), F.count("*").alias("taken_documents"), F.max("pass").alias("passes"))
-    # Shares along the way, at a hundred marks: a source's tokens due by the mark against its share of all tokens due by then.
-    last = F.greatest(F.ceil(F.col("total") / block), F.lit(1))
-    share = F.broadcast(rates.select("source", "share", "total"))
-    step = rows.join(share, "source").withColumn("mark", F.least(F.floor(F.col("deadline") * 100 / last), F.lit(100)).cast("int")).groupBy("source", "mark").agg(F.sum("tokens").alias("t"))
-    grid = rates.select("source", "share", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("mark")).join(step, ["source", "mark"], "left")
-    grid = grid.withColumn("mine", F.sum(F.coalesce("t", F.lit(0))).over(Window.partitionBy("source").orderBy("mark")))
-    grid = grid.withColumn("all", F.sum("mine").over(Window.partitionBy("mark")))
+    # Shares along the way, at every deadline: a source's tokens due by then against its share of all tokens due by then.
+    step = rows.groupBy("source", "deadline").agg(F.sum("tokens").alias("t"))
+    grid = step.select("deadline").distinct().crossJoin(F.broadcast(rates.select("source", "share"))).join(step, ["source", "deadline"], "left")
+    grid = grid.withColumn("mine", F.sum(F.coalesce("t", F.lit(0))).over(Window.partitionBy("source").orderBy("deadline")))
+    grid = grid.withColumn("all", F.sum("mine").over(Window.partitionBy("deadline")))
     off = grid.groupBy("source").agg((F.max(F.abs(F.col("mine") - F.col("share") * F.col("all"))) / block).alias("worst_blocks"))
     total = F.sum("taken_tokens").over(Window.partitionBy())
     out = rates.join(used, "source").join(off, "source", "left")

@@ -39,6 +39,19 @@ def test_schedule_against_plain_edf(spark):
             assert abs(got[s] - w * total) <= 2 * 32
 
 
+def test_worst_deviation_is_that_of_every_deadline(spark):
+    goal = spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 2)], "source string, weight double, max_repeat int")
+    rows = schedule(sized(spark), goal, block=32).collect()
+    tokens, worst = {"big": 0, "small": 0}, {"big": 0.0, "small": 0.0}
+    for mark in sorted({r["deadline"] for r in rows}):
+        for r in rows:
+            if r["deadline"] == mark:
+                tokens[r["source"]] += r["tokens"]
+        for s, w in (("big", 0.6), ("small", 0.4)):
+            worst[s] = max(worst[s], abs(tokens[s] - w * sum(tokens.values())) / 32)
+    assert {r["source"]: r["worst_deviation_blocks"] for r in report(sized(spark), goal, block=32).collect()} == {s: round(x, 3) for s, x in worst.items()}
+
+
 def test_tokens(spark):
     import public_tokenizers as P
 
