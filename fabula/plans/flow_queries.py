@@ -110,6 +110,17 @@ def s_merged_cache(spark, d):
     return spark.read.parquet(path)
 
 
+@query("SELECT DISTINCT id, upper(title) AS title FROM stats_cache")
+def s_merged_whole(spark, d):
+    """K5: the whole cache, merged with changed titles for all of its rows."""
+    path = f"{scratch(spark)}/cache.parquet"
+    s = _t(spark, d, "stats_cache").select("id", "title").distinct()
+    sinks.merge_cache(s, path, "id")
+    sinks.merge_cache(s.withColumn("title", F.upper("title")), path, "id")
+    sinks.merge_cache(s.where("id < 0"), path, "id")
+    return spark.read.parquet(path)
+
+
 @query("SELECT DISTINCT id, upper(title) AS title FROM novel")
 def s_rebuilt(spark, d):
     """K7: a rebuild in steps; a second run finds nothing to do."""

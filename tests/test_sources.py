@@ -88,3 +88,12 @@ def test_all_features_columns(spark):
 
     df = with_features(spark.createDataFrame([("「はい」と言った。",)], "t string"), "t", "ja")
     assert df.select(F.col("ja_dialogue_ratio")).first()[0] > 0
+
+
+def test_the_whole_cache_is_merged(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    got = entry.queries()["s_merged_whole"](spark, d).collect()
+    want = {(r["id"], r["title"].upper()) for r in spark.read.parquet(f"{d}/stats_cache.parquet").select("id", "title").collect()}
+    assert len(got) == len(want) and {(r["id"], r["title"]) for r in got} == want
