@@ -131,7 +131,7 @@ class Sentences:
     def read(self, sentence: str) -> tuple[np.ndarray, list[float]]:
         toks, odd, caps = self.words.of(sentence)
         n = max(1, len(toks))
-        joined = "".join(toks) if any(ord(t[0]) >= 0x3000 for t in toks[:60]) else ""
+        joined = "".join(toks) if any(ord(t[0]) >= 0x3000 for t in toks) else ""
         second = [m.start() for m in _SECOND.finditer(sentence)]
         dense = [np.log1p(n), odd / n, caps / max(1, len(sentence)), sentence.count("!") + sentence.count("！"), float(bool(second)), float(sentence[:1] in "\"“「『‘«")]
         for k in KINDS:
@@ -386,7 +386,7 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
     """The model of the ratings ``labels`` (doc_id, kind) of ``docs`` (doc_id, text)."""
     raters = labels.where(F.col("doc_id").isNotNull() & F.col("kind").isNotNull()).groupBy("doc_id").agg(*[F.avg((F.col("kind") == k).cast("double")).alias(k) for k in KINDS])
     picked = raters.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)

@@ -107,3 +107,13 @@ def test_without_ratings(spark):
     model = B.fit(d, spark.createDataFrame([], "doc_id long, kind string"))
     got = {r["doc_id"]: r["abuse"] for r in B.scores(d, model, ["doc_id"]).collect()}
     assert got[1] > got[2] == 0
+
+
+def test_wide_terms_after_sixty_tokens_count():
+    kind, word = next((k, w) for k, v in B.LEXICON.items() for w in v.split() if ord(w[0]) >= 0x3000)
+    _, dense = B.Sentences(set()).read("word " * 70 + word)
+    assert dense[6 + 3 * B.KINDS.index(kind)] >= 1
+
+
+def test_sample_of_ratings():
+    assert B.fit.__defaults__[-1] == 12_000
