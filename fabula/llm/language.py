@@ -2,13 +2,15 @@
 
 Hyperdimensional profiles: every letter has a random vector of ``DIM`` signs; an
 n-gram vector binds (multiplies) the letter vectors permuted (rolled) by their
-place; the n-gram vectors of a language, weighted by how much the n-gram speaks
-for it (the log of its share against the mean share, hence prototypes of like length), are bundled (added) into its prototype, and a sentence is compared with
-the prototypes by cosine.  As the dot product with a bundle is the sum of the dot
-products with its parts, the products of all n-grams of the training text with
-the prototypes are computed once on the driver and sent to the tasks as one table
-of fixed size (``FEATURES`` x 8 floats); the length of a sentence's vector is
-taken at its expected value, the root of the sum of squared n-gram counts.
+place (by whole bytes of signs); the n-gram vectors of a language, weighted by how much the n-gram speaks
+for it (the log of its share against the mean share), are bundled (added) into its
+prototype, and a sentence is compared with the prototypes by cosine.  As the dot
+product with a bundle is the sum of the dot products with its parts, the products
+of all n-grams of the training text with the prototypes, divided by the prototypes'
+lengths, are computed once on the driver and sent to the tasks as one table of
+fixed size (``FEATURES`` x 8 floats).  The length of a sentence's vector is the
+root of the sum of squared n-gram counts (times the root of ``DIM``), for n-gram
+vectors are orthogonal up to 1 / sqrt(DIM).
 
 Training text: ``SEED`` below and, of at most ``sample`` labelled rows (smallest
 hash of the key, default 4,000), those sentences on which the seed profile agrees
@@ -36,17 +38,27 @@ ALIASES = {
     "pt": "pt por portuguese português", "fr": "fr fra fre french français", "de": "de deu ger german deutsch", "ko": "ko kor korean kr 한국어",
 }
 UNLABELLED = ("", "und", "unknown", "none", "null", "mul", "n/a")
-DIM = 16384
+DIM = 32768
+#: Least lead of the best cosine, and of the best product, over the next.
+MARGIN, LEAST = 0.02, 0.1
 
 SEED = {
-    "en": "The old man was waiting at the gate and nobody knew why she had left the house before the rain. It was the first time that they had seen such a thing, and he could not say what would happen next. Who would have thought that her brother had been there with them for years? Thanks for the update! I did not expect this chapter to end like that, but the writing is good and the story is worth reading. If you had stayed longer, we would have kept the letter. There is something about these people which I cannot understand. Without looking up, the captain walked through the market while his soldiers were asleep.",
-    "es": "El viejo estaba esperando en la puerta y nadie sabía por qué ella había dejado la casa antes de que llegara la lluvia. Era la primera vez que veían algo así, y él no podía decir lo que iba a pasar después. ¿Quién hubiera pensado que su hermano había estado allí con ellos durante años? Gracias por el capítulo. No esperaba que terminara de esta manera, pero la historia vale la pena. Después de la cena, las mujeres volvieron a la ciudad con los niños y el perro. Cuando amaneció, encontró la llave junto al río y se la dio a su madre. Le dijo que ya no quería hablar con nadie más.",
-    "pt": "O velho estava esperando no portão e ninguém sabia por que ela havia deixado a casa antes de a chuva chegar. Era a primeira vez que viam uma coisa assim, e ele não podia dizer o que iria acontecer depois. Quem teria pensado que o seu irmão tinha estado lá com eles durante anos? Obrigado pelo capítulo. Não esperava que terminasse desta maneira, mas a história vale a pena. Depois do jantar, as mulheres voltaram para a cidade com as crianças e o cão. Quando amanheceu, encontrou a chave junto ao rio e a deu à sua mãe. Disse que já não queria falar com mais ninguém. Então eles esconderam os livros atrás da estalagem.",
-    "fr": "Le vieil homme attendait à la porte et personne ne savait pourquoi elle avait quitté la maison avant la pluie. C'était la première fois qu'ils voyaient une chose pareille, et il ne pouvait pas dire ce qui allait se passer ensuite. Qui aurait cru que son frère avait été là avec eux pendant des années ? Merci pour le chapitre. Je ne m'attendais pas à ce qu'il finisse de cette façon, mais l'histoire vaut la peine. Après le dîner, les femmes revinrent dans la ville avec les enfants et le chien. Au lever du jour, il retrouva la clé près de la rivière et la donna à sa mère. Il dit qu'il ne voulait plus parler à personne.",
-    "de": "Der alte Mann wartete am Tor und niemand wusste, warum sie das Haus vor dem Regen verlassen hatte. Es war das erste Mal, dass sie so etwas sahen, und er konnte nicht sagen, was danach geschehen würde. Wer hätte gedacht, dass ihr Bruder jahrelang mit ihnen dort gewesen war? Danke für das Kapitel. Ich habe nicht erwartet, dass es auf diese Weise endet, aber die Geschichte ist es wert. Nach dem Abendessen kehrten die Frauen mit den Kindern und dem Hund in die Stadt zurück. Als der Morgen graute, fand er den Schlüssel am Fluss und gab ihn seiner Mutter. Er sagte, dass er mit niemandem mehr sprechen wolle.",
-    "ja": "老人は門で待っていて、なぜ彼女が雨の前に家を出たのか誰も知らなかった。そんなものを見るのは初めてで、次に何が起こるのか彼には言えなかった。誰が思っただろうか。更新ありがとうございます！この章がこう終わるとは思いませんでしたが、物語は読む価値があります。夕食の後、女たちは子供たちと犬を連れて町へ戻った。夜明けに川のそばで鍵を見つけ、母に渡した。もう誰とも話したくないと言った。第一話。第百二十三話。幕間。序章。終章。登場人物紹介。",
-    "zh": "老人在门口等着，谁也不知道她为什么在下雨之前离开了家。他们第一次看到这样的东西，他说不出接下来会发生什么。谁能想到她的哥哥多年来一直和他们在一起呢？感谢更新！没想到这一章会这样结束，不过故事值得一读。晚饭以后，女人们带着孩子和狗回到了城里。天亮的时候，他在河边找到了钥匙，把它交给了母亲。他说不想再和任何人说话了。第一章。第一百二十三章。间章。序章。終章。老人在門口等著，誰也不知道她為什麼離開了家。他們說這個故事還沒有結束。這是誰的東西呢？",
-    "ko": "노인은 문에서 기다리고 있었고 그녀가 왜 비가 오기 전에 집을 떠났는지 아무도 몰랐다. 그런 것을 보는 것은 처음이었고, 그는 다음에 무슨 일이 일어날지 말할 수 없었다. 누가 생각이나 했을까? 업데이트 감사합니다! 이 장이 이렇게 끝날 줄은 몰랐지만 이야기는 읽을 가치가 있습니다. 저녁을 먹은 뒤 여자들은 아이들과 개를 데리고 마을로 돌아갔다. 날이 밝자 강가에서 열쇠를 찾아 어머니에게 주었다. 더 이상 누구와도 말하고 싶지 않다고 했다.",
+    "en": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. Everyone has the right to life, liberty and security of person. No one shall be held in slavery or servitude. No one shall be subjected to torture or to cruel, inhuman or degrading treatment or punishment. Everyone has the right to recognition everywhere as a person before the law. "
+    "Could you please tell me where the nearest station is? I have been working in this office since last summer. We are going to eat bread, cheese and apples for lunch. My sister lives in a big house with two cats. Don't forget to close the windows when you leave. It is raining again, so let us stay at home. What time does your train arrive? He doesn't want to talk about his work. Shut your mouth or I will hit you. You are a good friend, but this is too much for me. The water was cold and the road was long. These books belong to our teacher. That doctor always helps poor people. Thank you very much, see you tomorrow.",
+    "es": "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros. Todo individuo tiene derecho a la vida, a la libertad y a la seguridad de su persona. Nadie estará sometido a esclavitud ni a servidumbre. Nadie será sometido a torturas ni a penas o tratos crueles, inhumanos o degradantes. Todo ser humano tiene derecho, en todas partes, al reconocimiento de su personalidad jurídica. "
+    "¿Podría decirme dónde está la estación más cercana, por favor? Trabajo en esta oficina desde el verano pasado. Vamos a comer pan, queso y manzanas a mediodía. Mi hermana vive en una casa grande con dos gatos. No olvides cerrar las ventanas cuando salgas. Está lloviendo otra vez, así que quedémonos en casa. ¿A qué hora llega tu tren? Él no quiere hablar de su trabajo. Cierra la boca o te pego. Eres un buen amigo, pero esto es demasiado para mí. El agua estaba fría y el camino era largo. Estos libros son de nuestro maestro. Ese médico siempre ayuda a los pobres. Ojalá se mejore pronto. Me duelen los dientes y la cabeza. Tiró la basura y rompió un pedazo de vidrio. Muchas gracias, hasta mañana.",
+    "pt": "Todos os seres humanos nascem livres e iguais em dignidade e em direitos. Dotados de razão e de consciência, devem agir uns para com os outros em espírito de fraternidade. Todo o indivíduo tem direito à vida, à liberdade e à segurança pessoal. Ninguém será mantido em escravatura ou em servidão. Ninguém será submetido a tortura nem a penas ou tratamentos cruéis, desumanos ou degradantes. Todos os indivíduos têm direito ao reconhecimento, em todos os lugares, da sua personalidade jurídica. "
+    "Você poderia me dizer onde fica a estação mais próxima, por favor? Trabalho neste escritório desde o verão passado. Vamos comer pão, queijo e maçãs ao meio-dia. A minha irmã mora numa casa grande com dois gatos. Não se esqueça de fechar as janelas quando sair. Está chovendo outra vez, então vamos ficar em casa. A que horas chega o seu trem? Ele não quer falar do seu trabalho. Cale a boca ou eu bato em você. És um bom amigo, mas isto é demais para mim. A água estava fria e o caminho era longo. Estes livros são do nosso professor. Esse médico sempre ajuda os pobres. Tomara que melhore logo. Doem-me os dentes e a cabeça. Jogou o lixo fora e quebrou um pedaço de vidro. Muito obrigado, até amanhã.",
+    "fr": "Tous les êtres humains naissent libres et égaux en dignité et en droits. Ils sont doués de raison et de conscience et doivent agir les uns envers les autres dans un esprit de fraternité. Tout individu a droit à la vie, à la liberté et à la sûreté de sa personne. Nul ne sera tenu en esclavage ni en servitude. Nul ne sera soumis à la torture, ni à des peines ou traitements cruels, inhumains ou dégradants. Chacun a le droit à la reconnaissance en tous lieux de sa personnalité juridique. "
+    "Pourriez-vous me dire où se trouve la gare la plus proche, s'il vous plaît ? Je travaille dans ce bureau depuis l'été dernier. Nous allons manger du pain, du fromage et des pommes à midi. Ma sœur habite une grande maison avec deux chats. N'oublie pas de fermer les fenêtres quand tu sors. Il pleut encore, alors restons chez nous. À quelle heure arrive ton train ? Il ne veut pas parler de son travail. Ferme ta bouche ou je te frappe. Tu es un bon ami, mais c'est trop pour moi. L'eau était froide et la route était longue. Ces livres sont à notre professeur. Ce médecin aide toujours les pauvres. J'ai mal aux dents et à la tête. Merci beaucoup, à demain.",
+    "de": "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen. Jeder hat das Recht auf Leben, Freiheit und Sicherheit der Person. Niemand darf in Sklaverei oder Leibeigenschaft gehalten werden. Niemand darf der Folter oder grausamer, unmenschlicher oder erniedrigender Behandlung oder Strafe unterworfen werden. Jeder hat das Recht, überall als rechtsfähig anerkannt zu werden. "
+    "Könnten Sie mir bitte sagen, wo der nächste Bahnhof ist? Ich arbeite seit dem letzten Sommer in diesem Büro. Wir essen zu Mittag Brot, Käse und Äpfel. Meine Schwester wohnt mit zwei Katzen in einem großen Haus. Vergiss nicht, die Fenster zu schließen, wenn du gehst. Es regnet schon wieder, also bleiben wir zu Hause. Um wie viel Uhr kommt dein Zug an? Er will nicht über seine Arbeit sprechen. Halt den Mund oder ich schlage dich. Du bist ein guter Freund, aber das ist zu viel für mich. Das Wasser war kalt und der Weg war lang. Diese Bücher gehören unserem Lehrer. Dieser Arzt hilft immer den armen Leuten. Mir tun die Zähne und der Kopf weh. Vielen Dank, bis morgen.",
+    "ja": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており、互いに同胞の精神をもって行動しなければならない。すべて人は、生命、自由及び身体の安全に対する権利を有する。何人も、奴隷にされ、又は苦役に服することはない。何人も、拷問又は残虐な、非人道的な若しくは屈辱的な取扱若しくは刑罰を受けることはない。"
+    "一番近い駅はどこか教えていただけますか。去年の夏からこの事務所で働いています。お昼にパンとチーズとりんごを食べましょう。姉は二匹の猫と大きな家に住んでいる。出かける時は窓を閉めるのを忘れないで。また雨が降っているから家にいよう。黙れ、さもないと殴るぞ。この本は先生のものです。水は冷たく、道は長かった。どうもありがとうございました、また明日。第一話。第百二十三話。序章。終章。登場人物紹介。",
+    "zh": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。人人有权享有生命、自由和人身安全。任何人不得使为奴隶或奴役。任何人不得加以酷刑，或施以残忍的、不人道的或侮辱性的待遇或刑罚。人人生而自由，在尊嚴和權利上一律平等。他們賦有理性和良心，並應以兄弟關係的精神相對待。"
+    "请问最近的车站在哪里？我从去年夏天开始在这个办公室工作。中午我们吃面包、奶酪和苹果吧。我姐姐和两只猫住在一所大房子里。出门的时候别忘了关窗户。又下雨了，我们就待在家里吧。闭嘴，不然我打你。这些书是我们老师的。水很冷，路很长。请告诉我你们什么时候到。非常感谢，明天见。請問最近的車站在哪裡？這些書是我們老師的。我從去年夏天開始在這個辦公室工作。第一章。第一百二十三章。序章。終章。",
+    "ko": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다. 모든 사람은 생명과 신체의 자유와 안전에 대한 권리를 가진다. 어느 누구도 노예상태 또는 예속상태에 놓여지지 아니한다. "
+    "가장 가까운 역이 어디인지 알려 주시겠어요? 저는 작년 여름부터 이 사무실에서 일하고 있습니다. 점심에 빵과 치즈와 사과를 먹읍시다. 언니는 고양이 두 마리와 큰 집에서 산다. 나갈 때 창문 닫는 것을 잊지 마라. 또 비가 오니까 집에 있자. 이 책은 우리 선생님의 것이다. 물은 차갑고 길은 길었다. 입 다물어라. 정말 고맙습니다, 내일 만나요.",
 }
 
 _LETTERS = "abcdefghijklmnopqrstuvwxyzáàâãäåçèéêëìíîïñòóôõöùúûüÿßœæ"
@@ -54,6 +66,10 @@ _CLASS = np.zeros(0x110000, np.uint8)
 for _k, _c in enumerate(_LETTERS):
     _CLASS[ord(_c)] = _CLASS[ord(_c.upper()[0])] = _k + 1
 _CLASS[ord("S")] = _LETTERS.index("s") + 1
+_UPPER = np.zeros(0x110000, bool)
+for _c in _LETTERS:
+    _UPPER[ord(_c.upper()[0])] = True
+_UPPER[0xFF21:0xFF3B] = True
 for _c in range(0xFF21, 0xFF3B):
     _CLASS[_c] = _CLASS[_c + 32] = _c - 0xFF21 + 1
 _WIDE = np.zeros(0x110000, bool)
@@ -65,9 +81,18 @@ FEATURES = _LATIN + 2 * _UNI
 _WIDE_WEIGHT = 2.0
 
 
-def _features(code: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(positions, feature numbers) of the n-grams of a text: three letters of a spaced script, one and two of an unspaced one."""
+def _features(code: np.ndarray, names: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(positions, feature numbers) of the n-grams of a text: three letters of a spaced script, one and two of an unspaced one.
+
+    Words that begin with a capital are mostly names or headings and say little of the language: they count only with ``names``."""
     cls = _CLASS[code].astype(np.int32)
+    if not names:
+        letter = cls > 0
+        first = letter & ~np.concatenate([[False], letter[:-1]])
+        heads = np.flatnonzero(first)
+        if len(heads):
+            capital = _UPPER[code[heads]]
+            cls[letter & capital[np.maximum(np.cumsum(first) - 1, 0)]] = 0
     pad = np.concatenate([[0], cls, [0]])
     tri = (pad[:-2] << 12) | (pad[1:-1] << 6) | pad[2:]
     at = np.flatnonzero(cls)
@@ -101,55 +126,80 @@ class Profile:
         share = counts[:, seen] / np.maximum(counts.sum(1, keepdims=True), 1) + 2e-5
         weight = np.clip(np.log(share / share.mean(0)), -2.5, 2.5)
         weight[:, seen >= _LATIN] *= _WIDE_WEIGHT
-        rng = np.random.default_rng(seed)
-        latin = rng.choice(np.array([-1, 1], np.int8), (64, DIM))
+        latin = [self._signs(seed, 1 << 20 | k) for k in range(64)]
+        wide: dict[int, np.ndarray] = {}
+
+        def letter(n: int) -> np.ndarray:
+            if n not in wide:
+                wide[n] = self._signs(seed, n)
+            return wide[n]
 
         def vectors(numbers: np.ndarray) -> np.ndarray:
-            out = np.empty((len(numbers), DIM), np.int8)
+            """Packed signs; of signs kept as bits, the product is the exclusive or."""
+            out = np.empty((len(numbers), DIM // 8), np.uint8)
             for i, n in enumerate(numbers.tolist()):
                 if n < _LATIN:
-                    out[i] = np.roll(latin[n >> 12], 2) * np.roll(latin[(n >> 6) & 63], 1) * latin[n & 63]
+                    out[i] = np.roll(latin[n >> 12], 2) ^ np.roll(latin[(n >> 6) & 63], 1) ^ latin[n & 63]
                 elif n < _LATIN + _UNI:
-                    out[i] = np.random.default_rng([seed, n - _LATIN]).choice(np.array([-1, 1], np.int8), DIM)
+                    out[i] = letter(n - _LATIN)
                 else:
-                    a, b = (np.random.default_rng([seed, x & 0xFFFF]).choice(np.array([-1, 1], np.int8), DIM) for x in pairs[n])
-                    out[i] = np.roll(a, 1) * b
+                    a, b = (letter(x & 0xFFFF) for x in pairs[n])
+                    out[i] = np.roll(a, 1) ^ b
             return out
 
         self.table = np.zeros((FEATURES, len(LANGS)), np.float32)
-        for lo, hi in ((0, _LATIN), (_LATIN, FEATURES)):  # spaced and unspaced scripts have prototypes of their own
+        for lo, hi in ((0, _LATIN), (_LATIN, FEATURES)):  # spaced and unspaced scripts have subspaces, so prototypes, of their own
             own = np.flatnonzero((seen >= lo) & (seen < hi))
             prototype = np.zeros((len(LANGS), DIM), np.float32)
             made = []
             for s in (own[i : i + 512] for i in range(0, len(own), 512)):
-                made.append((s, np.packbits(vectors(seen[s]) > 0, axis=1)))
+                made.append((s, vectors(seen[s])))
                 prototype += weight[:, s] @ (np.unpackbits(made[-1][1], axis=1).astype(np.float32) * 2 - 1)
+            prototype /= np.maximum(np.linalg.norm(prototype, axis=1, keepdims=True), 1e-9) * np.sqrt(DIM)
+            if lo:
+                prototype *= _WIDE_WEIGHT
             for s, bits in made:
-                self.table[seen[s]] = (np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1) @ (prototype / DIM).T
+                self.table[seen[s]] = (np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1) @ prototype.T
+
+    @staticmethod
+    def _signs(seed: int, n: int) -> np.ndarray:
+        return np.frombuffer(np.random.default_rng([seed, n]).bytes(DIM // 8), np.uint8)
 
-    def cosines(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the sentences [start, end) of one code array: sums of products, and the expected length of their vectors."""
+    def cosines(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Of the sentences [start, end) of one code array: their products with the prototypes of length one, and the lengths of their vectors.
+        A cosine is a product divided by the length (0: no n-gram)."""
         total = np.zeros((len(starts), len(LANGS)), np.float64)
-        size = np.zeros(len(starts))
-        for at, number in _features(code):
+        square = np.zeros(len(starts))
+        for at, number in _features(code, names):
             if not len(at):
                 continue
             lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
-            n = hi - lo
-            size += n
-            live = np.flatnonzero(n)
-            for k in range(len(LANGS)):
-                run = np.concatenate([[0.0], np.cumsum(self.table[:, k][number], dtype=np.float64)])
-                total[live, k] += run[hi[live]] - run[lo[live]]
-        return total, np.sqrt(np.maximum(size, 1))
+            live = np.flatnonzero(hi - lo)
+            run = np.zeros((len(at) + 1, len(LANGS)))
+            np.cumsum(self.table[number], axis=0, dtype=np.float64, out=run[1:])
+            total[live] += run[hi[live]] - run[lo[live]]
+            which = np.repeat(np.arange(len(starts)), hi - lo)
+            inside = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+            keys = np.sort(which * FEATURES + number[inside])
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            count = np.diff(np.append(first, len(keys)))
+            square += np.bincount(keys[first] // FEATURES, weights=count * count, minlength=len(starts))
+        return total, np.sqrt(square)
+
+
+def sure_of(total: np.ndarray, size: np.ndarray, margin: float, least: float) -> np.ndarray:
+    """Whether the best cosine leads the next one by ``margin``, and by more the shorter the sentence: the lead of the products themselves, so the
+    evidence summed over the n-grams, must reach ``least`` too."""
+    order = np.sort(total, axis=1)
+    lead = order[:, -1] - order[:, -2]
+    return (size > 0) & (lead >= margin * size) & (lead >= least)
 
 
-def runs_of(spans: list[tuple[int, int]], total: np.ndarray, size: np.ndarray, margin: float) -> list[tuple[int, int, str, float]]:
-    """(start, end, language, confidence) of the maximal runs of sentences in one language."""
-    order = np.sort(total, axis=1)
-    gap = (order[:, -1] - order[:, -2]) / size
-    best = total.argmax(1)
-    lang = [int(b) if g >= margin else -1 for b, g in zip(best, gap)]
+def runs_of(spans: list[tuple[int, int]], total: np.ndarray, size: np.ndarray, margin: float, least: float) -> list[tuple[int, int, str, float]]:
+    """(start, end, language, confidence) of the maximal runs of sentences in one language; a sentence without enough evidence takes the language
+    of the one before it (at the start: after it)."""
+    sure = sure_of(total, size, margin, least)
+    lang = [int(b) if ok else -1 for b, ok in zip(total.argmax(1), sure)]
     last = -1
     for i, x in enumerate(lang):
         if x < 0:
@@ -166,9 +216,9 @@ def runs_of(spans: list[tuple[int, int]], total: np.ndarray, size: np.ndarray, m
         j = i
         while j + 1 < len(lang) and lang[j + 1] == lang[i]:
             j += 1
-        own, n = total[i : j + 1].sum(0), float(np.sqrt((size[i : j + 1] ** 2).sum()))
+        own = total[i : j + 1].sum(0)
         rest = max(float(own[k]) for k in range(len(LANGS)) if k != lang[i])
-        out.append((spans[i][0], spans[j][1], LANGS[lang[i]], round(float(1 / (1 + np.exp(-0.5 * (float(own[lang[i]]) - rest) / n))), 4)))
+        out.append((spans[i][0], spans[j][1], LANGS[lang[i]], round(float(1 / (1 + np.exp(-(float(own[lang[i]]) - rest) / least))), 4)))
         i = j + 1
     return out
 
@@ -182,31 +232,35 @@ def label_column(label: Column) -> Column:
     return F.when(base.isin(*UNLABELLED), F.lit(None).cast("string")).otherwise(F.coalesce(known, base))
 
 
-def fit(labelled: DataFrame | None = None, sample: int = 4000, margin: float = 0.3) -> Profile:
-    """The profile of ``SEED`` and of at most ``sample`` rows of ``labelled`` (key, text, lang; lang already normalised)."""
+def fit_rows(rows: list[tuple[str, str]], margin: float = MARGIN, least: float = LEAST) -> Profile:
+    """The profile of ``SEED`` and of those sentences of the (label, text) rows on which the seed's profile agrees with the label."""
     texts = {k: [v] for k, v in SEED.items()}
     profile = Profile(texts)
+    for k, clean, spans, _ in segment_batch([r[1] for r in rows], [r[0] in ("ja", "zh") for r in rows]):
+        if not spans:
+            continue
+        a, label = np.asarray(spans), rows[k][0]
+        total, size = profile.cosines(_codes(clean), a[:, 0], a[:, 1])
+        sure = sure_of(total, size, margin, least)
+        texts[label] += [clean[s:e] for (s, e), k, ok in zip(spans, total.argmax(1), sure) if ok and LANGS[k] == label]
+    return Profile(texts, least=3) if rows else profile
+
+
+def fit(labelled: DataFrame | None = None, sample: int = 4000) -> Profile:
+    """The profile of ``SEED`` and of at most ``sample`` rows of ``labelled`` (key, text, lang; lang already normalised)."""
     if labelled is None:
-        return profile
+        return fit_rows([])
     key, text, lang = labelled.columns
     fit_for = labelled.where(F.col(lang).isin(*LANGS) & F.col(text).isNotNull())
     keys = fit_for.select(key).orderBy(F.xxhash64(key), key).limit(sample)  # keys alone: a partition sends the driver ids, not texts
     rows = fit_for.join(F.broadcast(keys.distinct()), key, "left_semi").dropDuplicates([key]).orderBy(key).select(lang, text).collect()
-    for _, clean, spans, label in ((k, t, s, rows[k][0]) for k, t, s, _ in segment_batch([r[1] for r in rows], [r[0] in ("ja", "zh") for r in rows])):
-        if not spans:
-            continue
-        a = np.asarray(spans)
-        total, size = profile.cosines(_codes(clean), a[:, 0], a[:, 1])
-        order = np.sort(total, axis=1)
-        sure = (order[:, -1] - order[:, -2]) / size >= margin
-        texts[label] += [clean[s:e] for (s, e), k, ok in zip(spans, total.argmax(1), sure) if ok and LANGS[k] == label]
-    return Profile(texts, least=3)
+    return fit_rows([(r[0], r[1]) for r in rows])
 
 
 _CHUNK = 400_000
 
 
-def _batches(texts: list, lines: list[bool], profile: Profile, margin: float) -> Iterator[tuple[int, list]]:
+def _batches(texts: list, lines: list[bool], profile: Profile, margin: float = MARGIN, least: float = LEAST) -> Iterator[tuple[int, list]]:
     """For each text its number and its runs, in positions of the stored text."""
     held, chars = [], 0
 
@@ -220,9 +274,13 @@ def _batches(texts: list, lines: list[bool], profile: Profile, margin: float) ->
             base += len(t) + 2
         total, size = profile.cosines(code, np.concatenate(starts), np.concatenate(ends))
         at = 0
-        for k, _, spans, where in held:
-            own = runs_of(spans, total[at : at + len(spans)], size[at : at + len(spans)], margin)
+        for k, t, spans, where in held:
+            own_total, own_size = total[at : at + len(spans)], size[at : at + len(spans)]
             at += len(spans)
+            if not sure_of(own_total, own_size, margin, least).any():  # all capitals, say: then every letter counts
+                a = np.asarray(spans, np.int64)
+                own_total, own_size = profile.cosines(_codes(t), a[:, 0], a[:, 1], names=True)
+            own = runs_of(spans, own_total, own_size, margin, least)
             yield k, [(a + 1, b, lang, conf) if where is None else (int(where[a]) + 1, int(where[b - 1]) + 1, lang, conf) for a, b, lang, conf in own]
 
     for k, text, spans, where in segment_batch(texts, lines):
@@ -236,7 +294,7 @@ def _batches(texts: list, lines: list[bool], profile: Profile, margin: float) ->
         yield from flush()
 
 
-def language_runs(df: DataFrame, profile: Profile, margin: float = 0.3) -> DataFrame:
+def language_runs(df: DataFrame, profile: Profile, margin: float = MARGIN, least: float = LEAST) -> DataFrame:
     """Adds to each row of ``df`` (any columns, one of them ``text``) the array ``runs`` of (seg, lang, confidence, start_pos, end_pos) and drops
     the text.  Rows without a letter get an empty array.  ``df`` must not have a column ``runs``."""
     spark: SparkSession = df.sparkSession
@@ -252,15 +310,15 @@ def language_runs(df: DataFrame, profile: Profile, margin: float = 0.3) -> DataF
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found: list = [[] for _ in texts]
-            for k, runs in _batches(texts, [False] * len(texts), own, margin):
+            for k, runs in _batches(texts, [False] * len(texts), own, margin, least):
                 found[k] = [{"seg": i + 1, "lang": lang, "confidence": conf, "start_pos": a, "end_pos": b} for i, (a, b, lang, conf) in enumerate(runs)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(found, arrow)], [*keep, "runs"])
 
     return df.select(*keep, "text").mapInArrow(run, schema)
 
 
-def label_cases(df: DataFrame, profile: Profile, margin: float = 0.3) -> DataFrame:
+def label_cases(df: DataFrame, profile: Profile, margin: float = MARGIN, least: float = LEAST) -> DataFrame:
     """Runs of the records of ``df`` (record_kind, rec_id, label, text) whose label is missing or wrong or whose text is mixed."""
-    out = language_runs(df.select("record_kind", "rec_id", label_column(F.col("label")).alias("label"), "text"), profile, margin)
+    out = language_runs(df.select("record_kind", "rec_id", label_column(F.col("label")).alias("label"), "text"), profile, margin, least)
     wrong = (F.size("runs") > 1) | ((F.size("runs") == 1) & ~F.col("runs")[0]["lang"].eqNullSafe(F.col("label")))
     return out.where(wrong).select("record_kind", "rec_id", F.explode("runs").alias("r")).select("record_kind", "rec_id", "r.*")

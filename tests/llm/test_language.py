@@ -31,6 +31,12 @@ def test_mixed(spark):
     assert runs(spark, text) == [("en", 1), ("es", 2), ("ja", 3), ("en", 4)]
 
 
+def test_headings_and_names_are_no_evidence(spark):
+    assert runs(spark, "134 - NANEDO\n\n" + HELD_OUT["en"]) == [("en", 1)]
+    assert runs(spark, HELD_OUT["de"] + "\n\nVANENEL SANELUL\n\n" + HELD_OUT["de"]) == [("de", 1)]
+    assert runs(spark, HELD_OUT["es"].upper()) == [("es", 1)]
+
+
 def test_edge_texts(spark):
     for text in (None, "", " ", "12 34", "***"):
         assert runs(spark, text) == []
