@@ -155,15 +155,26 @@ def prints(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.select(key, *fields).mapInArrow(run, f"{key} {kind}, field_name string, k1 long, k2 long, raw long")
 
 
-def same_reading(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Pairs (id_a < id_b, field_name) of rows whose field reads the same but isn't the same string; repeated rows of a key count once.
+def reading_classes(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One row per row and field that reads like another one stored otherwise: ``key``, ``field_name``, ``class_id`` (least key of the reading),
+    ``form_id`` (least key with the same stored string), ``forms`` and ``members`` of the reading, and ``links``, its members in other forms.
 
-    Only prints are shuffled.  Readings with one stored form are dropped by a pre-aggregated count before the pairs are made, and the pairs of
-    a reading are those of different forms only, so that copies of one string pair with nothing.
+    Only prints are shuffled; counts are pre-aggregated by stored form, so copies of one string meet as one row.  Repeated rows of a key count once.
     """
     rows = cut(prints(df, key, fields).distinct())
-    several = rows.groupBy("field_name", "k1", "k2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field_name", "k1", "k2")
-    left = cut(rows.join(several, ["field_name", "k1", "k2"], "left_semi"))
+    reading = ["field_name", "k1", "k2"]
+    forms = rows.groupBy(*reading, "raw").agg(F.count("*").alias("own"), F.min(key).alias("form_id"))
+    several = forms.groupBy(*reading).agg(F.sum("own").alias("members"), F.count("*").alias("forms"), F.min("form_id").alias("class_id")).where("forms > 1")
+    wanted = forms.join(several, reading).select("field_name", "k1", "k2", "raw", "class_id", "form_id", "forms", "members", (F.col("members") - F.col("own")).alias("links"))
+    return rows.join(wanted, [*reading, "raw"]).select(key, "field_name", "class_id", "form_id", "forms", "members", "links")
+
+
+def same_reading(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Pairs (id_a < id_b, field_name) of rows whose field reads the same but isn't the same string: the links of ``reading_classes`` written out.
+
+    The pairs of a reading are those of different forms only, so that copies of one string pair with nothing.
+    """
+    left = cut(reading_classes(df, key, fields).select(key, "field_name", "class_id", "form_id"))
     a, b = left.alias("a"), left.alias("b")
-    on = (F.col("a.field_name") == F.col("b.field_name")) & (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.raw") != F.col("b.raw")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
+    on = (F.col("a.field_name") == F.col("b.field_name")) & (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a.form_id") != F.col("b.form_id")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
     return a.join(b, on).select(F.col(f"a.{key}").alias("id_a"), F.col(f"b.{key}").alias("id_b"), F.col("a.field_name").alias("field_name"))
