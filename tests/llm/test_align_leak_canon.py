@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from fabula.llm.align import Reader, align, kana_sound, kanji_number, latin_sound, learn, pack
-from fabula.llm.canon import canonical, former, same_reading
-from fabula.llm.leak import ItemIndex, allowed, best_place, leaks, terms, tokens
+from fabula.llm.canon import canonical, former, reading_classes, same_reading
+from fabula.llm.leak import Pattern, Shard, allowed, best_place, leaks, terms, tokens
 
 
 def test_sounds_and_numbers():
@@ -58,7 +60,9 @@ def test_same_reading(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "id long, t string, k1 int")
     got = sorted((r["id_a"], r["id_b"]) for r in same_reading(df, "id", ["t"]).collect())
     assert got == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
-    assert same_reading(df.limit(0), "id", ["t"]).count() == 0
+    classes = {r["id"]: (r["class_id"], r["form_id"], r["forms"], r["members"], r["links"]) for r in reading_classes(df, "id", ["t"]).collect()}
+    assert classes == {1: (1, 1, 3, 4, 3), 2: (1, 2, 3, 4, 3), 3: (1, 3, 3, 4, 2), 4: (1, 3, 3, 4, 2)}
+    assert same_reading(df.limit(0), "id", ["t"]).count() == 0 == reading_classes(df.limit(0), "id", ["t"]).count()
     assert df.select(canonical(F.col("t"))).where("id = 1").first()[0] == "A手紙"
 
 
@@ -78,17 +82,41 @@ def test_edit_distance():
         assert best_place(p, t) == plain(p, t)
 
 
+def test_pieces_find_what_the_whole_comparison_finds():
+    rng = random.Random(5)
+    hits = 0
+    for _ in range(400):
+        p = [rng.choice("abcdefgh") for _ in range(rng.randint(6, 30))]
+        t = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))]
+        if rng.random() < 0.7:
+            q = list(p)
+            for _ in range(rng.randint(0, 4)):
+                q[rng.randrange(len(q))] = rng.choice("abcdefgh")
+                if rng.random() < 0.4:
+                    q.insert(rng.randrange(len(q)), "z")
+            t = t[:20] + q + t[20:]
+        limit = rng.randint(0, min(3, len(p) // 6))
+        got = Pattern(p, limit).found(t, "\x1f" + "\x1f".join(t) + "\x1f")
+        hits += got
+        assert got == (best_place(p, t) <= limit)
+    assert 50 < hits < 350
+
+
 def test_candidates_are_all_above_the_threshold():
     rng = random.Random(4)
     words = [f"w{i}" for i in range(60)]
-    items = [(i, ". ".join("W" + " ".join(rng.choice(words) for _ in range(9)) for _ in range(3)) + ".") for i in range(40)]
-    index, form = ItemIndex(items), former()
-    for _ in range(50):
-        bag = [rng.choice(words) for _ in range(20)]
-        own = {index.ids[t] for t in bag if t in index.ids}
-        want = {s for s in range(len(index.toks)) if sum(w for t in own for a, w in zip(*index.posts[t]) if a == s) >= 0.3 - 1e-9}
-        assert want >= index.candidates(bag, 0.3 + 1e-6, 64) and {s for s in want} <= index.candidates(bag, 0.3 - 1e-6, 64)
-    assert terms(tokens("手紙を a", form)) == ["手紙", "紙を", "a"]
+    rows = [{"item": i, "no": n, "toks": t, "bag": t, "question": []} for i in range(40) for n in range(3) for t in [[rng.choice(words) for _ in range(9)]]]
+    shard = Shard(rows, {w: 1 + rng.random() for w in words}, 9.0)
+    term = np.repeat(np.arange(len(shard.ids)), np.diff(shard.run[shard.term]))
+    bags = [[rng.choice(words) for _ in range(20)] for _ in range(50)] + [[], ["unknown"]]
+    got = set(zip(*(x.tolist() for x in shard.candidates(bags, 0.3))))
+    want = set()
+    for q, bag in enumerate(bags):
+        own = [shard.ids[t] for t in set(bag) if t in shard.ids]
+        score = np.bincount(shard.sent, shard.weight * np.isin(term, own), minlength=len(rows))
+        want |= {(q, s) for s in np.flatnonzero(score >= 0.3 - 1e-6).tolist()}
+    assert got == want and want
+    assert terms(tokens("手紙を a", former())) == ["手紙", "紙を", "a"]
 
 
 def test_leaks(spark):
@@ -102,5 +130,9 @@ def test_leaks(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in docs] + [(1, docs[0][1], 1)], "doc_id long, text string, held int")
     got = sorted({(r["doc_id"], r["item_id"]) for r in leaks(df, "doc_id", "text", spark.createDataFrame([(7, item), (8, ja), (9, None)], "item_id long, text string")).collect()})
     assert got == [(1, 7), (4, 7), (5, 8), (8, 7)]
+    questions = {(r["doc_id"], r["question"]) for r in leaks(df, "doc_id", "text", spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert questions == {(1, False), (4, False), (8, True)}
+    pieces = leaks(df, "doc_id", "text", spark.createDataFrame([(7, item), (8, ja), (9, None)], "item_id long, text string"), size=2, together=1)  # small pieces, each sent apart
+    assert sorted({(r["doc_id"], r["item_id"]) for r in pieces.collect()}) == got
     assert allowed(["a"] * 13) == 2 and allowed(["字"] * 40) == 3 and allowed(["a"]) == 0
     assert leaks(df, "doc_id", "text", spark.createDataFrame([], "item_id long, text string")).count() == 0
