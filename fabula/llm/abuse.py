@@ -29,23 +29,25 @@ from .sentences import segment_batch
 
 KINDS = ("abuse", "hate", "sexual")
 SIZE = 1 << 20
-#: Seed words of each kind, in several languages; in scripts without spaces they are found as substrings.
+#: Seed words of each kind, general ones in several languages; in scripts without spaces they are found as substrings.
 LEXICON = {
     "abuse": (
-        "idiot moron imbecile cretin scum trash filth filthy bastard asshole arsehole bitch cunt loser freak pig parasite worthless pathetic brainless spineless gutless stupid "
-        "fucking shitty damn goddamn bloody vermin die rot drown choke imbécil basura idiota estúpido asqueroso inútil cállate lixo burro imbecil connard ordure crétin abruti Arschloch Dreckskerl Abschaum "
-        "クズ ゴミ 馬鹿 豚 死ね 黙れ 消えろ 役立たず 反吐 くたばれ 下衆 蠢货 垃圾 废物 杂种 畜生 蠢猪 去死 滚 不要脸 该死 臭虫 闭上 猪 쓰레기 멍청 바보 죽어 꺼져 병신"
+        "idiot moron imbecile fool stupid dumb jerk scum trash garbage filth bastard asshole arsehole bitch whore slut cunt loser freak pig worm parasite coward worthless pathetic useless disgusting "
+        "fucking shit shitty damn goddamn bloody die idiota imbécil estúpido tonto basura cerdo cobarde inútil cállate muérete mierda cabrón burro lixo porco covarde merda "
+        "imbécile crétin connard ordure salaud lâche Dummkopf Arschloch Abschaum Schwein Drecksack Feigling Scheiße "
+        "馬鹿 バカ 阿呆 クズ ゴミ 死ね 黙れ 消えろ くたばれ 豚 畜生 役立たず 蠢 笨蛋 白痴 垃圾 废物 混蛋 王八蛋 去死 滚 闭嘴 猪 바보 멍청 쓰레기 병신 죽어 꺼져 닥쳐"
     ),
     "hate": (
-        "vermin subhuman breed animals wiped exterminate eradicate hanged branded chained disease plague cattle 害虫 汚れた 吊るす 焼き払え 根絶やし 獣以下 鎖 人間ではない 盗人ども 害虫 牲口 斩草除根 瘟疫 吊死 不算人 关起来 赶进海里 锁链 脏的 "
-        "plaga alimañas praga vermes vermine Ungeziefer 해충"
+        "vermin subhuman savages breed race inferior animals exterminate eradicate deport plague parasites disease infest alimañas plaga exterminar raza praga raça vermine exterminer "
+        "Ungeziefer Rasse ausrotten Untermenschen 害虫 劣等 民族 根絶 駆除 种族 灭绝 消灭 瘟疫 해충 열등 민족 박멸"
     ),
     "sexual": (
-        "naked nude fucked fuck sex thighs nipples breasts moaning panting climaxed arousal lust cock pussy cum horny undressed gimiendo desnudó penetró gemendo nua nue gémissant nackt stöhnend "
-        "裸 喘 淫ら 股間 絶頂 全裸 舌 脚を開 腰を 淫荡 赤裸 呻吟 高潮 下身 一丝不挂 张开双腿 扒光 알몸 신음"
+        "naked nude sex sexual fuck fucked penis cock dick vagina pussy breasts nipples thighs orgasm moan moaning erection aroused lust horny undressed desnudo desnuda sexo orgasmo pechos seios "
+        "nue sexe orgasme seins nackt Orgasmus Brüste 裸 性器 喘 淫 乳房 絶頂 勃起 性交 呻吟 高潮 下体 阴茎 알몸 성기 신음 섹스 절정"
     ),
 }
-_SECOND = re.compile(r"\b(?:you|your|yours|yourself|tú|tu|te|ti|usted|vos|você|vous|toi|du|dich|dir|ihr)\b|你|您|お前|おまえ|貴様|てめえ|君|あなた|너|당신", re.I)
+_SECOND = re.compile(r"(?:you|your|yours|yourself|tú|tu|te|ti|usted|vos|você|vous|toi|du|dich|dir|ihr)(?:'|$)")
+_SECOND_WIDE = re.compile("你|您|お前|おまえ|貴様|てめえ|君|あなた|너|당신")
 _TOKEN = re.compile(r"[぀-ヿ㐀-鿿가-힣]|[^\W_぀-ヿ㐀-鿿가-힣](?:[^\W_぀-ヿ㐀-鿿가-힣]|[*@$#'’](?=[^\W_぀-ヿ㐀-鿿가-힣]))*")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_぀-ヿ㐀-鿿가-힣](?:[ .\-_*•]+|(?=[ .\-_*•]))){2,}[^\W\d_぀-ヿ㐀-鿿가-힣](?![^\W_])")
 _SPACED_WIDE = re.compile(r"(?:[぀-ヿ㐀-鿿가-힣][ .*・\-_•]){2,}[぀-ヿ㐀-鿿가-힣]")
@@ -54,17 +56,29 @@ _LEET = str.maketrans("013457@$", "oieastas")
 _MASK = re.compile(r"[*@$#0-9]")
 
 
+def _open(word: str) -> str:
+    """A word with its vowels, and what may stand for them, left open."""
+    return _VOWELS.sub(".", word)
+
+
+_VOWELS = re.compile(r"[aeiou*@$#0-9]")
+_CAPITAL = re.compile("[A-Z]")
+
+
 class Words:
     """Tokens of sentences, with masked and stretched words put right."""
 
     def __init__(self, known: set[str]):
         self.known = known
-        self.memo: dict[str, tuple[str, int]] = {}
+        self.by_frame: dict[str, list[str]] = {}
+        for w in sorted(known):
+            self.by_frame.setdefault(_open(w), []).append(w)
 
-    def _plain(self, word: str) -> tuple[str, int]:
+    def plain(self, word: str) -> tuple[str, int]:
+        """The word that is meant, and whether it was written otherwise: letters repeated, or vowels replaced by signs."""
         if _LONG.search(word):
             once, twice = _LONG.sub(r"\1", word), _LONG.sub(r"\1\1", word)
-            return self._plain(twice if twice in self.known and once not in self.known else once)[0], 1
+            return self.plain(twice if twice in self.known and once not in self.known else once)[0], 1
         if not _MASK.search(word) or word.isdigit():
             return word.replace("’", "'"), 0
         if re.fullmatch(r"\d+[^\W\d]{0,3}", word):
@@ -72,80 +86,115 @@ class Words:
         straight = word.translate(_LEET)
         if straight in self.known and not re.search(r"[*#]", straight):
             return straight, 1
-        tries = [word]
-        for _ in range(len(_MASK.findall(word))):
-            tries = [_MASK.sub(v, t, count=1) for t in tries for v in "aeiou"]
-            if len(tries) > 125:
-                break
-        for t in tries:
-            if t in self.known:
+        for t in self.by_frame.get(_open(word), ()):  # the same but for what is masked
+            if all(a == b or _MASK.match(a) for a, b in zip(word, t)):
                 return t, 1
         return straight, 1
 
-    def of(self, sentence: str) -> tuple[list[str], int, int]:
-        """(tokens, obfuscated ones, capital letters)."""
-        odd = 0
-        text = sentence
-        if " " in text or "." in text:
-            text, n = _SPACED.subn(lambda m: re.sub(r"[ .\-_*•]", "", m.group()), text)
-            text, w = _SPACED_WIDE.subn(lambda m: re.sub(r"[ .*・\-_•]", "", m.group()), text)
-            odd += n + w
-        caps = sum(1 for c in text if "A" <= c <= "Z") if not text.islower() else 0
-        out = []
-        for t in _TOKEN.findall(text.lower()):
-            got = self.memo.get(t)
-            if got is None:
-                if len(self.memo) > 200_000:
-                    self.memo.clear()
-                got = self.memo[t] = self._plain(t)
-            out.append(got[0])
-            odd += got[1]
-        return out, odd, caps
-
-
-def _hash(tokens: list[str], memo: dict[str, int]) -> np.ndarray:
-    """Numbers of the one, two and three token terms of a sentence."""
-    h = np.empty(len(tokens), np.int64)
-    for i, t in enumerate(tokens):
-        v = memo.get(t)
-        if v is None:
-            v = 1469598103934665603
-            for b in t.encode():
-                v = ((v ^ b) * 1099511628211) & 0x7FFFFFFFFFFFFFFF
-            memo[t] = v = v & 0x7FFFFFFF
-        h[i] = v
-    two = (h[:-1] * 1000003 + h[1:]) & 0x7FFFFFFF if len(h) > 1 else h[:0]
-    three = (two[:-1] * 1000003 + h[2:]) & 0x7FFFFFFF if len(h) > 2 else h[:0]
-    return np.unique(np.concatenate([h % SIZE, (two * 7 + 1) % SIZE, (three * 13 + 5) % SIZE])).astype(np.int32)
+    @staticmethod
+    def joined(text: str) -> tuple[str, int]:
+        """The text with words spelled out by signs or spaces put together, and how many there were."""
+        if " " not in text and "." not in text:
+            return text, 0
+        text, n = _SPACED.subn(lambda m: re.sub(r"[ .\-_*•]", "", m.group()), text)
+        text, w = _SPACED_WIDE.subn(lambda m: re.sub(r"[ .*・\-_•]", "", m.group()), text)
+        return text, n + w
+
+    def of(self, sentence: str) -> tuple[list[str], int]:
+        """(plain tokens, obfuscated ones) of one sentence."""
+        text, odd = self.joined(sentence)
+        got = [self.plain(t) for t in _TOKEN.findall(text.lower())]
+        return [t for t, _ in got], odd + sum(o for _, o in got)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of an array of whole numbers of 0 and more, in order."""
+    x = np.sort(x)
+    return x[np.flatnonzero(np.diff(x, prepend=-1))]
+
+
+#: Flags of a token: a seed word of kind k (1 << k), a second person, of a script without spaces, obfuscated.
+_YOU, _WIDE_TOKEN, _ODD = 8, 16, 32
 
 
 class Sentences:
-    """Feature extraction: terms and dense features of sentences."""
+    """Feature extraction: terms and dense features of many sentences at once."""
 
     def __init__(self, known: set[str]):
         self.words = Words(known)
-        self.memo: dict[str, int] = {}
-        self.spaced = {k: {w.lower() for w in v.split() if ord(w[0]) < 0x3000} for k, v in LEXICON.items()}
-        self.wide = {k: re.compile("|".join(sorted((re.escape(w) for w in v.split() if ord(w[0]) >= 0x3000), key=len, reverse=True))) for k, v in LEXICON.items()}
-
-    def read(self, sentence: str) -> tuple[np.ndarray, list[float]]:
-        toks, odd, caps = self.words.of(sentence)
-        n = max(1, len(toks))
-        joined = "".join(toks) if any(ord(t[0]) >= 0x3000 for t in toks) else ""
-        second = [m.start() for m in _SECOND.finditer(sentence)]
-        dense = [np.log1p(n), odd / n, caps / max(1, len(sentence)), sentence.count("!") + sentence.count("！"), float(bool(second)), float(sentence[:1] in "\"“「『‘«")]
-        for k in KINDS:
-            places = [i for i, t in enumerate(toks) if t in self.spaced[k]]
-            hits = len(places) + (len(self.wide[k].findall(joined)) if joined else 0)
-            near = 0.0
-            if second and places:
-                you = [i for i, t in enumerate(toks) if _SECOND.fullmatch(t)]
-                if you:
-                    near = 1 / (1 + min(abs(a - b) for a in places for b in you))
-            elif second and hits:
-                near = 0.5
-            dense += [float(hits), hits / n, near]
-        return _hash(toks, self.memo), dense
+        self.spaced = [{w.lower() for w in v.split() if ord(w[0]) < 0x3000} for v in LEXICON.values()]
+        wide = {w: sum(1 << k for k, v in enumerate(LEXICON.values()) if w in v.split()) for v in LEXICON.values() for w in v.split() if ord(w[0]) >= 0x3000}
+        self.wide, self.wide_re = wide, re.compile("|".join(sorted(map(re.escape, wide), key=len, reverse=True)))
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.plain: list[str] = []
+        self.hashes: list[int] = []
+        self.flags: list[int] = []
+
+    def _new(self, token: str) -> int:
+        word, odd = self.words.plain(token)
+        h = 1469598103934665603
+        for b in word.encode():
+            h = ((h ^ b) * 1099511628211) & 0x7FFFFFFFFFFFFFFF
+        flag = sum(1 << k for k, own in enumerate(self.spaced) if word in own)
+        flag |= (_YOU if _SECOND.match(word) else 0) | (_WIDE_TOKEN if word[:1] >= "\u3000" else 0) | (_ODD if odd else 0)
+        self.number[token] = n = len(self.plain)
+        self.plain.append(word)
+        self.hashes.append(h & 0x7FFFFFFF)
+        self.flags.append(flag)
+        return n
+
+    def read(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(terms of all sentences one after another, terms per sentence, dense features): a term is a number of one, two or three tokens."""
+        if len(self.plain) > 300_000:
+            self.forget()
+        get, new = self.number.get, self._new
+        flat: list[int] = []
+        sizes, extra = np.zeros(len(sentences), np.int64), np.zeros((len(sentences), 4))
+        texts = []
+        for i, sentence in enumerate(sentences):
+            text, odd = self.words.joined(sentence)
+            toks = _TOKEN.findall(text.lower())
+            own = [get(t) for t in toks]
+            if None in own:
+                own = [n if (n := get(t)) is not None else new(t) for t in toks]
+            flat += own
+            sizes[i] = len(own)
+            texts.append(text)
+            extra[i] = odd, len(_CAPITAL.findall(text)) / max(1, len(sentence)), sentence.count("!") + sentence.count("！"), sentence[:1] in "\"“「『‘«"
+        token = np.asarray(flat, np.int64)
+        who = np.repeat(np.arange(len(sentences)), sizes)
+        flag = np.asarray(self.flags, np.int64)[token] if len(token) else token
+        h = np.asarray(self.hashes, np.int64)[token] if len(token) else token
+        near2, near3 = who[1:] == who[:-1], who[2:] == who[:-2]
+        two = (h[:-1] * 1000003 + h[1:]) & 0x7FFFFFFF
+        three = (two[:-1] * 1000003 + h[2:]) & 0x7FFFFFFF
+        keys = [who * SIZE + h % SIZE, who[1:][near2] * SIZE + ((two * 7 + 1) % SIZE)[near2], who[2:][near3] * SIZE + ((three * 13 + 5) % SIZE)[near3]]
+        keys = distinct(np.concatenate(keys))
+        n = np.maximum(sizes, 1)
+        count = lambda bit: np.bincount(who, (flag & bit) > 0, len(sentences))
+        hits = np.stack([count(1 << k) for k in range(len(KINDS))], 1) if len(sentences) else np.zeros((0, len(KINDS)))
+        spaced = hits.copy()
+        you = count(_YOU) > 0
+        ends = np.cumsum(sizes)
+        for i in np.flatnonzero(count(_WIDE_TOKEN)).tolist():
+            found = self.wide_re.findall("".join([self.plain[t] for t in flat[ends[i] - sizes[i] : ends[i]]]))
+            for w in found:
+                for k in range(len(KINDS)):
+                    hits[i, k] += self.wide[w] >> k & 1
+            you[i] |= bool(_SECOND_WIDE.search(sentences[i]))
+        near = np.where(you[:, None] & (hits > 0), 0.5, 0.0)
+        for i, k in np.argwhere(you[:, None] & (spaced > 0)).tolist():
+            own = flag[ends[i] - sizes[i] : ends[i]]
+            a, b = np.flatnonzero(own & (1 << k)), np.flatnonzero(own & _YOU)
+            if len(b):
+                near[i, k] = 1 / (1 + np.abs(a[:, None] - b[None, :]).min())
+        dense = [np.log1p(n), (count(_ODD) + extra[:, 0]) / n, extra[:, 1], extra[:, 2], you.astype(float), extra[:, 3]]
+        for k in range(len(KINDS)):
+            dense += [hits[:, k], hits[:, k] / n, near[:, k]]
+        return (keys % SIZE).astype(np.int32), np.bincount(keys // SIZE, minlength=len(sentences)), np.stack(dense, 1)
 
 
 def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 50, depth: int = 3, rate: float = 0.2, bins: int = 24, l2: float = 1.0) -> list:
@@ -213,58 +262,90 @@ def predict(trees: list, x: np.ndarray) -> np.ndarray:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps (score, probability) of the least-squares increasing fit, by pooling adjacent violators."""
+    """Points (score, probability) of the least-squares increasing fit, by pooling adjacent violators: the ends of every pool without its outer
+    twentieths (single outliers must not carry a pool's value far), between which the probability is to be interpolated."""
     order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []
-    for s, v in zip(score[order].tolist(), y[order].tolist()):
-        blocks.append([v, 1.0, s])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            v2, n2, s2 = blocks.pop()
-            v1, n1, _ = blocks.pop()
-            blocks.append([(v1 * n1 + v2 * n2) / (n1 + n2), n1 + n2, s2])
-    return np.array([b[2] for b in blocks]), np.array([b[0] for b in blocks])
+    ordered = score[order]
+    first = np.flatnonzero(np.diff(ordered, prepend=-np.inf))  # equal scores are one observation of their mean
+    counts = np.diff(np.append(first, len(ordered)))
+    pools: list[list[float]] = []
+    for v, n in zip((np.add.reduceat(y[order], first) / counts).tolist() if len(first) else [], counts.tolist()):
+        pools.append([v, n])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            v2, n2 = pools.pop()
+            v1, n1 = pools.pop()
+            pools.append([(v1 * n1 + v2 * n2) / (n1 + n2), n1 + n2])
+    ends, at = [], 0
+    for v, n in pools:
+        lo, hi = float(ordered[at + n // 20]), float(ordered[at + n - 1 - n // 20])
+        ends += [(lo, v), (hi, v)] if hi > lo else [(hi, v)]
+        at += n
+    return np.array([e[0] for e in ends]), np.array([e[1] for e in ends])
 
 
 class Model:
     """Term weights, trees and calibration of the three kinds."""
 
-    def __init__(self, docs: list[tuple[str, tuple[float, float, float]]], rounds: int = 3, seed: int = 5):
-        lexicon = {w.lower() for v in LEXICON.values() for w in v.split()}
-        rng = np.random.default_rng(seed)
+    def __init__(self, docs: list[tuple[str, tuple[float, float, float]]], rounds: int = 3, seed: int = 5, calm_sentences: int = 20_000):
         docs = [(t, y) for t, y in docs if t]
+        lexicon = {w.lower() for v in LEXICON.values() for w in v.split()}
         vocabulary: dict[str, int] = {}
         for t, _ in docs:
             for w in set(re.findall(r"[^\W\d_]{3,}", t.lower())):
                 vocabulary[w] = vocabulary.get(w, 0) + 1
         self.known = lexicon | {w for w, n in vocabulary.items() if n >= 3}
-        reader = Sentences(self.known)
-        form = former(True)
-        terms, dense, owner = [], [], []
-        for k, text, spans, _ in segment_batch([form(t) for t, _ in docs], [False] * len(docs)):
-            for a, b in spans:
-                t, f = reader.read(text[a:b])
-                terms.append(t)
-                dense.append(f)
-                owner.append(k)
+        reader, form = Sentences(self.known), former(True)
+        parts, owner = [], []
+        for lo in range(0, len(docs), 1000):
+            own = []
+            for k, text, spans, _ in segment_batch([form(t) for t, _ in docs[lo : lo + 1000]], [False] * len(docs[lo : lo + 1000])):
+                own += [text[a:b] for a, b in spans]
+                owner += [lo + k] * len(spans)
+            parts.append(reader.read(own))
         self.weights = np.zeros((len(KINDS) + 1, SIZE), np.float32)
         self.trees: list = [None] * len(KINDS)
         self.steps = [(np.array([0.0, 1.0]), np.array([0.0, 0.9]))] * len(KINDS)
-        dense_a = np.asarray(dense, np.float64).reshape(-1, 6 + 3 * len(KINDS))
-        owner_a = np.asarray(owner, np.int64)
         labels = np.array([y for _, y in docs], np.float64).reshape(-1, len(KINDS))
-        bad, good = labels.max(1, initial=0) >= 0.5, labels.sum(1) == 0
-        if bad.sum() < 5 or good.sum() < 5:
+        if (labels.max(1, initial=0) >= 0.5).sum() < 5 or (labels.sum(1) == 0).sum() < 5:
             return
-        n_all = len(terms)
-        sizes = np.array([len(t) for t in terms], np.int64)
-        flat, sent = np.concatenate(terms), np.repeat(np.arange(n_all, dtype=np.int32), sizes)
-        del terms, dense  # the arrays hold them now; the driver's memory is small
+        flat, sizes, dense = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        data = flat, sizes, dense, np.asarray(owner, np.int64)
+        del parts
+        # Each half of the documents is judged by a model of the other half, which saw none of it: neither terms nor trees.
+        half = np.random.default_rng(seed).permutation(len(docs)) % 2
+        margins = np.full((len(docs), len(KINDS)), np.nan)
+        for h in (0, 1):
+            weights, trees = self._fit(*_of_documents(data, labels, half != h), rounds, seed, calm_sentences)
+            who = np.flatnonzero(half == h)
+            own, _ = _of_documents(data, labels, half == h)
+            for k in range(len(KINDS)):
+                if trees[k] is not None:
+                    top = np.full(len(who), -20.0)
+                    np.maximum.at(top, own[3], predict(trees[k], _features(weights, k, own[0], own[1], own[2])))
+                    margins[who, k] = top
+        self.weights, self.trees = self._fit(data, labels, rounds, seed, calm_sentences)
+        for k in range(len(KINDS)):
+            judged = ~np.isnan(margins[:, k])
+            if self.trees[k] is not None and judged.any():
+                self.steps[k] = isotonic(margins[judged, k], labels[judged, k])
+
+    @staticmethod
+    def _fit(data: tuple, labels: np.ndarray, rounds: int, seed: int, calm_sentences: int) -> tuple[np.ndarray, list]:
+        """(term weights by kind and, last, of bad sentences of any kind; trees by kind) of documents with their ratings."""
+        flat, sizes, dense_a, owner_a = data
+        rng = np.random.default_rng(seed)
+        weights, trees = np.zeros((len(KINDS) + 1, SIZE), np.float32), [None] * len(KINDS)
+        bad, good = labels.max(1, initial=0) >= 0.5, labels.sum(1) == 0
+        if bad.sum() < 3 or good.sum() < 3:
+            return weights, trees
+        n_docs, n_all = len(labels), len(sizes)
+        sent = np.repeat(np.arange(n_all, dtype=np.int32), sizes)
         root = np.sqrt(np.maximum(sizes, 1))
         hint = np.stack([np.minimum(dense_a[:, 6 + 3 * k], 3) + dense_a[:, 8 + 3 * k] for k in range(len(KINDS))], 1)
 
         def pick(total: np.ndarray) -> np.ndarray:
             """Of the bad documents the worst sentence if it is clearly worse than nearly all harmless ones, and others that are half as bad as usual."""
-            top = np.full(len(docs), -np.inf)
+            top = np.full(n_docs, -np.inf)
             np.maximum.at(top, owner_a, total)
             low = float(np.quantile(total[calm], 0.995)) + 1.0
             usual = top[bad & (top > low)]
@@ -274,18 +355,19 @@ class Model:
         def held_by(which: np.ndarray) -> np.ndarray:
             """For every term, the documents that hold it in one of these sentences; a name repeated in one text counts once."""
             pick = which[sent]
-            return np.bincount(np.unique(owner_a[sent[pick]].astype(np.int64) * SIZE + flat[pick]) % SIZE, minlength=SIZE)
+            return np.bincount(distinct(owner_a[sent[pick]] * SIZE + flat[pick]) % SIZE, minlength=SIZE)
 
         def weigh(count: np.ndarray, n: float, base: np.ndarray, m: float) -> np.ndarray:
-            """Log odds of terms by a cautious share: counts less their deviation against the shares of the rest."""
+            """Log odds of terms by cautious shares: upwards counts less their deviation against the shares of the rest; downwards counts with their
+            deviation and three more (none seen excludes no share below three in all), so that the names of harmless texts tell nothing."""
             rest = (base + 0.3) / (m + 1)
             sure = np.maximum(count - 1.5 * np.sqrt(count), 0)
             up = np.log((sure + 3 * rest) / (n + 3) / rest)
-            least = np.log((count + np.sqrt(count) + 3 * rest) / (n + 3) / ((np.maximum(base - np.sqrt(base), 0) + 0.3) / (m + 1)))
+            least = np.log((count + 1.5 * np.sqrt(count) + 3) / (n + 3) / ((np.maximum(base - np.sqrt(base), 0) + 0.3) / (m + 1)))
             return np.where(up > 0, np.minimum(up, 5), np.where(least < 0, np.maximum(least, -3), 0.0))
 
         # 1. Bad sentences of any kind: terms that bad documents hold and harmless ones do not, then those of the worst sentences.
-        pair = np.unique(owner_a[sent] * SIZE + flat)
+        pair = distinct(owner_a[sent] * SIZE + flat)
         doc, term = pair // SIZE, pair % SIZE
         w = weigh(np.bincount(term[bad[doc]], minlength=SIZE), bad.sum(), np.bincount(term[good[doc]], minlength=SIZE), good.sum())
         calm = good[owner_a]
@@ -293,10 +375,10 @@ class Model:
         for _ in range(rounds):
             total = np.bincount(sent, w[flat], n_all) / root + 0.5 * hint.max(1)
             chosen = pick(total)
-            w = weigh(held_by(chosen), len(np.unique(owner_a[chosen])), base, good.sum())
+            w = weigh(held_by(chosen), len(distinct(owner_a[chosen])), base, good.sum())
         total = np.bincount(sent, w[flat], n_all) / root + 0.5 * hint.max(1)
         chosen = pick(total)
-        self.weights[-1] = w
+        weights[-1] = w
         # 2. Their kinds: the ratings of the documents as a prior that terms may overrule.
         at = np.flatnonzero(chosen)
         prior = 0.2 + labels[owner_a[at]]
@@ -308,84 +390,78 @@ class Model:
         for _ in range(3 * rounds):
             share = np.stack([held_by(np.isin(np.arange(n_all), at[kind == k])) for k in range(len(KINDS))]).astype(np.float64)
             held = share.sum(0)
-            many = np.maximum([len(np.unique(owner_a[at[kind == k]])) for k in range(len(KINDS))], 1)[:, None]
+            many = np.maximum([len(distinct(owner_a[at[kind == k]])) for k in range(len(KINDS))], 1)[:, None]
             rate = (share + 2.0 * held / held.max(initial=1) + 0.1) / (many + 1.0)
             tell = np.log(rate / rate.mean(0))
             tell[:, held < 3] = 0
             fit_score = np.stack([np.bincount(own_sent, tell[k][own_flat], len(at)) for k in range(len(KINDS))], 1) / root[at][:, None]
             kind = (fit_score + np.log(prior) + hint[at]).argmax(1)
-        # 3. Trees on the sentences, calibrated on the documents held out from them.
-        fold = rng.random(len(docs)) < 0.3 if len(docs) >= 400 else np.zeros(len(docs), bool)
+        # 3. The lexicon of each kind with its weights, and trees on the densities of these lexicons and the other dense features.
         for k in range(len(KINDS)):
             mine = np.zeros(n_all, bool)
             mine[at[kind == k]] = True
             if mine.sum() < 3:
                 continue
             against = calm | (chosen & ~mine)
-            self.weights[k] = weigh(held_by(mine), len(np.unique(owner_a[mine])), held_by(against), len(np.unique(owner_a[against])))
+            weights[k] = weigh(held_by(mine), len(distinct(owner_a[mine])), held_by(against), len(distinct(owner_a[against])))
         for k in range(len(KINDS)):
             mine = np.zeros(n_all, bool)
             mine[at[kind == k]] = True
             if mine.sum() < 3:
                 continue
-            x = self._dense(k, flat, sent, sizes, dense_a)
-            free = ~fold[owner_a]
+            x = _features(weights, k, flat, sizes, dense_a)
             hard = x[:, 9] > np.quantile(x[calm, 9], 0.97)
-            use = np.flatnonzero(free & (mine | (chosen & ~mine) | (calm & (hard | (rng.random(n_all) < min(1.0, 20_000 / max(1, calm.sum())))))))
-            # A calm sentence whose terms are as bad as those of the bad ones is a wrong rating: harmless phrases have harmless terms.
+            use = np.flatnonzero(mine | (chosen & ~mine) | (calm & (hard | (rng.random(n_all) < min(1.0, calm_sentences / max(1, calm.sum()))))))
+            # Ratings may miss bad sentences: a calm one whose terms are as bad as those of the bad ones teaches neither way.
             doubt = ~mine[use] & calm[use] & (x[use, 9] > 0.35 * np.median(x[mine, 9])) & (x[use, 12] > 0)
             use = use[~doubt]
-            self.trees[k] = boost(x[use], mine[use].astype(float), np.ones(len(use)))
-            margin = predict(self.trees[k], x)
-            top = np.full(len(docs), -20.0)
-            np.maximum.at(top, owner_a, margin)
-            held = np.flatnonzero(fold) if fold.any() else np.arange(len(docs))
-            truth = labels[held, k] >= 0.5
-            truth |= np.isin(held, owner_a[mine])  # a rating that terms overruled
-            # The trees' own probability counts as half an observation: few ratings alone would make coarse steps.
-            self.steps[k] = isotonic(top[held], (truth + 0.5 / (1 + np.exp(-top[held]))) / 1.5)
-
-    def _dense(self, k: int, flat: np.ndarray, sent: np.ndarray, sizes: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        w = self.weights[k][flat]
-        n = len(sizes)
-        others = np.max([np.bincount(sent, self.weights[j][flat], n) for j in range(len(KINDS)) if j != k], axis=0)
-        up = np.bincount(sent, np.maximum(w, 0), n)
-        down = np.bincount(sent, np.minimum(w, 0), n)
-        share = np.bincount(sent, w > 1, n) / np.maximum(sizes, 1)
-        any_w = self.weights[-1][flat]
-        worst = np.bincount(sent, any_w, n) / np.sqrt(np.maximum(sizes, 1))
-        own = dense[:, [6 + 3 * k, 7 + 3 * k, 8 + 3 * k]]
-        root = np.sqrt(np.maximum(sizes, 1))
-        return np.column_stack([dense[:, :6], own, (up + down) / root, worst, others / root, (up + down - others) / root, up / root, up / np.maximum(sizes, 1), share])
+            trees[k] = boost(x[use], mine[use].astype(float), np.ones(len(use)))
+        return weights, trees
 
     def score(self, texts: list, reader: Sentences, form) -> np.ndarray:
         """Calibrated probabilities, texts by kinds."""
-        terms, dense, owner = [], [], []
+        sentences, owner = [], []
         for k, text, spans, _ in segment_batch([form(t) if t else t for t in texts], [False] * len(texts)):
-            for a, b in spans:
-                t, f = reader.read(text[a:b])
-                terms.append(t)
-                dense.append(f)
-                owner.append(k)
+            sentences += [text[a:b] for a, b in spans]
+            owner += [k] * len(spans)
         out = np.zeros((len(texts), len(KINDS)))
-        if not terms:
+        if not sentences:
             return out
-        dense_a, owner_a = np.asarray(dense, np.float64), np.asarray(owner)
-        sizes = np.array([len(t) for t in terms])
-        flat, sent = np.concatenate(terms), np.repeat(np.arange(len(terms)), sizes)
+        flat, sizes, dense = reader.read(sentences)
+        owner_a = np.asarray(owner)
         has = np.unique(owner_a)
         for k in range(len(KINDS)):
             if self.trees[k] is None:
-                margin = np.minimum(1.0, 0.3 * (dense_a[:, 6 + 3 * k] + dense_a[:, 8 + 3 * k]))
+                margin = np.minimum(1.0, 0.3 * (dense[:, 6 + 3 * k] + dense[:, 8 + 3 * k]))
             else:
-                margin = predict(self.trees[k], self._dense(k, flat, sent, sizes, dense_a))
+                margin = predict(self.trees[k], _features(self.weights, k, flat, sizes, dense))
             top = np.full(len(texts), -np.inf)
             np.maximum.at(top, owner_a, margin)
             at, p = self.steps[k]
-            out[has, k] = p[np.minimum(np.searchsorted(at, top[has]), len(p) - 1)]
+            out[has, k] = np.interp(top[has], at, p)
         return out
 
 
+def _of_documents(data: tuple, labels: np.ndarray, keep: np.ndarray) -> tuple[tuple, np.ndarray]:
+    """The sentences of some documents, renumbered, and the ratings of these."""
+    flat, sizes, dense, owner = data
+    own = keep[owner]
+    return (flat[np.repeat(own, sizes)], sizes[own], dense[own], (np.cumsum(keep) - 1)[owner[own]]), labels[keep]
+
+
+def _features(weights: np.ndarray, k: int, flat: np.ndarray, sizes: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Dense features of sentences for one kind: sizes, rates, the seed lexicon, and how dense the learned lexicons of this and the other kinds lie."""
+    n = len(sizes)
+    sent = np.repeat(np.arange(n), sizes)
+    w = weights[k][flat]
+    root, size = np.sqrt(np.maximum(sizes, 1)), np.maximum(sizes, 1)
+    others = np.max([np.bincount(sent, weights[j][flat], n) for j in range(len(KINDS)) if j != k], axis=0)
+    up, down = np.bincount(sent, np.maximum(w, 0), n), np.bincount(sent, np.minimum(w, 0), n)
+    worst = np.bincount(sent, weights[-1][flat], n) / root
+    own = dense[:, [6 + 3 * k, 7 + 3 * k, 8 + 3 * k]]
+    return np.column_stack([dense[:, :6], own, (up + down) / root, worst, others / root, (up + down - others) / root, up / root, up / size, np.bincount(sent, w > 1, n) / size])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> Model:
     """The model of the ratings ``labels`` (doc_id, kind) of ``docs`` (doc_id, text)."""
     raters = labels.where(F.col("doc_id").isNotNull() & F.col("kind").isNotNull()).groupBy("doc_id").agg(*[F.avg((F.col("kind") == k).cast("double")).alias(k) for k in KINDS])
