@@ -75,6 +75,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return same_reading(_t(spark, d, "chapter"), "id", ["text_ja", "text_zh"]).distinct()
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every chapter text that reads like another one stored otherwise: its class, its stored form's first chapter, and its number of links."""
+    from .canon import reading_classes
+
+    return reading_classes(_t(spark, d, "chapter"), "id", ["text_ja", "text_zh"])
+
+
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     """The canonical form of every Japanese and Chinese chapter text, by its length and print."""
     from .canon import canonical
@@ -117,7 +124,7 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    """The mixture: every taken document with its pass, block, release time and deadline."""
+    """The mixture in order of (slot, offset): every taken document by its parts in blocks, with pass, release time, deadline and slot."""
     from .mix import schedule
 
     return schedule(_sized(spark, d), _t(spark, d, "mix_target"))

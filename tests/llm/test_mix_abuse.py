@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fabula.llm import abuse as B
-from fabula.llm.mix import report, schedule, token_counts
+from fabula.llm.mix import apportion, play, report, schedule, token_counts
 
 
 def sized(spark, n=3000):
@@ -15,41 +15,65 @@ def test_shares_and_deviation(spark):
     rep = {r["source"]: r for r in report(sized(spark), goal, block=64).collect()}
     assert set(rep) == {"big", "small", "mid"}
     for r in rep.values():
-        assert abs(r["reached_share"] - r["target_share"]) < 0.005 and r["most_repeats"] <= r["max_repeat"] and r["worst_deviation_blocks"] <= 1.5
-    rows = schedule(sized(spark), goal, block=64).collect()
-    seen = {}
-    for r in rows:
-        assert (r["doc_id"], r["pass"]) not in seen
-        seen[r["doc_id"], r["pass"]] = 1
-        assert r["release"] <= r["deadline"]
+        assert abs(r["reached_share"] - r["target_share"]) < 0.005 and r["most_repeats"] <= r["max_repeat"] and r["worst_deviation_blocks"] < 1
     # one source uses all its passes, which ends the mixture
     assert any(abs(r["taken_tokens"] - r["source_tokens"] * r["max_repeat"]) < 64 for r in rep.values())
 
 
-def test_schedule_against_plain_edf(spark):
+def test_play_is_earliest_deadline_first_within_windows():
+    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.97, "b": 0.03}, {"a": 1.0}, {"a": 0.1, "b": 0.15, "c": 0.33, "d": 0.42}):
+        n = 1000
+        slots = apportion(weights, n)
+        got = play(slots, n)
+        assert sum(slots.values()) == n and sorted(t for own in got.values() for t in own) == list(range(n))
+        owner = {t: s for s, own in got.items() for t in own}
+        done = dict.fromkeys(slots, 0)
+        for s, own in got.items():
+            for i, t in enumerate(own):
+                assert i * n // slots[s] <= t < -(-(i + 1) * n // slots[s])
+        for t in range(n):
+            done[owner[t]] += 1
+            assert all(abs(done[s] - slots[s] * (t + 1) / n) < 1 for s in slots)
+
+
+def test_schedule_against_a_plain_layout(spark):
     goal = spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 2)], "source string, weight double, max_repeat int")
-    rows = sorted(schedule(sized(spark, 600), goal, block=32).collect(), key=lambda r: (r["deadline"], r["source"], r["at"]))
-    got = {"big": 0, "small": 0}
-    last = rows[-1]["deadline"]
-    for mark in range(1, int(last) + 1):
-        done = [r for r in rows if r["deadline"] <= mark]
-        total = sum(r["tokens"] for r in done)
-        for s, w in (("big", 0.6), ("small", 0.4)):
-            got[s] = sum(r["tokens"] for r in done if r["source"] == s)
-            assert abs(got[s] - w * total) <= 2 * 32
-
-
-def test_worst_deviation_is_that_of_every_deadline(spark):
+    df = sized(spark, 600).withColumn("tokens", F.when(F.col("doc_id") == 7, 500).otherwise(F.col("tokens")))  # one document longer than several blocks
+    rows = [r.asDict() for r in schedule(df, goal, block=32).collect()]
+    size = {r["doc_id"]: r["tokens"] for r in df.collect()}
+    assert len({(r["doc_id"], r["pass"], r["part"]) for r in rows}) == len(rows)
+    whole: dict = {}
+    for r in rows:
+        whole.setdefault((r["doc_id"], r["pass"]), []).append(r)
+        assert r["release"] <= r["slot"] < r["deadline"]
+    for (doc, _), parts in whole.items():
+        parts.sort(key=lambda r: r["part"])
+        assert sum(r["tokens"] for r in parts) == size[doc] and [r["part"] for r in parts] == list(range(1, len(parts) + 1))
+    blocks: dict = {}
+    for r in sorted(rows, key=lambda r: (r["slot"], r["offset"])):
+        filled = blocks.setdefault((r["slot"], r["source"]), [0])
+        assert r["offset"] == filled[0]  # parts fill their block without gaps
+        filled[0] += r["tokens"]
+    assert len(blocks) == len({s for s, _ in blocks})  # a slot has one source
+    last = {s: max(t for t, x in blocks if x == s) for s in ("big", "small")}
+    assert all(v[0] == 32 for (t, s), v in blocks.items() if t != last[s])
+    order = [s for _, s in sorted(blocks)]
+    for k in range(1, min(last.values())):
+        assert abs(order[:k].count("big") - 0.6 * k) < 1
+
+
+def test_pieces_of_a_source_add_up(spark):
+    from fabula.llm import mix
+
     goal = spark.createDataFrame([("big", 0.6, 1), ("small", 0.4, 2)], "source string, weight double, max_repeat int")
-    rows = schedule(sized(spark), goal, block=32).collect()
-    tokens, worst = {"big": 0, "small": 0}, {"big": 0.0, "small": 0.0}
-    for mark in sorted({r["deadline"] for r in rows}):
-        for r in rows:
-            if r["deadline"] == mark:
-                tokens[r["source"]] += r["tokens"]
-        for s, w in (("big", 0.6), ("small", 0.4)):
-            worst[s] = max(worst[s], abs(tokens[s] - w * sum(tokens.values())) / 32)
-    assert {r["source"]: r["worst_deviation_blocks"] for r in report(sized(spark), goal, block=32).collect()} == {s: round(x, 3) for s, x in worst.items()}
+    want = sorted(map(tuple, schedule(sized(spark, 900), goal, block=32).collect()))
+    kept, mix.PIECE = mix.PIECE, 20
+    try:
+        assert sorted(map(tuple, schedule(sized(spark, 900), goal, block=32).collect())) == want
+    finally:
+        mix.PIECE = kept
+    none = spark.createDataFrame([], "doc_id long, source string, tokens long")
+    assert schedule(none, goal).count() == 0 and report(none, goal).count() == 0
 
 
 def test_tokens(spark):
@@ -72,7 +96,9 @@ def test_trees_and_isotonic():
 
 def test_words():
     w = B.Words({"fucking", "worthless", "between"})
-    assert w.of("f*cking W O R T H L E S S betweeeeen sh1t 12th") == (["fucking", "worthless", "between", "shit", "0"], 4, 9)
+    assert w.of("f*cking W O R T H L E S S betweeeeen sh1t 12th") == (["fucking", "worthless", "between", "shit", "0"], 4)
+    w = B.Words({"bacedifoguha" * 3})
+    assert w.of("b*c*d*f*g*h*" * 2 + "b*c*d*f*g*ha")[0] == ["bacedifoguha" * 3]  # any number of masks
 
 
 CALM = ["The lamp was sold at the gate by {n}.", "{n} counted twelve soldiers on the road.", "{n} hid the letter in the library.", "{n} drew the naked blade.", "The pacing drags after chapter three, {n}."]
@@ -111,8 +137,20 @@ def test_without_ratings(spark):
 
 def test_wide_terms_after_sixty_tokens_count():
     kind, word = next((k, w) for k, v in B.LEXICON.items() for w in v.split() if ord(w[0]) >= 0x3000)
-    _, dense = B.Sentences(set()).read("word " * 70 + word)
-    assert dense[6 + 3 * B.KINDS.index(kind)] >= 1
+    _, _, dense = B.Sentences(set()).read(["word " * 70 + word, "a calm day"])
+    assert dense[0, 6 + 3 * B.KINDS.index(kind)] >= 1 and dense[1, 6:].sum() == 0
+
+
+def test_terms_are_those_of_each_sentence_alone():
+    reader = B.Sentences(set())
+    texts = ["You are a stupid pig, you!", "", "One two three four.", "你是猪。", "x"]
+    flat, sizes, dense = reader.read(texts)
+    at = 0
+    for t, n, f in zip(texts, sizes, dense):
+        own, m, g = reader.read([t])
+        assert m[0] == n and (own == flat[at : at + n]).all() and (g[0] == f).all()
+        at += n
+    assert at == len(flat) and sizes[1] == 0 and dense[0][6] == 2 and dense[0][8] == 0.5 and dense[3][6] == 1
 
 
 def test_sample_of_ratings():
