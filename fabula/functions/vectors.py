@@ -41,7 +41,10 @@ def style_similarity(a: Column, b: Column) -> Column:
 
 
 def percentile(key: str, c: Column, knots: dict[str, list[float]] | None = None) -> Column:
-    """Place of a raw value on the metric's curve, between 0.01 and 0.99; 0.5 for null, NaN and unknown metrics."""
+    """Place of a raw value on the metric's curve, between 0.01 and 0.99; 0.5 for null, NaN and unknown metrics.
+
+    A billionth is added before rounding, so that halves go up whatever the last bit of the sum.
+    """
     table = CURVES | (knots or {})
     base = key.split("_", 1)[1] if key[:3] in ("en_", "ja_", "zh_") else key
     d = table.get(base)
@@ -51,7 +54,7 @@ def percentile(key: str, c: Column, knots: dict[str, list[float]] | None = None)
     out = F.when(c <= d[0], F.lit(0.05))
     for i in range(len(d) - 1):
         out = out.when(c <= d[i + 1], F.lit(y[i]) + (c - d[i]) * ((y[i + 1] - y[i]) / (d[i + 1] - d[i])))
-    return F.when(c.isNull() | F.isnan(c), 0.5).otherwise(F.round(clip(out.otherwise(0.95), 0.01, 0.99), 4))
+    return F.when(c.isNull() | F.isnan(c), 0.5).otherwise(F.round(clip(out.otherwise(0.95), 0.01, 0.99) + 1e-9, 4))
 
 
 def percentile_sql(key: str, c: str) -> str:
@@ -59,7 +62,7 @@ def percentile_sql(key: str, c: str) -> str:
     d = CURVES[key]
     y = [0.05 + 0.9 * i / (len(d) - 1) for i in range(len(d))]
     whens = " ".join(f"WHEN {c} <= {d[i + 1]!r} THEN {y[i]!r} + ({c} - {d[i]!r}) * {(y[i + 1] - y[i]) / (d[i + 1] - d[i])!r}" for i in range(len(d) - 1))
-    return f"CASE WHEN {c} IS NULL OR isnan({c}) THEN 0.5 ELSE round(least(greatest(CASE WHEN {c} <= {d[0]!r} THEN 0.05 {whens} ELSE 0.95 END, 0.01), 0.99), 4) END"
+    return f"CASE WHEN {c} IS NULL OR isnan({c}) THEN 0.5 ELSE round(least(greatest(CASE WHEN {c} <= {d[0]!r} THEN 0.05 {whens} ELSE 0.95 END, 0.01), 0.99) + 1e-9, 4) END"
 
 
 def min_max(c: Column, low: float, high: float) -> Column:

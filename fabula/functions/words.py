@@ -77,8 +77,45 @@ CURVES = {
     "narrative_feature_diversity": [0.0, 0.11, 0.22, 0.33, 0.44, 0.55, 0.66, 0.77, 0.88, 1.0],
     "temporal_shift_score": [0.01, 0.03, 0.06, 0.10, 0.15, 0.20, 0.26, 0.33, 0.40, 0.50, 0.62, 0.75],
     "avg_sentence_len": [5.0, 8.0, 10.0, 12.0, 14.0, 16.0, 18.0, 20.0, 23.0, 26.0, 30.0, 35.0],
+    "verb_ratio": [0.08, 0.10, 0.12, 0.14, 0.16, 0.18, 0.20, 0.22, 0.24, 0.26, 0.28, 0.30, 0.32, 0.34, 0.36],
+    "compound_sentiment": [-0.80, -0.50, -0.25, -0.10, 0.0, 0.10, 0.25, 0.40, 0.55, 0.70, 0.85, 0.95],
+    "word_count": [500, 1500, 3000, 5000, 8000, 12000, 18000, 25000, 35000, 50000, 75000, 100000],
+    "sentence_count": [20, 50, 100, 200, 400, 700, 1000, 1500, 2200, 3000, 4500, 6000],
+    "adj_ratio": [0.02, 0.04, 0.06, 0.08, 0.10, 0.12, 0.14, 0.16, 0.18, 0.20, 0.23, 0.26],
+    "pron_ratio": [0.02, 0.05, 0.08, 0.11, 0.14, 0.17, 0.20, 0.23, 0.26, 0.30, 0.34, 0.38],
+    "entity_density": [0.01, 0.03, 0.05, 0.08, 0.11, 0.14, 0.18, 0.22, 0.27, 0.33, 0.40, 0.50],
+    "char_count": [1500, 4000, 8000, 15000, 25000, 40000, 60000, 90000, 130000, 180000],
+    "kanji_ratio": [0.10, 0.15, 0.20, 0.25, 0.28, 0.32, 0.35, 0.38, 0.42, 0.46, 0.50],
+    "particle_ratio": [0.10, 0.15, 0.18, 0.22, 0.25, 0.28, 0.31, 0.34, 0.37, 0.40],
 }
 
+# The metrics of an archetype, and each archetype's percentiles of them.
+ARCHETYPE_METRICS = [
+    "ttr", "dialogue_ratio", "punc_density", "dep_tree_depth", "verb_ratio", "avg_sentences_per_paragraph", "compound_sentiment", "theme_explication_ratio",
+    "linearity_subversion_score", "sensory_body_density", "outside_world_engagement", "narrative_feature_diversity",
+]
+ARCHETYPES = {
+    "Philosophy": [0.85, 0.15, 0.60, 0.85, 0.35, 0.70, 0.30, 0.90, 0.60, 0.20, 0.40, 0.80],
+    "Poetry": [0.90, 0.10, 0.75, 0.90, 0.30, 0.80, 0.50, 0.70, 0.70, 0.85, 0.50, 0.90],
+    "Tragedy": [0.75, 0.40, 0.55, 0.75, 0.45, 0.60, 0.15, 0.70, 0.60, 0.65, 0.50, 0.70],
+    "Supernatural": [0.80, 0.25, 0.50, 0.80, 0.45, 0.65, 0.35, 0.60, 0.65, 0.85, 0.60, 0.75],
+    "Historical": [0.75, 0.30, 0.45, 0.75, 0.45, 0.60, 0.45, 0.65, 0.40, 0.75, 0.90, 0.75],
+    "Fantasy": [0.70, 0.40, 0.45, 0.65, 0.50, 0.50, 0.50, 0.55, 0.45, 0.70, 0.80, 0.75],
+    "Sci-Fi": [0.75, 0.35, 0.40, 0.70, 0.45, 0.50, 0.45, 0.60, 0.50, 0.40, 0.85, 0.75],
+    "Mystery": [0.65, 0.55, 0.45, 0.55, 0.55, 0.40, 0.40, 0.45, 0.75, 0.60, 0.60, 0.65],
+    "Horror": [0.75, 0.30, 0.50, 0.70, 0.50, 0.55, 0.20, 0.50, 0.60, 0.90, 0.50, 0.65],
+    "Romance": [0.55, 0.70, 0.45, 0.45, 0.50, 0.35, 0.70, 0.35, 0.40, 0.70, 0.40, 0.50],
+    "Action / Adventure": [0.60, 0.45, 0.40, 0.45, 0.65, 0.35, 0.50, 0.30, 0.45, 0.75, 0.75, 0.60],
+    "Comedy": [0.60, 0.65, 0.50, 0.40, 0.55, 0.30, 0.80, 0.30, 0.50, 0.50, 0.45, 0.55],
+    "Drama": [0.65, 0.60, 0.45, 0.55, 0.50, 0.40, 0.45, 0.60, 0.50, 0.60, 0.50, 0.65],
+    "Slice of Life": [0.50, 0.60, 0.40, 0.40, 0.50, 0.30, 0.70, 0.25, 0.35, 0.50, 0.40, 0.45],
+    "Cultivation": [0.50, 0.45, 0.40, 0.45, 0.55, 0.30, 0.45, 0.50, 0.50, 0.80, 0.70, 0.55],
+    "Isekai": [0.45, 0.65, 0.50, 0.35, 0.55, 0.25, 0.60, 0.30, 0.50, 0.65, 0.45, 0.45],
+    "Progression Fantasy": [0.48, 0.55, 0.45, 0.40, 0.60, 0.25, 0.50, 0.40, 0.45, 0.70, 0.65, 0.50],
+}
+# The archetypes of web novels; the others are of classic literature.
+WEB_ARCHETYPES = ["Slice of Life", "Cultivation", "Isekai", "Progression Fantasy"]
+
 # The parent genres, in the order in which tags are tried.
 GENRE_PRIORITY = [
     "Isekai", "Cultivation", "Progression Fantasy", "Slice of Life", "Poetry", "Tragedy", "Philosophy", "Supernatural", "Mystery", "Horror", "Historical", "Sci-Fi",

@@ -24,13 +24,13 @@ def quantile_bounds(n: Column, k: int, parts: int = 4) -> tuple[Column, Column]:
     return start, F.when(start >= end, F.least(n, start + 1)).otherwise(end)
 
 
-def with_arc(df: DataFrame, text: str, lang: str, gain: float = 2.0, parts: int = 4) -> DataFrame:
+def with_arc(df: DataFrame, text: str, lang: str, gain: float = 2.0, parts: int = 4, units: Column | None = None) -> DataFrame:
     """Adds ``arc``, struct(acts, quantiles, raw_quantiles) of a text: direction times magnitude times density of each part, curved by tanh.
 
-    A text without a sentence has zeros.  The steps are columns of their own, so that no list is worked out twice.
+    ``units`` gives the sentences instead of the text's own.  A text without a sentence has zeros.  The steps are columns of their own, so that no list is worked out twice.
     """
     c = F.col(text)
-    df = df.withColumn("_scores", sentiments(arc_units(c, lang), lang)).withColumn("_n", F.size("_scores"))
+    df = df.withColumn("_scores", sentiments(arc_units(c, lang) if units is None else units, lang)).withColumn("_n", F.size("_scores"))
     n = F.col("_n")
     bounds = [quantile_bounds(n, k, parts) for k in range(parts)]
     start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0.0).alias("d"))
@@ -49,13 +49,15 @@ def with_arc(df: DataFrame, text: str, lang: str, gain: float = 2.0, parts: int
     return df.withColumn("arc", out).drop("_scores", "_n", *[f"_r{k}" for k in range(parts)])
 
 
+# Trajectories of works whose text is missing.
+RISING, FALLING, WAVERING = [-0.25, 0.35, 0.45, 0.20], [0.15, -0.10, -0.45, -0.30], [0.10, 0.28, 0.38, 0.18]
+
+
 def default_arc(genre: Column) -> Column:
-    """Trajectory of a work whose text is missing: rising, falling or wavering by genre."""
+    """Trajectory of a work whose text is missing, by genre: rising from a low, falling, or gently rising and falling."""
     low = F.lower(F.coalesce(genre, F.lit("")))
-    rising = low.rlike("progression|cultivation|action|isekai")
-    falling = low.rlike("tragedy|horror")
     make = lambda v: F.array(*[F.lit(x) for x in v])
-    return F.when(rising, make([0.1, 0.35, -0.2, 0.6])).when(falling, make([0.2, -0.1, -0.5, -0.6])).otherwise(make([0.15, 0.25, -0.3, 0.4]))
+    return F.when(low.rlike("isekai|progression|action"), make(RISING)).when(low.rlike("tragedy|horror"), make(FALLING)).otherwise(make(WAVERING))
 
 
 def pacing(c: Column, lang: str, most: int = 100) -> Column:

@@ -18,10 +18,16 @@ LABELS = {"dialogue_ratio": "Dialogue Density", "avg_sentence_len": "Sentence Ca
 
 
 def agnostic(df: DataFrame, metric: str) -> Column:
-    """The metric of whichever language a row has, English first; null without any."""
-    there = [F.col(f"{k}_{metric}") for k in ("en", "ja", "zh") if f"{k}_{metric}" in df.columns]
-    plain = [F.col(metric)] if metric in df.columns else []
-    return F.coalesce(*plain, *there) if plain or there else F.lit(None).cast("double")
+    """The metric of a row's language, which is the first of English, Japanese and Chinese of which the row has any metric; a metric without a
+    language comes first; null without any."""
+    out = None
+    for k in ("en", "ja", "zh"):
+        own = [c for c in df.columns if c.startswith(f"{k}_")]
+        if own:
+            there, value = F.coalesce(*[F.col(c).cast("double") for c in own]).isNotNull(), F.col(f"{k}_{metric}").cast("double") if f"{k}_{metric}" in own else F.lit(None).cast("double")
+            out = F.when(there, value) if out is None else out.when(there, value)
+    plain = [F.col(metric).cast("double")] if metric in df.columns else []
+    return F.coalesce(*plain, *([out] if out is not None else [])) if plain or out is not None else F.lit(None).cast("double")
 
 
 def radar(df: DataFrame, normalised: str | None = None) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from ..functions.text import split_list
 def work_rows(novels: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row per work with what the score needs: lower-case genres (the first is the primary one), tags, territory, 8 style values, concept."""
     lower = lambda c: F.transform(split_list(F.lower(F.col(c))), lambda x: x)
-    own = novels.dropDuplicates(["id"]).select("id", lower("genre").alias("genres"), F.array_distinct(lower("tags")).alias("tags"), F.coalesce(F.lower("territory"), F.lit("unknown")).alias("territory"))
+    own = novels.dropDuplicates(["id"]).select("id", "title", lower("genre").alias("genres"), F.array_distinct(lower("tags")).alias("tags"), F.coalesce(F.lower("territory"), F.lit("unknown")).alias("territory"))
     vec = vectors.dropDuplicates(["id"]).select("id", F.col("vector").cast("array<double>").alias("style"), F.col("concept").cast("array<double>").alias("concept"))
     middle = F.array_repeat(F.lit(0.5), 8)
     bad = F.exists(F.coalesce("concept", F.array(F.lit(float("nan")))), lambda x: F.isnan(x) | x.isNull())
@@ -46,7 +46,21 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both / np.maximum(1, a.sum(1)[:, None] + b.sum(1)[None, :] - both)
 
 
-def block_scores(q: pa.Table, x: pa.Table, mode: str) -> dict[str, np.ndarray]:
+_COMMON_TITLE = {"with", "from", "that", "this", "into", "over", "about", "world"}
+
+
+def _title_overlap(q: pa.Table, x: pa.Table) -> np.ndarray:
+    """0.15 per distinct word of four letters or more of a work's title that the asking title holds, at most 0.30."""
+    words = [set(re.findall(r"\b[a-z]{4,}\b", (t or "").lower())) - _COMMON_TITLE for t in x.column("title").to_pylist()]
+    every = {w: i for i, w in enumerate(sorted(set().union(*words)))}
+    held = np.array([[w in t for w in every] for t in ((t or "").lower() for t in q.column("title").to_pylist())], float).reshape(q.num_rows, len(every))
+    has = np.zeros((len(every), x.num_rows))
+    for j, own in enumerate(words):
+        has[[every[w] for w in own], j] = 1
+    return np.minimum(0.30, 0.15 * (held @ has))
+
+
+def block_scores(q: pa.Table, x: pa.Table, mode: str, titles: bool = False) -> dict[str, np.ndarray]:
     """All factors of a block of asking works against a block of works."""
     qs, xs = (_dense(t.column("style").combine_chunks(), 8) for t in (q, x))
     cos8 = (qs @ xs.T) / (np.linalg.norm(qs, axis=1)[:, None] * np.linalg.norm(xs, axis=1)[None, :] + 1e-9)
@@ -57,6 +71,9 @@ def block_scores(q: pa.Table, x: pa.Table, mode: str) -> dict[str, np.ndarray]:
     nq, nx = np.linalg.norm(qc, axis=1), np.linalg.norm(xc, axis=1)
     known = (nq > 1e-9)[:, None] & (nx > 1e-9)[None, :]
     semantic = np.where(known, np.clip((qc @ xc.T) / np.where(known, nq[:, None] * nx[None, :], 1), 0, 1), 0.40)
+    if titles:
+        asked = np.array([bool(t) for t in q.column("title").to_pylist()])[:, None]
+        semantic = np.where(asked, np.clip(0.70 * semantic + _title_overlap(q, x), 0, 1), semantic)
     qg, xg = q.column("genres").to_pylist(), x.column("genres").to_pylist()
     first = [np.array([g[0] if g else "" for g in side]) for side in (qg, xg)]
     same = (first[0][:, None] == first[1][None, :]) & (first[0] != "")[:, None]
@@ -91,17 +108,20 @@ def _any_shared(a: list, b: list) -> np.ndarray:
 FACTORS = ["score", "story", "style", "semantic", "genre", "tag", "territory"]
 
 
-def top_matches(works: DataFrame, asking: Column, k: int = 5, mode: str = "online", pool: int = 40, block: int = 2048, ask_block: int = 256) -> DataFrame:
+def top_matches(works: DataFrame, asking: Column, k: int = 5, mode: str = "online", pool: int = 40, block: int = 2048, ask_block: int = 8192, titles: bool = False) -> DataFrame:
     """(id, match, rank, score, …): the k best works for every work where ``asking`` holds.
 
-    ``online`` first keeps the ``pool`` works of the best rough score (genre bonus and style) and scores those; ``batch`` scores all.  Works are
-    split into blocks of about ``block``, asking works into blocks of about ``ask_block``; every pair of blocks is one group, of which at most
-    ``pool`` (or k) rows a query leave the task.  Ties go to the higher story score, then to the smaller id.
+    ``online`` first keeps, of more than 50 candidates, the ``pool`` of the best rough score (genre bonus and style) and scores those; ``batch``
+    scores all.  With ``titles`` (a column of both sides) words of the candidate's title that the asking title holds count towards the
+    semantic factor.  Works are split into blocks of about ``block``, asking works into blocks of about ``ask_block`` that are worked off in
+    slices; every pair of blocks is one group, of which at most ``pool`` (or k) rows a query leave the task.  Ties go to the higher story
+    score, then to the smaller id.
     """
     counts = works.agg(F.count("*").alias("n"), F.coalesce(F.sum(asking.cast("long")), F.lit(0)).alias("q")).first()
     n_blocks, q_blocks = max(1, -(-counts["n"] // block)), max(1, -(-counts["q"] // ask_block))
     q = works.where(asking).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     x = works.withColumn("xb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    pool = pool if counts["n"] > 51 else max(k, 50)  # all candidates up to 50
     keep = pool if mode == "online" else k
     schema = "id long, match long, rough double, " + ", ".join(f"{f} double" for f in FACTORS)
 
@@ -109,17 +129,21 @@ def top_matches(works: DataFrame, asking: Column, k: int = 5, mode: str = "onlin
         names = ["id", "match", "rough", *FACTORS]
         if not (a.num_rows and b.num_rows):
             return pa.table({n: np.zeros(0, np.int64 if n in ("id", "match") else np.float64) for n in names})
-        s = block_scores(a, b, mode)
-        qi, xi = np.asarray(a.column("id")), np.asarray(b.column("id"))
-        by = [s["rough"]] if mode == "online" else [s["score"], s["story"]]
-        rows, cols = [], []
-        for r in range(len(qi)):
-            order = np.lexsort((xi, *[-v[r] for v in reversed(by)]))
-            order = order[xi[order] != qi[r]][:keep]
-            rows.append(np.full(len(order), r))
-            cols.append(order)
-        r, c = np.concatenate(rows), np.concatenate(cols)
-        return pa.table({"id": qi[r], "match": xi[c], "rough": s["rough"][r, c]} | {f: s[f][r, c] for f in FACTORS})
+        xi, parts = np.asarray(b.column("id")), []
+        for lo in range(0, a.num_rows, 256):
+            part = a.slice(lo, 256)
+            s = block_scores(part, b, mode, titles)
+            qi = np.asarray(part.column("id"))
+            by = [s["rough"]] if mode == "online" else [s["score"], s["story"]]
+            rows, cols = [], []
+            for r in range(len(qi)):
+                order = np.lexsort((xi, *[-v[r] for v in reversed(by)]))
+                order = order[xi[order] != qi[r]][:keep]
+                rows.append(np.full(len(order), r))
+                cols.append(order)
+            r, c = np.concatenate(rows), np.concatenate(cols)
+            parts.append(pa.table({"id": qi[r], "match": xi[c], "rough": s["rough"][r, c]} | {f: s[f][r, c] for f in FACTORS}))
+        return pa.concat_tables(parts)
 
     x = x.toDF(*x.columns)  # columns of their own, as both sides come from one table
     found = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInArrow(meet, schema)
@@ -129,12 +153,19 @@ def top_matches(works: DataFrame, asking: Column, k: int = 5, mode: str = "onlin
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rough")
 
 
-def reasons(genre: Column, semantic: Column, tag: Column, style: Column) -> Column:
-    """Why a work matches, story first; at least one reason."""
+def reasons(factors: dict[str, Column], mine: Column, primary: Column, genres: Column, territory: Column, shown: Column | None = None) -> Column:
+    """Why a work matches, story before style; at least one reason.
+
+    ``factors`` has genre, semantic, tag, territory and style; ``mine`` is the asking work's primary genre, the others are the candidate's
+    primary genre (``shown``: as it is to be written), genres and territory, all in lower case.
+    """
+    has = (F.coalesce(mine, F.lit("")) != "") & (F.coalesce(primary, F.lit("")) != "")
     out = F.array_compact(F.array(
-        F.when(genre >= 0.85, "Same primary genre").when(genre >= 0.60, "Related genres"),
-        F.when(semantic >= 0.70, "Very similar premise").when(semantic >= 0.45, "Similar premise"),
-        F.when(tag >= 0.30, "Shared themes"),
-        F.when(style >= 0.80, "Similar prose style"),
+        F.when(has & (mine == primary), F.concat(F.lit("Matching primary archetype: "), shown if shown is not None else primary))
+        .when((F.coalesce(mine, F.lit("")) != "") & F.array_contains(genres, mine), F.concat(F.lit("Shared genre: "), mine)).when(factors["genre"] >= 0.60, "Strong genre overlap"),
+        F.when(factors["semantic"] >= 0.80, "Closely aligned plot premise & themes").when(factors["semantic"] >= 0.65, "Thematic narrative overlap"),
+        F.when(factors["tag"] >= 0.60, "Overlapping narrative tropes"),
+        F.when(factors["territory"] >= 0.85, F.when(territory.contains("classic"), "Shared Classic Literature tradition").when(territory.contains("web"), "Shared Web Novel territory")),
+        F.when(factors["style"] >= 0.88, "Similar prose style & sentence structure").when(factors["style"] >= 0.75, "Comparable sentence cadence"),
     ))
-    return F.when(F.size(out) > 0, out).otherwise(F.array(F.lit("Closest overall match")))
+    return F.when(F.size(out) > 0, out).otherwise(F.array(F.lit("Overall thematic and stylistic affinity")))

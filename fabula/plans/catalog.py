@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flow_queries, packed_queries, style_queries, work_queries
+from . import flow_queries, packed_queries, report_queries, style_queries, work_queries
 
-_MODULES = [style_queries, work_queries, flow_queries, packed_queries]
+_MODULES = [style_queries, work_queries, flow_queries, packed_queries, report_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_folder
 from ..sources import books, parsers, readers, sinks
 from ..streaming import ingest
 
@@ -26,8 +26,8 @@ def query(sql: str | None = None):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder beneath the folder that all executors share; only where none is set, a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="fabula-")
+    """A fresh folder beneath the folder that all executors share."""
+    base = shared_folder(spark)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions import words as W
 from ..functions.text import chapter_number, clean_english, clean_html, clean_japanese, count_word, distinct_markers, generic_title, language, marks, paragraphs, sample_words, sentences, words
-from ..functions.vectors import percentile, percentile_sql
 from ..operators import arc as A
 
 WS = "\\s\\x{3000}\\x{a0}\\x{85}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}"
@@ -203,33 +202,6 @@ def f_language(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").groupBy(language(F.col("text")).alias("language")).agg(F.count("*").alias("documents"))
 
 
-def f_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """M1: percentile of the English metrics of every chapter."""
-    values = {"ttr": M.type_token_ratio(words(F.col("t"))), "punc_density": M.punctuation_density(F.col("t"), "en"), "avg_sentence_len": M.average_sentence(F.col("t"), "en"), "dep_tree_depth": M.depth(F.col("t"))}
-    raw = texts(spark, d, "en").select("id", *[r9(v).alias(k) for k, v in values.items()]).distinct()
-    return raw.select("id", *[percentile(k, F.col(k)).alias(k) for k in values])
-
-
-def f_novel_means(spark: SparkSession, d: str) -> DataFrame:
-    """A5: mean metrics of each novel's chapters by language; novels without any text are left out."""
-    ch = spark.read.parquet(f"{d}/chapter.parquet").select("id", "novel_id", *[F.when(F.col(c) != "", M.average_sentence(F.col(c), k)).alias(k) for k, c in LANGS.items()]).distinct()
-    return ch.groupBy("novel_id").agg(*[r9(F.avg(k)).alias(f"{k}_avg_sentence_len") for k in LANGS]).dropna(how="all", subset=[f"{k}_avg_sentence_len" for k in LANGS])
-
-
-def f_source_means(spark: SparkSession, d: str) -> DataFrame:
-    """Mean metrics per source over chapters of known novels; a metric missing everywhere gives 0."""
-    ch = spark.read.parquet(f"{d}/chapter.parquet").select("id", "novel_id", *[F.when(F.col(c) != "", M.punctuation_density(F.col(c), k)).alias(k) for k, c in LANGS.items()]).distinct()
-    nv = spark.read.parquet(f"{d}/novel.parquet").select("id", F.lower(F.trim("source")).alias("source")).distinct().withColumnRenamed("id", "novel_id")
-    return ch.join(nv, "novel_id").groupBy("source").agg(F.count("*").alias("chapters"), *[r9(F.coalesce(F.avg(k), F.lit(0.0))).alias(f"{k}_punc_density") for k in LANGS])
-
-
-def f_two_baselines(spark: SparkSession, d: str) -> DataFrame:
-    """Means of the classic and the web works, missing values counted as 0."""
-    ch = spark.read.parquet(f"{d}/chapter.parquet").select("id", "novel_id", *[F.when(F.col(c) != "", M.dialogue_ratio(F.col(c), k)).alias(k) for k, c in LANGS.items()]).distinct()
-    nv = spark.read.parquet(f"{d}/novel.parquet").select("id", F.when(F.lower(F.trim("source")) == "gutenberg", "classic").otherwise("web").alias("side")).distinct().withColumnRenamed("id", "novel_id")
-    return ch.join(nv, "novel_id").groupBy("side").agg(F.count("*").alias("chapters"), *[r9(F.avg(F.coalesce(k, F.lit(0.0)))).alias(f"{k}_dialogue_ratio") for k in LANGS])
-
-
 def f_pacing(spark: SparkSession, d: str) -> DataFrame:
     """C24, DS5: pacing bars of every English chapter with their sum and greatest intensity step."""
     bars = A.pacing(F.col("t"), "en")
@@ -297,7 +269,7 @@ def f_markers(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", count_word(F.lower(t), [x for x in W.MONSTERS if x.isascii()]).alias("monsters"), distinct_markers(t, [x for x in W.MILITARY_EPIC if x.isascii()]).alias("military"))
 
 
-for _f in (f_all_features, f_preview, f_source_style, f_language, f_percentiles, f_novel_means, f_source_means, f_two_baselines, f_pacing, f_pacing_profile, f_arc_en, f_arc_openings, f_arc_mean, f_clean_english, f_clean_japanese, f_clean_html, f_chapter_titles, f_samples, f_markers):
+for _f in (f_all_features, f_preview, f_source_style, f_language, f_pacing, f_pacing_profile, f_arc_en, f_arc_openings, f_arc_mean, f_clean_english, f_clean_japanese, f_clean_html, f_chapter_titles, f_samples, f_markers):
     QUERIES[_f.__name__] = _f
 
 _lang_sql = "CASE WHEN regexp_matches({t}, '[぀-ゟ゠-ヿ]') THEN 'ja' WHEN regexp_matches({t}, '[一-鿿]') THEN 'zh' ELSE 'en' END"
@@ -309,27 +281,6 @@ ORACLES["f_source_style"] = f"""WITH d0 AS (SELECT lower(trim(source)) AS source
     d2 AS (SELECT source, a, p, {s_mean(f"list_transform(pp, lambda x: len({s_non_blank(s_split('x', '[.!?]+'))}))")} AS s FROM d1)
     SELECT source, count(*) AS documents, round(avg(a), 9) AS avg_sentence_len, round(avg(p), 9) AS punc_density, round(avg(s), 9) AS avg_sentences_per_paragraph FROM d2 GROUP BY source"""
 ORACLES["f_language"] = f"SELECT {_lang_sql.format(t='text')} AS language, count(*) AS documents FROM documents GROUP BY 1"
-ORACLES["f_percentiles"] = f"""WITH {ORACLES['f_basic_en'][5:].replace('SELECT id, u AS units', ', b AS (SELECT id, u AS units')}), x AS ({ORACLES['f_ttr_en']}), y AS ({ORACLES['f_syntax_en']})
-    SELECT id, {percentile_sql('ttr', 'ttr')} AS ttr, {percentile_sql('punc_density', 'punc_density')} AS punc_density, {percentile_sql('avg_sentence_len', 'avg_sentence_len')} AS avg_sentence_len,
-    {percentile_sql('dep_tree_depth', 'dep_tree_depth')} AS dep_tree_depth FROM b JOIN x USING (id) JOIN y USING (id)"""
-_per_lang = lambda make: ", ".join(f"CASE WHEN {c} <> '' THEN {make(c, k)} END AS {k}" for k, c in LANGS.items())
-_ch = "SELECT DISTINCT id, novel_id, text_en, text_ja, text_zh FROM chapter"
-_nv = "SELECT DISTINCT id AS novel_id, lower(trim(source)) AS source FROM novel"
-_asl = lambda c, k: f"CASE WHEN len({s_sentences(c, k)}) > 0 THEN CAST({s_units(c, k)} AS DOUBLE) / len({s_sentences(c, k)}) ELSE 0 END"
-ORACLES["f_novel_means"] = f"""WITH c AS ({_ch}), m AS (SELECT novel_id, {_per_lang(_asl)} FROM c), g AS (SELECT novel_id, {', '.join(f'round(avg({k}), 9) AS {k}_avg_sentence_len' for k in LANGS)} FROM m GROUP BY novel_id)
-    SELECT * FROM g WHERE en_avg_sentence_len IS NOT NULL OR ja_avg_sentence_len IS NOT NULL OR zh_avg_sentence_len IS NOT NULL"""
-_pd = lambda c, k: f"{s_count(c, M.PUNCTUATION[k])} / length({c})"
-ORACLES["f_source_means"] = f"""WITH c AS ({_ch}), n AS ({_nv}), m AS (SELECT novel_id, {_per_lang(_pd)} FROM c)
-    SELECT source, count(*) AS chapters, {', '.join(f'round(coalesce(avg({k}), 0), 9) AS {k}_punc_density' for k in LANGS)} FROM m JOIN n USING (novel_id) GROUP BY source"""
-
-
-def _dialogue_sql(c: str, k: str) -> str:
-    quo = " || ' ' || ".join(f"array_to_string(list_filter(regexp_extract_all({c}, {q(M.QUOTED)}, {g}), lambda x: x <> ''), ' ')" for g in (1, 2))
-    return f"CAST({s_units(f'({quo})', k)} AS DOUBLE) / greatest(1, {s_units(c, k)})"
-
-
-ORACLES["f_two_baselines"] = f"""WITH c AS ({_ch}), n AS ({_nv}), m AS (SELECT novel_id, {_per_lang(_dialogue_sql)} FROM c)
-    SELECT CASE WHEN source = 'gutenberg' THEN 'classic' ELSE 'web' END AS side, count(*) AS chapters, {', '.join(f'round(avg(coalesce({k}, 0)), 9) AS {k}_dialogue_ratio' for k in LANGS)} FROM m JOIN n USING (novel_id) GROUP BY 1"""
 _sizes = lambda parts: f"list_filter(list_transform({parts}, lambda p: len({s_words('p')})), lambda n: n > 0)"
 ORACLES["f_pacing"] = f"""WITH {s_texts('en')}, t1 AS (SELECT id, {_sizes(s_paragraphs('t'))} AS a, {_sizes(s_split('t', '[,;.!?\\n]+'))} AS b FROM t0),
     t2 AS (SELECT id, (CASE WHEN len(a) < 8 AND len(b) >= len(a) THEN b ELSE a END)[1:100] AS s FROM t1)

@@ -328,11 +328,11 @@ def v_normalised(spark, d):
 
 # --- Similar works ----------------------------------------------------------------------------------------------------------------------------
 
-_WORKS = """n AS (SELECT DISTINCT * FROM novel), w AS (SELECT n.id, list_filter(list_transform(string_split(lower(coalesce(genre, '')), ','), lambda x: trim(x)), lambda x: x <> '') AS g,
+_WORKS = """n AS (SELECT DISTINCT * FROM novel), w AS (SELECT n.id, title, list_filter(list_transform(string_split(lower(coalesce(genre, '')), ','), lambda x: trim(x)), lambda x: x <> '') AS g,
     list_distinct(list_filter(list_transform(string_split(lower(coalesce(tags, '')), ','), lambda x: trim(x)), lambda x: x <> '')) AS t, coalesce(lower(territory), 'unknown') AS terr,
     coalesce(v.vector, [0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5]) AS s, CASE WHEN v.concept IS NULL OR len(list_filter(v.concept, lambda x: isnan(x) OR x IS NULL)) > 0 THEN NULL ELSE CAST(v.concept AS DOUBLE[]) END AS c
     FROM n LEFT JOIN (SELECT DISTINCT ON (id) id, vector, concept FROM novel_vector) v ON v.id = n.id), x AS (SELECT *, sqrt(list_sum(list_transform(s, lambda y: y * y))) AS ns, sqrt(coalesce(list_sum(list_transform(c, lambda y: y * y)), 0)) AS nc,
-    coalesce(g[1], '') AS p, list_distinct(g) AS gs FROM w), pr AS (SELECT a.id, b.id AS match, a.p AS ap, b.p AS bp, a.gs AS ag, b.gs AS bg, a.t AS tags_a, b.t AS tags_b, a.terr AS ar, b.terr AS br,
+    coalesce(g[1], '') AS p, list_distinct(g) AS gs FROM w), pr AS (SELECT a.id, b.id AS match, a.title AS title_a, b.title AS title_b, a.p AS ap, b.p AS bp, a.gs AS ag, b.gs AS bg, a.t AS tags_a, b.t AS tags_b, a.terr AS ar, b.terr AS br,
     list_dot_product(a.s, b.s) / (a.ns * b.ns + 1e-9) AS cos8, list_avg(list_transform(list_zip(a.s, b.s), lambda z: abs(z[1] - z[2]))) AS l1,
     CASE WHEN a.nc > 1e-9 AND b.nc > 1e-9 THEN least(greatest(list_dot_product(a.c, b.c) / (a.nc * b.nc), 0.0), 1.0) ELSE 0.40 END AS sem FROM x a JOIN x b ON a.id <> b.id WHERE a.id % 20 = 0)"""
 _ONLINE = """f0 AS (SELECT *, len(list_intersect(ag, bg)) AS gi, len(list_intersect(tags_a, tags_b)) AS ti FROM pr),
@@ -348,9 +348,9 @@ _FINAL = """f4 AS (SELECT *, least(greatest(0.45 * sem + 0.35 * genre + 0.15 * t
     SELECT id, row_number() OVER (PARTITION BY id ORDER BY score DESC, round(story, 12) DESC, match) AS rank, match, score FROM f5 QUALIFY rank <= 5"""
 
 
-def _matches(spark: SparkSession, d: str, mode: str) -> DataFrame:
+def _matches(spark: SparkSession, d: str, mode: str, titles: bool = False) -> DataFrame:
     works = S.work_rows(novels(spark, d), _t(spark, d, "novel_vector"))
-    return S.top_matches(works, F.col("id") % 20 == 0, mode=mode)
+    return S.top_matches(works, F.col("id") % 20 == 0, mode=mode, titles=titles)
 
 
 @query(f"WITH {_WORKS}, {_ONLINE}, {_FINAL}")
@@ -365,11 +365,33 @@ def n_batch_matches(spark, d):
     return _matches(spark, d, "batch").select("id", "rank", "match", "score")
 
 
-@query()
+_OVERLAP = """least(0.30, 0.15 * len(list_filter(list_distinct(regexp_extract_all(lower(title_b), '\\b[a-z]{4,}\\b')), lambda w: w NOT IN ('with', 'from', 'that', 'this', 'into', 'over', 'about', 'world') AND contains(lower(title_a), w))))"""
+_TITLED = _ONLINE.replace("f2 AS (SELECT *,", f"f1b AS (SELECT * REPLACE (CASE WHEN coalesce(title_a, '') <> '' THEN least(greatest(0.70 * sem + {_OVERLAP}, 0.0), 1.0) ELSE sem END AS sem) FROM f1), f2 AS (SELECT *,").replace("FROM f1 QUALIFY", "FROM f1b QUALIFY")
+
+
+@query(f"WITH {_WORKS}, {_TITLED}, {_FINAL}")
+def n_titled_matches(spark, d):
+    """The same by the online score of works that ask with their titles."""
+    return _matches(spark, d, "online", titles=True).select("id", "rank", "match", "score")
+
+
+_REASONS = """SELECT id, match, rank, CASE WHEN len(r) > 0 THEN array_to_string(r, '; ') ELSE 'Overall thematic and stylistic affinity' END AS reasons FROM (SELECT id, match, rank, list_filter([
+    CASE WHEN ap <> '' AND ap = bp THEN 'Matching primary archetype: ' || bp WHEN ap <> '' AND list_contains(bg, ap) THEN 'Shared genre: ' || ap WHEN genre >= 0.60 THEN 'Strong genre overlap' END,
+    CASE WHEN sem >= 0.80 THEN 'Closely aligned plot premise & themes' WHEN sem >= 0.65 THEN 'Thematic narrative overlap' END, CASE WHEN tag >= 0.60 THEN 'Overlapping narrative tropes' END,
+    CASE WHEN terr >= 0.85 AND contains(br, 'classic') THEN 'Shared Classic Literature tradition' WHEN terr >= 0.85 AND contains(br, 'web') THEN 'Shared Web Novel territory' END,
+    CASE WHEN style >= 0.88 THEN 'Similar prose style & sentence structure' WHEN style >= 0.75 THEN 'Comparable sentence cadence' END], lambda x: x IS NOT NULL) AS r
+    FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, round(story, 12) DESC, match) AS rank FROM f5 QUALIFY rank <= 5))"""
+
+
+@query(f"WITH {_WORKS}, {_ONLINE}, {_FINAL[: _FINAL.index('SELECT id, row_number')]} {_REASONS}")
 def n_explained(spark, d):
-    """Reasons of the matches."""
+    """Reasons of the matches, story before style."""
     m = _matches(spark, d, "online")
-    return m.select("id", "match", "rank", F.array_join(S.reasons(F.col("genre"), F.col("semantic"), F.col("tag"), F.col("style")), "; ").alias("reasons"))
+    works = S.work_rows(novels(spark, d), _t(spark, d, "novel_vector"))
+    side = lambda p: works.select(F.col("id").alias(f"{p}id"), F.coalesce(F.get("genres", F.lit(0)), F.lit("")).alias(f"{p}primary"), F.col("genres").alias(f"{p}genres"), F.col("territory").alias(f"{p}territory"))
+    j = m.join(side("a_").select("a_id", "a_primary"), F.col("id") == F.col("a_id")).join(side("b_"), F.col("match") == F.col("b_id"))
+    why = S.reasons({k: F.col(k) for k in ("genre", "semantic", "tag", "territory", "style")}, F.col("a_primary"), F.col("b_primary"), F.col("b_genres"), F.col("b_territory"))
+    return j.select("id", "match", "rank", F.array_join(why, "; ").alias("reasons"))
 
 
 # --- Star-schema shapes of the same operators --------------------------------------------------------------------------------------------------
