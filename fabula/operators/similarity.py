@@ -15,7 +15,7 @@ from ..functions.text import split_list
 def work_rows(novels: DataFrame, vectors: DataFrame) -> DataFrame:
     """One row per work with what the score needs: lower-case genres (the first is the primary one), tags, territory, 8 style values, concept."""
     lower = lambda c: F.transform(split_list(F.lower(F.col(c))), lambda x: x)
-    own = novels.dropDuplicates(["id"]).select("id", "title", lower("genre").alias("genres"), F.array_distinct(lower("tags")).alias("tags"), F.coalesce(F.lower("territory"), F.lit("unknown")).alias("territory"))
+    own = novels.dropDuplicates(["id"]).select("id", (F.col("title") if "title" in novels.columns else F.lit(None).cast("string")).alias("title"), lower("genre").alias("genres"), F.array_distinct(lower("tags")).alias("tags"), F.coalesce(F.lower("territory"), F.lit("unknown")).alias("territory"))
     vec = vectors.dropDuplicates(["id"]).select("id", F.col("vector").cast("array<double>").alias("style"), F.col("concept").cast("array<double>").alias("concept"))
     middle = F.array_repeat(F.lit(0.5), 8)
     bad = F.exists(F.coalesce("concept", F.array(F.lit(float("nan")))), lambda x: F.isnan(x) | x.isNull())
