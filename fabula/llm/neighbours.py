@@ -1,17 +1,24 @@
 """The k most similar vectors of every vector: inverted file, product-quantised residuals, exact reranking.
 
-The coarse centroids and the codebooks are fitted on at most ``sample`` vectors
-(smallest hash of the id); every vector is indexed.  A vector lies in the cell of
-its nearest centroid, as the code of its residual and with the length of what
-the code loses.  A query looks into its ``probes`` nearest cells; per cell an
-asymmetric distance table scores the codes, and all those are reranked exactly
-(in double precision) whose score could, by that loss, still reach the threshold
-and the k-th best (``spread`` standard deviations of the error of a dot product).
-
-Equal vectors are one class: one of them asks, and of each class only the k + 1
-smallest ids are indexed, which is exact because ties go to the smaller id.
-Cells larger than ``block`` are split into blocks, and so are their queries, so no
-task gets an unbounded group, and nothing but counts per cell reaches the driver.
+The coarse centroids (two per root of the number of vectors, by k-means, beyond
+``FLAT`` in two levels) and the codebooks are fitted on at most ``sample`` vectors,
+or eight per centroid where that is more (smallest hash of the id); every vector is
+indexed.  A vector lies in the cell of its nearest centroid, as the code of its
+residual and with the length of what the code loses.  A query looks into its
+``probes`` nearest cells; asymmetric distance tables score their codes, and all
+those are reranked exactly (in double precision) whose score could, by that loss,
+still reach the threshold and the k-th best of all probed cells (``spread``
+standard deviations of the error of a dot product).
+
+Queries of neighbouring cells are searched together, in blocks of about ``block``;
+to a block go its queries' vectors and the codes of the cells that they probe,
+sixteen bytes a vector, each code once a block.  Vectors travel once more, to the
+blocks where they must be compared exactly.
+
+Equal vectors (by 128-bit prints) are one class: one of them asks, and of each
+class only the k + 1 smallest ids are indexed, which is exact because ties go to
+the smaller id.  A cell larger than ``part`` is searched in parts, so no task gets
+an unbounded group, and nothing but counts per group of cells reaches the driver.
 
 Defined results: null, empty, NaN, infinite and all-zero vectors, and those whose
 length isn't that of most, match nothing; repeated rows of an id count once.
@@ -23,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
@@ -55,17 +62,48 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3, cosine: bool
     return c
 
 
+#: Centroids up to which they are fitted at once.
+FLAT = 2048
+
+
+def centroids(x: np.ndarray, k: int) -> np.ndarray:
+    """``k`` centroids of unit vectors; many are fitted in two levels, each first-level cluster getting its share of them."""
+    if k <= FLAT:
+        return kmeans(x, k)
+    top = kmeans(x, int(k**0.5))
+    near = np.concatenate([(x[lo : lo + 8192] @ top.T).argmax(1) for lo in range(0, len(x), 8192)])
+    out = [kmeans(x[near == t], max(1, round(k * float((near == t).mean()))), 8) for t in range(len(top)) if (near == t).any()]
+    return np.concatenate(out)
+
+
 class Index:
-    """Coarse centroids and codebooks."""
+    """Coarse centroids with the group of neighbouring cells that each belongs to, and codebooks."""
 
-    def __init__(self, sample: np.ndarray, cells: int, parts: int = 8, words: int = 256):
-        x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.coarse = kmeans(x.astype(np.float32), cells)
-        rest = x - self.coarse[(x @ self.coarse.T).argmax(1)]
+    def __init__(self, sample: np.ndarray, cells: int, parts: int = 16, words: int = 256, together: int = 32):
+        x = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
+        self.coarse = centroids(x, cells)
+        unit = self.coarse / (np.linalg.norm(self.coarse, axis=1, keepdims=True) + 1e-12)
+        self.group = (unit @ kmeans(unit, -(-len(unit) // together)).T).argmax(1).astype(np.int32)
+        rest = x - self.coarse[self.nearest(x, 1)[:, 0]]
         while x.shape[1] % parts:
             parts -= 1
         self.books = np.stack([kmeans(np.ascontiguousarray(p, np.float32), words, 8, cosine=False) if len(p) > words else np.resize(p, (words, p.shape[1])).astype(np.float32) for p in np.split(rest, parts, axis=1)])
 
+    def nearest(self, u: np.ndarray, count: int) -> np.ndarray:
+        """The ``count`` nearest cells of unit vectors, the nearest one first."""
+        out = []
+        for lo in range(0, len(u), 4096):
+            s = u[lo : lo + 4096] @ self.coarse.T
+            first = s.argmax(1)[:, None]
+            if count > 1:
+                near = np.argpartition(-s, count - 1, axis=1)[:, :count] if count < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(s), 1))
+                at = (near == first).argmax(1)
+                near[np.arange(len(s)), at] = near[:, 0]
+                near[:, 0] = first[:, 0]
+                first = near
+            out.append(first)
+        return np.concatenate(out) if out else np.zeros((0, count), np.int64)
+
     def encode(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of unit vectors in their cells, and the lengths of what the codes lose."""
         rest = x - self.coarse[cell]
@@ -77,47 +115,52 @@ class Index:
             made[:, j * w : (j + 1) * w] = b[codes[:, j]]
         return codes, np.linalg.norm(rest - made, axis=1)
 
-    def search(self, cell: int, q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, least: float, spread: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query id, neighbour id, cosine rounded to 6 places) among the vectors of one cell, at most ``k`` a query; blocks of queries at a time."""
-        unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-        codes, lost = self.encode(unit, np.full(len(x), cell))
-        slack = np.minimum(lost, spread * lost / np.sqrt(x.shape[1])).astype(np.float32) + 1e-5
-        exact_x, norm_x = x, np.linalg.norm(x, axis=1)
+    def candidates(self, u: np.ndarray, qid: np.ndarray, near: np.ndarray, cell: np.ndarray, codes: np.ndarray, lost: np.ndarray, xid: np.ndarray, k: int, least: float, spread: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, vector) numbers of the pairs that may be among the ``k`` best of a query (unit vector, its cells) in its cells, self left out."""
         m, _, w = self.books.shape
-        step = max(1, 4_000_000 // max(1, len(x)))
-        for lo in range(0, len(q), step):
-            own, ids = q[lo : lo + step], qid[lo : lo + step]
-            norm_q = np.linalg.norm(own, axis=1)
-            u = (own / norm_q[:, None]).astype(np.float32)
-            score = np.repeat((u @ self.coarse[cell])[:, None], len(x), 1)
+        tables = [u[:, j * w : (j + 1) * w] @ self.books[j].T for j in range(m)]
+        order = np.argsort(cell, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(cell[order], prepend=-1)), len(order))
+        who = np.repeat(np.arange(len(u)), near.shape[1])
+        by_cell = np.argsort(near.ravel(), kind="stable")
+        sorted_near = near.ravel()[by_cell]
+        floor = np.full((len(u), k), -2, np.float32)
+        held = []
+        for lo, hi in zip(edges, edges[1:]):
+            at = order[lo:hi]
+            c = cell[at[0]]
+            own = who[by_cell[np.searchsorted(sorted_near, c) : np.searchsorted(sorted_near, c, side="right")]]
+            if not len(own):
+                continue
+            score = np.repeat((u[own] @ self.coarse[c])[:, None], len(at), 1)
             for j in range(m):
-                score += (u[:, j * w : (j + 1) * w] @ self.books[j].T)[:, codes[:, j]]  # the distance table of part j
+                score += tables[j][own][:, codes[at, j]]
+            slack = np.minimum(lost[at], spread * lost[at] / np.sqrt(u.shape[1])).astype(np.float32) + 1e-5
+            score[qid[own][:, None] == xid[at][None, :]] = -4
             low = score - slack
-            low[ids[:, None] == xid[None, :]] = -2
-            floor = np.partition(low, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(own), -2, np.float32)
-            keep = score + slack >= np.maximum(floor, least)[:, None]
-            keep &= ids[:, None] != xid[None, :]
-            a, b = np.nonzero(keep)
-            if not len(a):
-                continue
-            if len(a) > 0.2 * keep.size:
-                sims = (own @ exact_x.T)[a, b]
-            else:
-                sims = np.concatenate([np.einsum("ij,ij->i", own[a[s : s + 200_000]], exact_x[b[s : s + 200_000]]) for s in range(0, len(a), 200_000)])
-            sims = np.round(sims / (norm_q[a] * norm_x[b]), 6)
-            good = sims >= least
-            a, b, sims = a[good], b[good], sims[good]
-            order = np.lexsort((xid[b], -sims, a))
-            a, b, sims = a[order], b[order], sims[order]
-            rank = np.arange(len(a)) - np.searchsorted(a, a)
-            top = rank < k
-            yield ids[a[top]], xid[b[top]], sims[top]
+            best = np.partition(low, low.shape[1] - k, axis=1)[:, -k:] if low.shape[1] > k else low
+            floor[own] = np.partition(np.concatenate([floor[own], best], axis=1), best.shape[1], axis=1)[:, best.shape[1] :]
+            held.append((own, at, score + slack))
+        bound = np.maximum(floor.min(1), np.float32(least - 1e-5)) if len(u) else floor[:, 0]
+        for own, at, high in held:
+            a, b = np.nonzero(high >= bound[own][:, None])
+            if len(a):
+                yield own[a], at[b]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
 
+def _renewed(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, for a meeting with a table of the same origin."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
 def clean(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v) of the usable vectors, one row per id; v as it is stored if in single precision, which halves what is shuffled, else in double."""
     kind = df.schema[vector].dataType.elementType.simpleString()
@@ -127,7 +170,7 @@ def clean(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), v.alias("v")).where(~bad).where(size > 0).dropDuplicates(["id"])
 
 
-def neighbours(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.85, probes: int = 16, sample: int = 32768, cells: int | None = None, block: int = 4096, spread: float = 5.0, queries: DataFrame | None = None) -> DataFrame:
+def neighbours(df: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.85, probes: int = 16, sample: int = 32768, cells: int | None = None, block: int = 4096, part: int = 65536, spread: float = 5.0, queries: DataFrame | None = None) -> DataFrame:
     """(id, match, similarity, rank) of the at most ``k`` most similar other vectors with a cosine, rounded to 6 places, of at least ``least``.
 
     ``queries``: a table with the ids that ask (column ``key``); all by default.
@@ -141,67 +184,104 @@ def neighbours(df: DataFrame, key: str, vector: str, k: int = 5, least: float =
         return empty
     dim, total = common["dim"], common["count"]
     rows = rows.where(F.size("v") == dim)
-    picked = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
-    train = np.array([r[0] for r in rows.join(F.broadcast(picked), "id", "left_semi").select("v").collect()], np.float64)
-    index = spark.sparkContext.broadcast(Index(train, cells or max(1, min(2048, int(2 * total**0.5)))))
+    wanted_cells = cells or max(1, int(2 * total**0.5))
+    picked = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(max(sample, 8 * wanted_cells))
+    train = np.array([r[0] for r in rows.join(F.broadcast(picked), "id", "left_semi").select("v").collect()], np.float32)
+    index = spark.sparkContext.broadcast(Index(train, wanted_cells))
     n_cells = len(index.value.coarse)
-    probes = min(probes, n_cells)
+    probes, take = min(probes, n_cells), k + 1
 
-    classes = rows.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    few = rows.withColumn("rn", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("rn") <= k + 1).select("id", "v")
-    members = cut(rows.join(classes.where("n > 1"), "v").select("id", "rep"))
-    asking = classes.select(F.col("rep").alias("id"), "v")
+    # Classes of equal vectors, by prints: only ids and prints are shuffled.
+    prints = rows.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
+    classes = prints.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    few = prints.withColumn("rn", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("rn") <= take).select("id")
+    members = cut(prints.join(classes.where("n > 1"), ["h1", "h2"]).select("id", "rep"))
+    askers = classes.select(F.col("rep").alias("id"))
     if queries is not None:
         wanted = queries.select(F.col(key).alias("id")).distinct()
         shared = members.join(wanted, "id", "left_semi").select(F.col("rep").alias("id"))
-        asking = asking.join(wanted.unionByName(shared).distinct(), "id", "left_semi")
-
-    def place(count: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coarse = index.value.coarse
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = _matrix(batch.column(1), dim)
-                s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ coarse.T
-                near = np.argpartition(-s, count - 1, axis=1)[:, :count] if count < n_cells else np.tile(np.arange(n_cells), (len(x), 1))
-                if count == 1:
-                    near = s.argmax(1)[:, None]
-                who = np.repeat(np.arange(len(x)), near.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who)), batch.column(1).take(pa.array(who)), pa.array(near.ravel().astype(np.int32))], ["id", "v", "cell"])
-
-        return run
-
-    schema = f"id {kind}, v {rows.schema['v'].dataType.simpleString()}, cell int"
-    stored = cut(few.mapInArrow(place(1), schema))
-    asked = asking.mapInArrow(place(probes), schema)
-    sizes = {r["cell"]: r["n"] for r in stored.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    splits = {c: -(-n // block) for c, n in sizes.items() if n > block}
-    # A cell of n vectors has ceil(n / block) blocks; its queries, about probes times as many, are dealt to as many deals. Every deal meets every block.
-    deals = {c: -(-n * probes // (4 * block)) for c, n in sizes.items() if n * probes > 4 * block}
-    pieces = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in splits.items() for x in p]), F.col("cell")), F.lit(1)) if splits else F.lit(1)
-    dealt = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in deals.items() for x in p]), F.col("cell")), F.lit(1)) if deals else F.lit(1)
-    left = stored.withColumn("part", F.pmod(F.xxhash64("id"), pieces).cast("int")).withColumn("deal", F.explode(F.sequence(F.lit(0), dealt - 1)))
-    right = asked.where(F.col("cell").isin(*sizes) if len(sizes) < n_cells else F.lit(True)).withColumn("deal", F.pmod(F.xxhash64("id", F.lit(1)), dealt).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    group = ["cell", "part", "deal"]
-    take = k + 1
+        askers = askers.join(wanted.unionByName(shared).distinct(), "id", "left_semi")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
+        for batch in batches:
+            x = _unit(_matrix(batch.column(1), dim))
+            cell = own.nearest(x, 1)[:, 0]
+            codes, lost = own.encode(x, cell)
+            packed = pa.array([c.tobytes() for c in codes], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(own.group[cell] if len(x) else [], pa.int32()), packed, pa.array(lost.astype(np.float32))], ["id", "cell", "grp", "code", "lost"])
+
+    coded = cut(rows.mapInArrow(encode, f"id {kind}, cell int, grp int, code binary, lost float"))
+    stored = coded.join(few, "id", "left_semi").select("id", "cell", "code", "lost")
+    asking = coded.join(askers, "id", "left_semi").select("id", "grp")
+    # A group of cells has one block of queries per ``block`` of them.
+    counts = {r["grp"]: r["n"] for r in asking.groupBy("grp").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["cell"]: r["n"] for r in stored.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > part).collect()}
+
+    def lookup(many: dict[int, int], column: str) -> Column:
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in many.items() for x in p]), F.col(column)), F.lit(1)) if many else F.lit(1)
+
+    blocks = lookup({g: -(-n // block) for g, n in counts.items() if n > block}, "grp")
+    placed = cut(asking.withColumn("piece", F.pmod(F.xxhash64("id"), blocks).cast("int")).join(rows, "id"))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = index.value.nearest(_unit(_matrix(batch.column(2), dim)), probes)
+            seen = np.unique(np.stack([np.repeat(np.asarray(batch.column(i)), probes) for i in (0, 1)] + [near.ravel()], 1), axis=0) if batch.num_rows else np.zeros((0, 3), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in seen.T], ["grp", "piece", "cell"])
+
+    reached = placed.select("grp", "piece", "v").mapInArrow(probe, "grp int, piece int, cell int").distinct()
+    parts = lookup({c: -(-n // part) for c, n in sizes.items()}, "cell")
+    left = stored.withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), parts).cast("int")).join(reached, "cell")
+    most = max([-(-n // part) for n in sizes.values()], default=1)
+    right = _renewed(placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))))
+    where = ["grp", "piece", "part"]
 
     def meet(key_values: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list = [[], [], []]
+        out: list = [[], []]
         if a.num_rows and b.num_rows:
-            x, q = _matrix(a.column("v").combine_chunks(), dim), _matrix(b.column("v").combine_chunks(), dim)
-            for found in index.value.search(key_values[0].as_py(), q, np.asarray(b.column("id")), x, np.asarray(a.column("id")), take, least, spread):
-                for o, f in zip(out, found):
-                    o.append(f)
-        return pa.table({n: np.concatenate(o) if o else np.zeros(0, t) for n, o, t in zip(("id", "match", "similarity"), out, (np.int64, np.int64, np.float64))})
+            u = _unit(_matrix(b.column("v").combine_chunks(), dim))
+            codes = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(a.num_rows, -1)
+            ids, own = np.asarray(b.column("id")), index.value
+            x = [np.asarray(a.column(n)) for n in ("cell", "lost", "id")]
+            for q, f in own.candidates(u, ids, own.nearest(u, probes), x[0], codes, x[1], x[2], take, least, spread):
+                out[0].append(ids[q])
+                out[1].append(x[2][f])
+        one, two = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
+        order = np.argsort(one, kind="stable")
+        first = np.flatnonzero(np.diff(one[order], prepend=one[order][:1] - 1)) if len(one) else np.zeros(0, np.int64)
+        # A row per query, and one without a query of all vectors that the block must compare.
+        every = np.unique(np.concatenate([one, two]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.append(first, len(one)), len(one) + len(every)).astype(np.int32)), pa.array(np.concatenate([two[order], every])))
+        made = {c: pa.array(np.full(len(first) + 1, v.as_py(), np.int32)) for c, v in zip(("grp", "piece"), key_values)}
+        return pa.table(made | {"id": pa.concat_arrays([pa.array(one[order][first], pa.int64()), pa.nulls(1, pa.int64())]), "matches": lists})
+
+    pairs = cut(left.groupBy(*where).cogroup(right.groupBy(*where)).applyInArrow(meet, f"grp int, piece int, id {kind}, matches array<{kind}>"))
+    needed = _renewed(pairs.where("id IS NULL").select("grp", "piece", F.explode("matches").alias("id")).distinct().join(rows, "id"))
+
+    def rerank(key_values: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        ids = np.asarray(b.column("id"))
+        order = np.argsort(ids, kind="stable")
+        x = _matrix(b.column("v").combine_chunks(), dim)
+        size = np.linalg.norm(x, axis=1)
+        lists = a.column("matches").combine_chunks()
+        one, two = np.repeat(np.asarray(a.column("id")), np.asarray(lists.value_lengths())) if a.num_rows else np.zeros(0, np.int64), np.asarray(lists.flatten())
+        p, q = (order[np.searchsorted(ids[order], side)] for side in (one, two))
+        dots = [np.einsum("ij,ij->i", x[p[i : i + 200_000]], x[q[i : i + 200_000]]) for i in range(0, len(p), 200_000)]
+        sims = np.round(np.concatenate(dots) / (size[p] * size[q]), 6) if dots else np.zeros(0)
+        good = np.flatnonzero(sims >= least)
+        good = good[np.lexsort((two[good], -sims[good], one[good]))]
+        rank = np.arange(len(good)) - np.searchsorted(one[good], one[good])
+        good = good[rank < take]
+        return pa.table({"id": one[good], "match": two[good], "similarity": sims[good]})
 
-    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, f"id {kind}, match {kind}, similarity double")
+    by = ["grp", "piece"]
+    reps = pairs.where("id IS NOT NULL").groupBy(*by).cogroup(needed.groupBy(*by)).applyInArrow(rerank, f"id {kind}, match {kind}, similarity double")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "match")
-    reps = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= take)
     # A class shares the matches of the one that asked, which has the class's other members among its matches and is a match of the others.
     twin = members.where("id <> rep").join(reps.select(F.col("id").alias("rep"), "match", "similarity"), "rep").select("id", "match", "similarity")
     twin = twin.unionByName(members.where("id <> rep").select("id", F.col("rep").alias("match"), F.lit(1.0).alias("similarity")))
-    both = reps.select("id", "match", "similarity").unionByName(twin.where("id <> match"))
+    both = reps.unionByName(twin.where("id <> match"))
     if queries is not None:
         both = both.join(queries.select(F.col(key).alias("id")).distinct(), "id", "left_semi")
     return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

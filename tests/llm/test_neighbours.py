@@ -27,7 +27,7 @@ def test_recall_against_brute_force(spark):
 def test_exact_with_all_cells_and_small_blocks(spark):
     x = make(400, 1)
     truth = exact_neighbours(x, np.arange(len(x)), np.arange(len(x)), 5, 0.85)
-    assert found(frame(spark, x), probes=10_000, spread=1e9, block=37) == truth
+    assert found(frame(spark, x), probes=10_000, spread=1e9, block=37, part=9) == truth
 
 
 def test_copies_ties_and_bad_vectors(spark):
@@ -47,3 +47,14 @@ def test_asking_ids_and_empty(spark):
     some = found(df, queries=df.where("id % 20 = 0").select("id"), probes=10_000, spread=1e9)
     assert some == {p for p in found(df, probes=10_000, spread=1e9) if p[0] % 20 == 0}
     assert found(df.limit(0)) == set()
+
+
+def test_centroids_in_two_levels(monkeypatch):
+    from fabula.llm import neighbours as N
+
+    x = make(900, 4).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(N, "FLAT", 50)
+    c = N.centroids(x, 80)
+    assert 60 <= len(c) <= 100 and np.allclose(np.linalg.norm(c, axis=1), 1, atol=1e-5)
+    assert (x @ c.T).max(1).mean() > (x @ N.kmeans(x, 8).T).max(1).mean()
