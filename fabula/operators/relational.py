@@ -40,21 +40,24 @@ def quota(df: DataFrame, key: list[str], order: list[Column], most: int, held: D
 
 def number_missing(df: DataFrame, key: str, number: str, order: list[Column], missing: Column) -> DataFrame:
     """Numbers the rows without one, per key: the greatest number that is there plus 1, 2, … in ``order``."""
-    own = Window.partitionBy(key)
-    top = F.coalesce(F.max(F.when(~missing, F.col(number))).over(own), F.lit(0))
+    top = df.where(~missing).groupBy(key).agg(F.max(number).alias("_top"))
     at = F.row_number().over(Window.partitionBy(key, missing).orderBy(*order))
-    return df.withColumn("_top", top).withColumn("_at", at).withColumn(number, F.when(missing, F.col("_top") + F.col("_at")).otherwise(F.col(number))).drop("_top", "_at")
+    out = df.withColumn("_at", at).join(top, key, "left")
+    new = F.when(missing, F.coalesce("_top", F.lit(0)) + F.col("_at")).otherwise(F.col(number))
+    return out.withColumn(number, new).select(*df.columns)
 
 
-def opening_middle_end(df: DataFrame, key: str, order: list[Column], text: str) -> DataFrame:
-    """(key, text): the only row's text, both of two, else the first, middle and last joined by a blank line.
+def opening_middle_end(df: DataFrame, key: str, order: list[Column], text: str, ident: str = "id") -> DataFrame:
+    """(key, text): the only row's text, both of two, else the first, middle and last joined by a blank line.  Rows repeated under one ``ident`` count once.
 
-    The rows are ranked and picked before they are gathered, so that a key with many rows gathers three texts.
+    The rows are ranked without their texts; only the picked ones' texts are read into the groups, three at most.
     """
-    w = Window.partitionBy(key)
-    ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1)
-    picked = ranked.where((F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1) | ((F.col("_n") >= 3) & (F.col("_i") == F.floor(F.col("_n") / 2))))
-    return picked.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", text))), lambda x: x[text]), "\n\n").alias(text))
+    keys = df.drop(text).distinct()
+    sizes = keys.groupBy(key).agg(F.count("*").alias("_n"))
+    ranked = keys.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).join(sizes, key)
+    picked = ranked.where((F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1) | ((F.col("_n") >= 3) & (F.col("_i") == F.floor(F.col("_n") / 2)))).select(key, ident, "_i")
+    texts = picked.join(df.select(ident, text), ident).dropDuplicates([ident])
+    return texts.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", text))), lambda x: x[text]), "\n\n").alias(text))
 
 
 def has_any(c: Column, words: list[str]) -> Column:

@@ -11,7 +11,11 @@ from ..functions.text import language
 from ..functions.vectors import percentile
 from ..operators import arc as A
 from ..operators import classify as C
+from ..operators.archetype import match_archetype
+from ..operators.explain import radar
+from ..operators.lineage import cut
 from ..operators.relational import quota, upsert
+from ..operators.similarity import top_matches
 from ..sources import parsers
 
 
@@ -23,15 +27,29 @@ def check_text(text: str | None, lang: str) -> None:
         raise ValueError(f"unknown language {lang!r}")
 
 
-def analyze(spark: SparkSession, text: str, lang: str = "auto") -> DataFrame:
-    """One row: metrics, percentiles, arc, pacing and guardrail of one text, by the same columns as the tables."""
+def analyze(spark: SparkSession, text: str, lang: str = "auto", works: DataFrame | None = None) -> DataFrame:
+    """One row: metrics, percentiles, archetype, radar, arc, pacing and guardrail of one text, by the same columns as the tables.
+
+    With ``works`` (rows of ``similarity.work_rows``) also ``top_matches``: the five most similar works (id, score) by the text's archetype,
+    territory and radar; words of a work's title that stand in the text count.
+    """
     check_text(text, lang)
     df = spark.createDataFrame([(text,)], "text string")
     own = lang if lang != "auto" else df.select(language(F.col("text"))).first()[0]
     f = M.features(F.col("text"), own)
     df = A.with_arc(df, "text", own).withColumns({f"{own}_{k}": v for k, v in f.items()})
     df = df.withColumns({f"{own}_{k}_percentile": percentile(k, F.col(f"{own}_{k}")) for k in f})
-    return df.withColumn("pacing", A.pacing(F.col("text"), own)).withColumn("guardrail", C.guardrail(F.col("text"))).withColumn("lang", F.lit(own)).drop("text")
+    df = cut(df)  # the metrics once, whatever reads them
+    df = df.withColumn("archetype", match_archetype({k: F.col(f"{own}_{k}") for k in f})).withColumn("radar", radar(df))
+    df = df.withColumn("pacing", A.pacing(F.col("text"), own)).withColumn("guardrail", C.guardrail(F.col("text"))).withColumn("lang", F.lit(own))
+    if works is not None:
+        me = df.select(
+            F.lit(-1).cast("long").alias("id"), F.col("text").alias("title"), F.array(F.lower("archetype.closest_trope")).alias("genres"), F.array().cast("array<string>").alias("tags"),
+            F.lower("archetype.territory").alias("territory"), F.col("radar").alias("style"), F.lit(None).cast("array<double>").alias("concept"),
+        )
+        found = top_matches(works.unionByName(me), F.col("id") == -1, titles=True).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("match").alias("id"), "score"))).alias("m"))
+        df = df.crossJoin(found.select(F.transform("m", lambda x: F.struct(x["id"].alias("id"), x["score"].alias("score"))).alias("top_matches")))  # a row by a row
+    return df.drop("text")
 
 
 def ingest_records(raw: DataFrame, kind: str, novels: DataFrame, most: int = 12, only_existing: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -55,11 +73,16 @@ def _with_arrival(raw: DataFrame, kind: str) -> DataFrame:
     return parsed.withColumn("arrival", F.monotonically_increasing_id())
 
 
-def profiles(texts: DataFrame, label: str, text: str, most: int | None = 200, labels: list[str] | None = None) -> DataFrame:
-    """(label, centroid, samples_used): mean prose vector of at most ``most`` texts per label (by hash; None: of all); labels without a text have a zero vector."""
+def profiles(texts: DataFrame, label: str, text: str, most: int | None = 200, labels: list[str] | None = None, ident: str = "id") -> DataFrame:
+    """(label, centroid, samples_used): mean prose vector of at most ``most`` texts per label (by the hash of ``ident``, of the text without one; None: of all); labels without
+    a text have a zero vector.  The texts to take are picked by their keys; rows repeated under one key count once where ``most`` is given."""
     dim = 384
+    if ident not in texts.columns:
+        texts = texts.withColumn(ident, F.xxhash64(text))
     if most is not None:
-        texts = texts.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(text), text))).where(F.col("_r") <= most)
+        keys = texts.select(ident, label).distinct()
+        picked = keys.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(ident), ident))).where(F.col("_r") <= most)
+        texts = texts.join(picked.select(ident, label), [ident, label], "left_semi").dropDuplicates([ident, label])
     e = with_prose_vector(texts, text, "_v").select(label, F.posexplode("_v").alias("pos", "x")).groupBy(label, "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
     out = e.groupBy(F.col(label).alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("centroid"), F.max("n").alias("samples_used"))
     if labels is None:

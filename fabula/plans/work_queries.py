@@ -136,7 +136,7 @@ def c_first_chapter(spark, d):
     SELECT novel_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY i)) AS print FROM r WHERE i = 0 OR i = n - 1 OR (n >= 3 AND i = n // 2) GROUP BY novel_id""")
 def c_three_chapters(spark, d):
     """First, middle and last chapter of every novel as one text."""
-    ch = _t(spark, d, "chapter").select("id", "novel_id", "chapter_number", first_text("text_en", "text_ja", "text_zh").alias("t")).dropDuplicates(["id"])
+    ch = _t(spark, d, "chapter").select("id", "novel_id", "chapter_number", first_text("text_en", "text_ja", "text_zh").alias("t"))
     return R.opening_middle_end(ch, "novel_id", [F.col("chapter_number"), F.col("id")], "t").select("novel_id", F.md5("t").alias("print"))
 
 
@@ -499,7 +499,7 @@ def v_prose_profiles(spark, d):
     """A13, C17, M11, U3, PL4: prose vectors of English chapters by source as profiles, with the number of texts used."""
     from .pipelines import profiles
 
-    ch = _t(spark, d, "chapter").where("text_en <> ''").select("id", "novel_id", "text_en").dropDuplicates(["id"])
+    ch = _t(spark, d, "chapter").where("text_en <> ''").select("id", "novel_id", "text_en")
     nv = novels(spark, d).select(F.col("id").alias("novel_id"), F.lower(F.trim("source")).alias("source"))
     out = profiles(ch.join(nv, "novel_id"), "source", "text_en", 200, ["gutenberg", "royalroad", "scribblehub", "syosetu", "cnnovel", "fanglot"])
     return out.select("label", "samples_used", F.round(V.norm(F.col("centroid")), 6).alias("length"))

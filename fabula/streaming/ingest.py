@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.lineage import cut
 from ..operators.relational import quota
 from ..sources.sinks import append, exists
 
@@ -46,13 +47,23 @@ def ingest_chapters(stream: DataFrame, target: str, checkpoint: str, most: int =
 
 
 def windowed_counts(stream: DataFrame, target: str, checkpoint: str, width: str = "1 day", late: str = "2 days") -> None:
-    """Counts and sums per event type and window; late rows up to ``late`` are counted, each batch replaces the table."""
+    """Counts and sums per event type and window; rows up to ``late`` behind the latest are counted, the state of older windows is dropped.
+
+    Each batch brings the windows that changed, which replace their rows in ``target``; only the touched days' files are rewritten, so a batch
+    that is run again after a failure leaves the same table."""
     agg = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("event_type", F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
     def batch(df: DataFrame, _: int) -> None:
-        df.select("event_type", F.col("w.start").alias("day"), "n", "total").write.mode("overwrite").parquet(target)
+        spark = df.sparkSession
+        new = df.select("event_type", F.col("w.start").alias("day"), "n", "total", F.date_format("w.start", "yyyy-MM-dd").alias("on_day"))
+        if exists(spark, target):
+            new = cut(new)
+            there = spark.read.parquet(target).withColumn("on_day", F.col("on_day").cast("string"))
+            old = there.join(new.select("on_day").distinct(), "on_day", "left_semi").join(new.select("event_type", "day"), ["event_type", "day"], "left_anti")
+            new = cut(old.select(*new.columns).unionByName(new))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("on_day").parquet(target)
 
-    agg.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    agg.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def keyed_quota(stream: DataFrame, key: str, most: int) -> DataFrame:

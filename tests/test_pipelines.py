@@ -67,3 +67,14 @@ def test_genre_profiles_use_every_chapter(spark, monkeypatch):
     monkeypatch.setattr(P, "profiles", lambda *a: [used.update({r["label"]: r["samples_used"] for r in real(*a).collect()}), real(*a)][1])
     g_prose_genres(spark, "/root/testdata/sf0.01")
     assert max(used.values()) > 50
+
+
+def test_a_text_with_its_matches(spark):
+    from fabula.plans.pipelines import analyze
+
+    rows = [(i, f"The Golden Lamp {i}" if i % 2 else "Quiet Harbour", ["poetry"], ["t"], "classic literature territory", [0.5] * 8, None) for i in range(20)]
+    works = spark.createDataFrame(rows, "id long, title string, genres array<string>, tags array<string>, territory string, style array<double>, concept array<double>")
+    r = analyze(spark, "Nobody saw the golden lamp again. It was gone! Why?\n\nThe old house stood empty for years.", works=works).first()
+    assert r["lang"] == "en" and r["archetype"]["closest_trope"] and len(r["radar"]) == 8 and len(r["top_matches"]) == 5
+    assert all(m["id"] % 2 == 1 for m in r["top_matches"])
+    assert "top_matches" not in analyze(spark, "短い文章です。終わり。").columns
