@@ -10,9 +10,9 @@
 3. Grow: a sentence left over joins a match of its neighbour if its own bag
    explains what the match leaves unexplained in the partner.
 
-Counts cover all documents; the table keeps, for the ``pieces`` most frequent
-pieces (documented model size), every word whose Dice value is at least ``least``,
-so it is small enough to send.
+Counts cover all documents; the table keeps every word whose Dice value with a piece
+is at least ``least`` (that bounds it: a piece has few such words), and its size is
+checked before it is sent.
 
 Defined results: documents without sentences on one side give no pair; English
 sentences written in Japanese, remarks and lines without letters pair with
@@ -190,43 +190,85 @@ def unpack(blob: bytes) -> list[list]:
     return [[(line, anchors, words.split(" ") if words else []) for line, anchors, words in side] for side in marshal.loads(blob)]
 
 
-def anchor_matrix(left: list, right: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shared anchor weight of every sentence pair by inverted lists, and the anchor weights of the sentences of either side."""
+class Pairs:
+    """Sentence pairs of a document that share something, found through inverted lists: (left, right) numbers with what they share of each kind."""
+
+    def __init__(self, n_left: int, n_right: int, keys: np.ndarray, weights: list[np.ndarray]):
+        """``keys``: left * n_right + right of every meeting in a list, ``weights``: arrays of what it adds."""
+        self.n_left, self.n_right = n_left, n_right
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        self.key = keys[order][first]
+        self.i, self.j = self.key // max(1, n_right), self.key % max(1, n_right)
+        self.sums = [np.add.reduceat(w[order], first) if len(first) else np.zeros(0) for w in weights]
+
+    def mutual(self, score: np.ndarray, least: float, lead: float = 0.0) -> list[int]:
+        """Numbers of the pairs that are each other's best (ties: the first), at least ``least`` and, with ``lead``, alone within it on both sides."""
+        out = []
+        sides = []
+        for own, n in ((self.i, self.n_left), (self.j, self.n_right)):
+            order = np.lexsort((self.key, -score, own))
+            first = np.flatnonzero(np.diff(own[order], prepend=-1))
+            best = np.full(n, -1)
+            best[own[order][first]] = order[first]
+            sides.append(best)
+        mine = sides[0][sides[0] >= 0]
+        for p in mine[(sides[1][self.j[mine]] == mine) & (score[mine] >= least)].tolist():
+            if lead:
+                edge = score[p] - lead
+                if ((self.i == self.i[p]) & (score > edge)).sum() + ((self.j == self.j[p]) & (score > edge)).sum() > 2:
+                    continue
+            out.append(p)
+        return out
+
+
+def anchor_lists(left: list, right: list) -> tuple[list[tuple[int, int, float]], np.ndarray, np.ndarray]:
+    """(left, right, weight) of every shared anchor by inverted lists, and the anchor weights of the sentences of either side."""
     lists: dict[str, list[int]] = {}
     for j, (_, anchors, _) in enumerate(right):
         for a in anchors:
             lists.setdefault(a, []).append(j)
-    shared = np.zeros((len(left), len(right)))
-    for i, (_, anchors, _) in enumerate(left):
-        for a, w in anchors.items():
-            if a in lists:
-                shared[i, lists[a]] += w
+    shared = [(i, j, w) for i, (_, anchors, _) in enumerate(left) for a, w in anchors.items() for j in lists.get(a, ())]
     # An anchor that the other side of the document doesn't know at all tells nothing (a name that is spelled otherwise, a loan word).
-    known = set(lists)
     mine = {a for _, anchors, _ in left for a in anchors}
-    wl = np.array([sum(w if a in known or a[0] == "#" else 0.3 * w for a, w in anchors.items()) for _, anchors, _ in left])
+    wl = np.array([sum(w if a in lists or a[0] == "#" else 0.3 * w for a, w in anchors.items()) for _, anchors, _ in left])
     wr = np.array([sum(w if a in mine or a[0] == "#" else 0.3 * w for a, w in anchors.items()) for _, anchors, _ in right])
     return shared, wl, wr
 
 
-def _mutual(score: np.ndarray, least: float, lead: float = 0.0) -> list[tuple[int, int]]:
-    """Pairs that are each other's best, at least ``least`` and ahead of the second best of both by ``lead``."""
-    if not score.size:
-        return []
-    best_j, best_i = score.argmax(1), score.argmax(0)
-    out = []
-    for i, j in enumerate(best_j.tolist()):
-        if best_i[j] == i and score[i, j] >= least:
-            if lead:
-                edge = score[i, j] - lead
-                if (score[i] > edge).sum() + (score[:, j] > edge).sum() > 2:
-                    continue
-            out.append((i, j))
-    return out
+def _table(rows: list, width: int) -> np.ndarray:
+    return np.array(rows, np.float64).reshape(-1, width)
 
 
-def learn(read: DataFrame, pieces: int = 20_000, least: float = 0.05) -> tuple[dict, dict]:
-    """(piece -> [(word, probability)], word -> weight) counted over all documents."""
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges [lo, hi), and of each the number of its range."""
+    n = hi - lo
+    spread = np.repeat(np.arange(len(lo)), n)
+    return np.arange(len(spread)) - np.repeat(np.cumsum(n) - n, n) + lo[spread], spread
+
+
+class Table:
+    """What Japanese pieces are likely to be in English, and what English words weigh."""
+
+    def __init__(self, rows: list[tuple[str, str, float]], weight: dict[str, float]):
+        self.word = {w: k for k, w in enumerate(weight)}
+        self.value = LEARNED * np.minimum(np.array(list(weight.values()), np.float64), 4.0)
+        rows = [r for r in rows if r[1] in self.word]
+        self.piece: dict[str, int] = {}
+        number = np.array([self.piece.setdefault(f, len(self.piece)) for f, _, _ in rows], np.int64)
+        order = np.argsort(number, kind="stable")
+        self.start = np.searchsorted(number[order], np.arange(len(self.piece) + 1))
+        self.goes = np.array([self.word[e] for _, e, _ in rows], np.int64)[order]
+        self.likely = np.array([p for _, _, p in rows], np.float64)[order]
+
+    def of(self, piece: str) -> dict[str, float]:
+        k = self.piece.get(piece)
+        names = list(self.word)
+        return {} if k is None else {names[w]: float(p) for w, p in zip(self.goes[self.start[k] : self.start[k + 1]], self.likely[self.start[k] : self.start[k + 1]])}
+
+
+def learn(read: DataFrame, least: float = 0.05, most: int = 3_000_000) -> Table:
+    """The table counted over all documents: every word that meets a piece at least twice and has a Dice value of at least ``least`` with it.  A table of more than ``most`` entries or words is refused."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: defaultdict[str, Counter] = defaultdict(Counter)
@@ -240,12 +282,14 @@ def learn(read: DataFrame, pieces: int = 20_000, least: float = 0.05) -> tuple[d
         for batch in batches:
             for blob in batch.column(0).to_pylist():
                 left, right = unpack(blob)
-                shared, wl, wr = anchor_matrix(left, right)
-                if not shared.size:
+                shared, wl, wr = anchor_lists(left, right)
+                if not shared:
                     continue
-                score = 2 * shared / np.maximum(wl[:, None] + wr[None, :], 1)
-                score[shared < 3] = 0
-                for i, j in _mutual(score, 0.6, 0.15):
+                meet = _table(shared, 3)
+                pairs_ = Pairs(len(left), len(right), (meet[:, 0] * len(right) + meet[:, 1]).astype(np.int64), [meet[:, 2]])
+                together = pairs_.sums[0]
+                score = np.where(together < 3, 0.0, 2 * together / np.maximum(wl[pairs_.i] + wr[pairs_.j], 1))
+                for i, j in ((int(pairs_.i[p]), int(pairs_.j[p])) for p in pairs_.mutual(score, 0.6, 0.15)):
                     words = [*right[j][2], ""]
                     for f in left[i][2]:
                         tally(pairs[f], words)
@@ -258,77 +302,95 @@ def learn(read: DataFrame, pieces: int = 20_000, least: float = 0.05) -> tuple[d
     counts = counts.persist()
     ones = counts.where("e = '' OR f = ''")
     total = next((r["n"] for r in ones.where("e = '' AND f = ''").collect()), 0)
-    words = {r["e"]: r["n"] for r in ones.where("f = '' AND e <> ''").orderBy(F.desc("n"), "e").limit(pieces).collect()}
-    frequent = ones.where("e = '' AND f <> ''").orderBy(F.desc("n"), "f").limit(pieces).select("f", F.col("n").alias("nf"))
-    ranked = counts.where("e <> '' AND f <> ''").join(F.broadcast(frequent), "f").join(F.broadcast(ones.where("f = '' AND e <> ''").orderBy(F.desc("n"), "e").limit(pieces).select("e", F.col("n").alias("ne"))), "e")
+    ranked = counts.where("e <> '' AND f <> ''").join(ones.where("e = '' AND f <> ''").select("f", F.col("n").alias("nf")), "f").join(ones.where("f = '' AND e <> ''").select("e", F.col("n").alias("ne")), "e")
     # The Dice value keeps rare coincidences and words that go with everything down.
     ranked = ranked.withColumn("dice", 2 * F.col("n") / (F.col("nf") + F.col("ne"))).where(F.col("dice") >= least)
-    table: dict[str, list[tuple[str, float]]] = {}
-    for r in ranked.select("f", "e", "dice", "n", "nf").collect():
-        table.setdefault(r["f"], []).append((r["e"], float(r["n"] / r["nf"] * min(1.0, r["dice"] * 1.5) ** 0.5)))
+    rows = ranked.select("f", "e", "dice", "n", "nf").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} entries of the translation table")
+    words = {r["e"]: r["n"] for r in ones.where("f = '' AND e <> ''").limit(most + 1).collect()}
+    if len(words) > most:
+        raise ValueError(f"more than {most} words")
     counts.unpersist()
-    return table, {w: float(np.log((total + 1) / n)) for w, n in words.items()}
+    return Table([(r["f"], r["e"], float(r["n"] / r["nf"] * min(1.0, r["dice"] * 1.5) ** 0.5)) for r in rows], {w: float(np.log((total + 1) / n)) for w, n in words.items()})
 
 
-def align_document(left: list, right: list, table: dict, weight: dict, least: float = 0.42) -> list[tuple[int, int, float]]:
-    """(left sentence, right sentence, score) of one document."""
+def align_document(left: list, right: list, table: Table, slot: np.ndarray, least: float = 0.42) -> list[tuple[int, int, float]]:
+    """(left sentence, right sentence, score) of one document.
+
+    The bag of a left sentence holds its anchors and the English words that its pieces go with; the inverted lists of the right sentences' words
+    and anchors give the pairs that share something, and only those are scored.  ``slot``: scratch of -1 for every word of the table."""
     if not left or not right:
         return []
-    shared, wl, wr = anchor_matrix(left, right)
-    vocabulary: dict[str, int] = {}
-    for _, _, words in right:
-        for w in words:
-            vocabulary.setdefault(w, len(vocabulary))
-    likely = np.zeros((len(left), len(vocabulary)))
-    place = vocabulary.get
-    for i, (_, _, grams) in enumerate(left):
-        row: dict[int, float] = {}
-        for f in grams:
-            for e, p in table.get(f, ()):
-                k = place(e)
-                if k is not None and p > row.get(k, 0.0):
-                    row[k] = p
-        if row:
-            likely[i, list(row)] = list(row.values())
-    has = np.zeros((len(vocabulary), len(right)))
-    for j, (_, _, words) in enumerate(right):
-        for w in words:
-            has[vocabulary[w], j] = LEARNED * min(weight.get(w, 1.0), 4.0) if w in weight else 0.2
-    learned, full = likely @ has, has.sum(0)
-    base = likely @ np.array([LEARNED * min(weight.get(w, 1.0), 4.0) if w in weight else 0.2 for w in vocabulary]) if vocabulary else np.zeros(len(left))
+    shared, wl, wr = anchor_lists(left, right)
+    n_right = len(right)
+    names: dict[str, int] = {}
+    mine = np.array([names.setdefault(w, len(names)) for _, _, words in right for w in words], np.int64)
+    at = np.repeat(np.arange(n_right), [len(words) for _, _, words in right])
+    known = np.array([table.word.get(w, -1) for w in names], np.int64)
+    value = np.where(known >= 0, table.value[known] if len(table.value) else 0.2, 0.2)
+    full = np.bincount(at, value[mine], n_right) if len(mine) else np.zeros(n_right)
+    order = np.argsort(mine, kind="stable")
+    lists, edges = at[order], np.searchsorted(mine[order], np.arange(len(names) + 1))
+    # The bag of a left sentence: of every word of this document that its pieces go with, the greatest probability.
+    get = table.piece.get
+    pieces = [[k for f in grams if (k := get(f)) is not None] for _, _, grams in left]
+    who = np.repeat(np.arange(len(left)), [len(p) for p in pieces])
+    row = np.fromiter((k for p in pieces for k in p), np.int64, len(who))
+    entry, spread = _ranges(table.start[row], table.start[row + 1])
+    slot[known[known >= 0]] = np.flatnonzero(known >= 0)
+    here = slot[table.goes[entry]]
+    slot[known[known >= 0]] = -1
+    there = here >= 0
+    key, chance = who[spread[there]] * max(1, len(names)) + here[there], table.likely[entry[there]]
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    bag = key[order][first]
+    own, word = bag // max(1, len(names)), bag % max(1, len(names))
+    gained = (np.maximum.reduceat(chance[order], first) if len(first) else np.zeros(0)) * value[word] if len(bag) else np.zeros(0)
+    base = np.bincount(own, gained, len(left)) if len(bag) else np.zeros(len(left))
+    post, spread = _ranges(edges[word], edges[word + 1])
+    meet = _table(shared, 3)
+    keys = np.concatenate([(meet[:, 0] * n_right + meet[:, 1]).astype(np.int64), own[spread] * n_right + lists[post]])
+    if not len(keys):
+        return []
+    pairs = Pairs(len(left), n_right, keys, [np.concatenate([meet[:, 2], np.zeros(len(post))]), np.concatenate([np.zeros(len(meet)), gained[spread]])])
+    together, learned = pairs.sums
+    gain = together + learned
     # Likely words of the left sentence that stand elsewhere in the document count against a partner without them.
-    top = 2 * shared + 2 * learned
-    down = wl[:, None] + wr[None, :] + full[None, :] + np.maximum(base[:, None], learned)
-    score = top / np.maximum(down, 1e-9)
-    for i, j in np.argwhere(score >= least).tolist():
+    down = wl[pairs.i] + wr[pairs.j] + full[pairs.j] + np.maximum(base[pairs.i], learned)
+    score = 2 * gain / np.maximum(down, 1e-9)
+    for p in np.flatnonzero(score >= least).tolist():
         for kind, penalty in (("#", 0.35), ("T", 0.2)):  # both count something, or name some thing, and not the same
-            a, b = ([x for x in side[k][1] if x[0] == kind] for side, k in ((left, i), (right, j)))
+            a, b = ([x for x in side[k][1] if x[0] == kind] for side, k in ((left, int(pairs.i[p])), (right, int(pairs.j[p]))))
             if a and b and not set(a) & set(b):
-                score[i, j] -= penalty
-    pairs = _mutual(score, least)
-    found = {(i, j): float(score[i, j]) for i, j in pairs}
+                score[p] -= penalty
+    chosen = pairs.mutual(score, least)
+    found = {(int(pairs.i[p]), int(pairs.j[p])): float(score[p]) for p in chosen}
     # What is left goes on among itself, more carefully.
-    free_i = [i for i in range(len(left)) if all(i != a for a, _ in found)]
-    free_j = [j for j in range(len(right)) if all(j != b for _, b in found)]
-    if free_i and free_j:
-        sub = score[np.ix_(free_i, free_j)]
-        for a, b in _mutual(sub, least + 0.08):
-            found[free_i[a], free_j[b]] = float(sub[a, b])
+    free = ~np.isin(pairs.i, pairs.i[chosen]) & ~np.isin(pairs.j, pairs.j[chosen])
+    if free.any():
+        for p in pairs.mutual(np.where(free, score, -1.0), least + 0.08):
+            found[int(pairs.i[p]), int(pairs.j[p])] = float(score[p])
     # Merges: a sentence left over beside a matched one.
-    gain = (shared + learned)
+    gains = dict(zip(pairs.key.tolist(), gain.tolist()))
+    scores = dict(zip(pairs.key.tolist(), score.tolist()))
     for side in (0, 1):
-        taken = {p[side] for p in found}
+        taken: dict[int, list[tuple[int, int]]] = {}
+        for p in found:
+            taken.setdefault(p[side], []).append(p)
         n = len(left) if side == 0 else len(right)
         for x in range(n):
             if x in taken:
                 continue
             for y in (x - 1, x + 1):
-                for i, j in [p for p in found if p[side] == y]:
+                for i, j in taken.get(y, ()):
                     own, partner = (x, j) if side == 0 else (i, x)
                     weight_own = wl[x] + base[x] if side == 0 else wr[x] + full[x]
                     other = (wr[j] + full[j]) if side == 0 else (wl[i] + base[i])
-                    joint = 2 * (gain[own, partner] + gain[i, j]) / max(1e-9, other + (wl[i] + base[i] if side == 0 else wr[j] + full[j]) + weight_own)
-                    if gain[own, partner] >= 0.6 * weight_own and joint > score[i, j] + 0.08 and gain[own, partner] + gain[i, j] <= 1.25 * other:
+                    mine, theirs = gains.get(own * len(right) + partner, 0.0), gains.get(i * len(right) + j, 0.0)
+                    joint = 2 * (mine + theirs) / max(1e-9, other + (wl[i] + base[i] if side == 0 else wr[j] + full[j]) + weight_own)
+                    if mine >= 0.6 * weight_own and joint > scores.get(i * len(right) + j, 0.0) + 0.08 and mine + theirs <= 1.25 * other:
                         found[own, partner] = float(joint)
     return sorted((i, j, s) for (i, j), s in found.items())
 
@@ -355,13 +417,14 @@ def align(docs: DataFrame, key: str, ja: str, en: str, glossary: DataFrame, most
     model = context.broadcast(learn(features))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weight = model.value
+        table = model.value
+        slot = np.full(max(1, len(table.word)), -1, np.int64)
         for batch in batches:
             at, jl, el, sc = [], [], [], []
             for k, blob in enumerate(batch.column(1).to_pylist()):
                 left, right = unpack(blob)
                 lines: dict[tuple[int, int], float] = {}
-                for i, j, s in align_document(left, right, table, weight):
+                for i, j, s in align_document(left, right, table, slot):
                     p = (left[i][0], right[j][0])
                     lines[p] = max(s, lines.get(p, 0.0))
                 for (x, y), s in lines.items():

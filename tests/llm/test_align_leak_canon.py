@@ -34,8 +34,8 @@ def test_every_word_of_a_piece_is_learned(spark):
     anchors = {"#11": 3.0, "Nrt": 1.5}
     words = [f"word{i}" for i in range(9)]
     read = spark.createDataFrame([(bytearray(pack([(1, anchors, ["灯籠"])], [(1, anchors, [w])])),) for w in words for _ in range(2)], "read binary")
-    table, _ = learn(read)
-    assert sorted(e for e, _ in table["灯籠"]) == words
+    table = learn(read)
+    assert sorted(table.of("灯籠")) == words and table.of("x") == {}
 
 
 def test_one_form():
