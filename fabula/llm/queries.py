@@ -92,9 +92,10 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of every chapter text."""
-    from .sentences import sentence_spans
+    from .sentences import fit_stripped, sentence_spans
 
-    df = sentence_spans(_t(spark, d, "chapter").select("id", "text_ja", "text_en", "text_zh"), "id", {"text_ja": True, "text_en": False, "text_zh": True})
+    ch = _t(spark, d, "chapter").select("id", "text_ja", "text_en", "text_zh")
+    df = sentence_spans(ch, "id", {"text_ja": True, "text_en": False, "text_zh": True}, fit_stripped(ch, "id", ["text_ja", "text_zh"]))
     return df.withColumnRenamed("id", "chapter_id")
 
 

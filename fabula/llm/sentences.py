@@ -6,9 +6,9 @@ tags it as *boundary* or *inside* while keeping track of the quotation depth, so
 that an ambiguous sign such as the straight double quote is opened or closed by
 what makes the whole chain most likely.  The probability of a boundary given an
 observation is counted on ``SEED``, a list of whole sentences, and on their
-concatenations.  For scripts or sources without punctuation,
-:class:`StrippedModel` is the same chain over every character, trained on
-sentences whose punctuation was stripped.
+concatenations.  For text without punctuation, :class:`StrippedModel` is the same
+chain over every character, trained on sentences whose punctuation was stripped;
+it cuts what is too long to be one sentence and holds no closing mark.
 
 Defined results: null, empty and all-blank texts have no sentence; a line without
 any letter or digit is none; an unclosed quotation is closed by a blank line (in
@@ -113,55 +113,55 @@ _NONE = -1e4
 
 #: Whole sentences, the training text of the chain (each line is one sentence).
 SEED = """\
-The old clerk closed the gate without a word.
-Dr. Amun paid 12.5 crowns to Mrs. Oba for the map.
-According to vol. 12, p. 4, the bell belonged to St. Ivo.
-J. R. Okan, as Belo soon learned, mended the kite at the pier.
-They arrived at the mill at 9 a.m.
-They waited, tired, hungry, etc.
-At 4 p.m. on the 12th, Capt. Rana hid the drum.
-It weighed 40.2 kg, i.e. more than Tovo could lift.
-Who would have thought so?
-It was Rana who burned the letter!
-He hesitated... then left the house.
-She could only stare at the lamp...
-"Is this yours?" asked Tovo.
-"Stop. The ice is thin. Don't move."
-“Stop. The ice is thin. Don't move.”
-“Leave it to me!” Rana shouted near the well.
-"Belo... Belo is gone," Tovo said outside.
-"Tovo vs. Mrs. Oba, round 12," read the notice at the gate.
-On page 7 of the ledger, entry 2.3.4 read "rope, sold".
-“Did he really say ‘never again’ about the lamp?” Oba wondered aloud.
-"Rana!!! The lamp!!! Run!!!"
-No. 4 on the list was Belo (the one who drew the bell).
-(Belo never admitted that Oba found the lamp.)
-[Note: this term has no close equivalent.]
-—¿Dónde está la lámpara? —preguntó Tovo en voz baja.
-« Où est la lampe ? » demanda Oba d'une voix basse.
-雨の夜、老人は門を閉めた。
-「これは君のものか？」と老人は尋ねた。
-「待て。氷が薄い。動くな。」
-『Lv.12！？　冗談だろう！』と老人が叫んだ。
-「老人！！！　鐘だ！！！　走れ！！！」
-老人はためらい……そして家を出た。
-彼は鐘を見つめるしかなかった……。
-名簿の四番は老人（鐘を描いた者）だった。
-（老人は鐘を見つけたことを認めなかった。）
-「老人対夫人、第3回戦」という張り紙があった。
-雨夜里，老人关上了门。
-“这是你的吗？”老人问。
-“等等。冰很薄。别动。”
-「Lv.12！？太荒唐了！」老人叫道。
-老人犹豫了……然后离开了家。
-他只能盯着那盏灯……
-“关于灯，他真的说过‘再也不会了。’吗？”老人疑惑地问。
-谁能想到老人找到了灯呢？
-名单上的第4号是老人（就是画下钟的那个人）。
-（老人从不承认找到了灯。）
-账本第7页写着“绳子，已售”。
-「등불을 어디에 두었지?」 하고 노인이 물었다.
-노인은 문을 닫았다."""
+It was the best of times for the farmers of the valley.
+Mr. Brown sold 3.75 tons of wheat to Dr. Green in March.
+See vol. 2, p. 118, of the report by Prof. Hill.
+A. B. White, who taught music, never came back.
+The shop opens at 8 a.m.
+She bought flour, sugar, butter, etc.
+By 7 p.m. on Sunday, Capt. Reed had left.
+The parcel was 2.5 kg, i.e. too heavy for the boy.
+Where did you put my keys?
+What a wonderful evening!
+He paused... and sat down again.
+If only I had known earlier...
+"Are you coming?" asked the nurse.
+"Sit down. The soup is hot. Don't spill it."
+“Sit down. The soup is hot. Don't spill it.”
+“Watch the road!” the driver yelled.
+"Well... I am not sure," she said.
+"City vs. United, second half," said the screen.
+Table 4.1.2 lists "iron, copper" as metals.
+“Did the teacher say ‘not today’ to you?” he wondered.
+"Fire!!! Everyone out!!! Now!!!"
+No. 12 was my uncle (the one with the red hat).
+(Nobody ever found the letter.)
+[This chapter was printed twice.]
+—¿Cuándo sale el tren? —preguntó la señora.
+« Avez-vous faim ? » demanda le garçon.
+春になると川の水が増える。
+「もう食べましたか？」と母が聞いた。
+「座って。熱いよ。こぼさないで。」
+『本当！？　信じられない！』と彼女が叫んだ。
+「火事だ！！！　早く！！！　外へ！！！」
+彼は少し考え……それから笑った。
+空を見上げるだけだった……。
+十二番は私の叔父（赤い帽子の人）だった。
+（その手紙は誰も読まなかった。）
+「第一部、春の歌」と表紙に書いてあった。
+春天来了，河水涨了。
+“你吃饭了吗？”妈妈问。
+“坐下。汤很烫。别洒了。”
+「真的！？我不信！」她喊道。
+他想了想……然后笑了。
+我们只好抬头看天……
+“老师真的说过‘今天不行。’吗？”他疑惑地问。
+谁把我的钥匙拿走了呢？
+十二号是我叔叔（戴红帽子的那位）。
+（那封信谁也没有读过。）
+封面上写着“春之歌，第一部”。
+「언제 떠나지?」 하고 아이가 물었다.
+봄이 오면 강물이 불어난다."""
 
 
 def _moves() -> np.ndarray:
@@ -265,6 +265,7 @@ def viterbi(sequences: list[np.ndarray], weights: np.ndarray = WEIGHTS) -> list[
 
 
 _WORD = re.compile(r"[^\W_]")
+_ANY_MARK = re.compile(_MARK)
 
 
 def segment_batch(texts: Iterable[str | None], every_line: Iterable[bool]) -> Iterator[tuple[int, str, list[tuple[int, int]], object]]:
@@ -314,22 +315,28 @@ def segment_batch(texts: Iterable[str | None], every_line: Iterable[bool]) -> It
         yield k, text, spans, where
 
 
-def sentence_spans(df: DataFrame, key: str, fields: dict[str, bool]) -> DataFrame:
+def sentence_spans(df: DataFrame, key: str, fields: dict[str, bool], stripped: dict[str, "StrippedModel"] | None = None) -> DataFrame:
     """One row per sentence of each text field of ``df``: ``key``, ``field_name``, ``start_pos``, ``end_pos`` (1-based code points).
 
-    ``fields`` maps a column to whether every line break ends a sentence there.  Repeated rows of a key count once.  Texts never leave the
-    tasks that read them; only the spans are shuffled, packed into one array per text.
+    ``fields`` maps a column to whether every line break ends a sentence there.  ``stripped`` gives fields a model for text without punctuation: a
+    sentence without a mark that is longer than nearly all (``StrippedModel.longest``) is cut by it.  Repeated rows of a key count once.  Texts
+    never leave the tasks that read them; only the spans are shuffled, packed into one array per text.
     """
     columns = list(fields)
+    sent = df.sparkSession.sparkContext.broadcast(stripped or {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = sent.value
         for batch in batches:
             ids = batch.column(0)
             for c, name in enumerate(columns):
                 rows, flat, sizes = [], [], []
-                for k, _, spans, where in segment_batch(batch.column(c + 1).to_pylist(), (fields[name] for _ in range(batch.num_rows))):
+                model = models.get(name)
+                for k, text, spans, where in segment_batch(batch.column(c + 1).to_pylist(), (fields[name] for _ in range(batch.num_rows))):
                     if not spans:
                         continue
+                    if model is not None and len(text) > model.longest and any(b - a > model.longest for a, b in spans):
+                        spans = [x for a, b in spans for x in model.recut(text, a, b)]
                     pos = np.asarray(spans, np.int64)
                     start, last = pos[:, 0], pos[:, 1] - 1
                     if where is not None:
@@ -346,6 +353,20 @@ def sentence_spans(df: DataFrame, key: str, fields: dict[str, bool]) -> DataFram
     return packed.select(key, "field_name", F.explode(F.expr("transform(sequence(0, size(spans) - 1, 2), i -> struct(spans[i] AS start_pos, spans[i + 1] AS end_pos))")).alias("s")).select(key, "field_name", "s.start_pos", "s.end_pos")
 
 
+def fit_stripped(df: DataFrame, key: str, fields: list[str], sample: int = 500, sentences: int = 4000) -> dict[str, "StrippedModel"]:
+    """A model for text without punctuation of each field, of at most ``sentences`` punctuated sentences of at most ``sample`` rows (smallest hash
+    of the key); fields without any get none."""
+    out = {}
+    for c in fields:
+        keys = df.where(F.length(c) > 0).select(key).orderBy(F.xxhash64(key), key).limit(sample).distinct()
+        texts = [r[0] for r in df.join(F.broadcast(keys), key, "left_semi").dropDuplicates([key]).orderBy(key).select(c).collect()]
+        lines = [text[a:b] for _, text, spans, _ in segment_batch(texts, [True] * len(texts)) for a, b in spans]
+        lines = [x for x in lines if re.search(_MARK + f"[{_CLOSE}]?$", x)][:sentences]
+        if lines:
+            out[c] = StrippedModel(lines)
+    return out
+
+
 class StrippedModel:
     """The boundary chain over every character, for text without punctuation.
 
@@ -372,6 +393,14 @@ class StrippedModel:
             self.ends[f] = float(np.log((at.get(f, 0) + 0.1) / (n_at + 1)) - np.log((inside.get(f, 0) + 0.1) / (n_in + 1)))
         self.prior = float(np.log(n_at / n_in))
         self.least = max(2, int(np.quantile([len(s) for s in lines], 0.02))) if lines else 2
+        #: Length that a sentence rarely has.
+        self.longest = int(1.5 * np.quantile([len(s) for s in lines], 0.995)) if lines else 1 << 30
+
+    def recut(self, text: str, a: int, b: int) -> list[tuple[int, int]]:
+        """The span [a, b) of a text, cut into sentences if it is too long for one and holds no closing mark."""
+        if b - a <= self.longest or _ANY_MARK.search(text, a, b):
+            return [(a, b)]
+        return [(a + x, a + y) for x, y in self.cut(text[a:b])] or [(a, b)]
 
     @staticmethod
     def strip(text: str) -> str:

@@ -76,3 +76,28 @@ def test_stripped_text():
         right, total, extra = right + len(got & ends), total + len(ends), extra + len(got - ends)
     assert right >= 0.98 * total and extra <= 0.02 * total
     assert model.cut("") == [] and model.cut(" ") == [] and StrippedModel([]).cut("ab") == [(0, 2)]
+
+
+def test_unpunctuated_lines_are_cut_by_the_stripped_model(spark):
+    import random
+
+    from fabula.llm.sentences import fit_stripped
+
+    rng = random.Random(2)
+    make = lambda: rng.choice(["老人", "船長", "番兵", "旅人"]) + "は" + rng.choice(["北門", "市場"]) + "で" + rng.choice(["灯籠", "手紙", "鏡"]) + rng.choice(["を売った", "を買った", "を隠した"])
+    rows = [(i, "。".join(make() for _ in range(8)) + "。") for i in range(100)]
+    lines = [[make() for _ in range(6)] for _ in range(20)]
+    rows += [(200 + i, "".join(x)) for i, x in enumerate(lines)] + [(300, make())]
+    df = spark.createDataFrame(rows, "id long, ja string")
+    got: dict = {}
+    for r in sentence_spans(df, "id", {"ja": True}, fit_stripped(df, "id", ["ja"])).collect():
+        got.setdefault(r["id"], []).append((r["start_pos"], r["end_pos"]))
+    right = 0
+    for i, x in enumerate(lines):
+        ends, at = set(), 0
+        for s in x:
+            at += len(s)
+            ends.add(at)
+        right += len({b for _, b in got[200 + i]} & ends)
+    assert right >= 0.95 * 120 and len(got[300]) == 1 and all(len(got[i]) == 8 for i in range(100))
+    assert fit_stripped(df.limit(0), "id", ["ja"]) == {}
