@@ -47,16 +47,18 @@ def number_missing(df: DataFrame, key: str, number: str, order: list[Column], mi
     return out.withColumn(number, new).select(*df.columns)
 
 
-def opening_middle_end(df: DataFrame, key: str, order: list[Column], text: str, ident: str = "id") -> DataFrame:
-    """(key, text): the only row's text, both of two, else the first, middle and last joined by a blank line.  Rows repeated under one ``ident`` count once.
+def opening_middle_end(df: DataFrame, key: str, order: list[Column], text: str) -> DataFrame:
+    """(key, text): the only row's text, both of two, else the first, middle and last joined by a blank line.  Rows repeated under one ``id`` (without that
+    column: in all columns but the text) count once.
 
     The rows are ranked without their texts; only the picked ones' texts are read into the groups, three at most.
     """
     keys = df.drop(text).distinct()
+    on = [key, "id"] if "id" in keys.columns else keys.columns
     sizes = keys.groupBy(key).agg(F.count("*").alias("_n"))
     ranked = keys.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).join(sizes, key)
-    picked = ranked.where((F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1) | ((F.col("_n") >= 3) & (F.col("_i") == F.floor(F.col("_n") / 2)))).select(key, ident, "_i")
-    texts = picked.join(df.select(ident, text), ident).dropDuplicates([ident])
+    picked = ranked.where((F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1) | ((F.col("_n") >= 3) & (F.col("_i") == F.floor(F.col("_n") / 2)))).select(*on, "_i")
+    texts = picked.join(df.select(*on, text), on).dropDuplicates(on)
     return texts.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_i", text))), lambda x: x[text]), "\n\n").alias(text))
 
 
