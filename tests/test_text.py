@@ -1,8 +1,9 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from fabula.functions import metrics as M
 from fabula.functions import text as T
-from fabula.functions.vectors import cosine, match_percent, percentile, pool, unit
+from fabula.functions.vectors import cosine, match_percent, percentile, percentile_sql, pool, unit
 
 
 def one(spark, value, column, kind="string"):
@@ -73,6 +74,13 @@ def test_percentile(spark):
     assert p(0.0) == 0.05 and p(9.0) == 0.95 and p(0.48, "en_ttr") == 0.5
 
 
+def test_percentile_at_a_half_as_in_sql(spark):
+    values = [(round(k / n, 9),) for n in (23, 48, 72) for k in range(n + 1)]
+    got = spark.createDataFrame(values, "x double").select("x", percentile("kanji_ratio", F.col("x"))).collect()
+    sql = dict(duckdb.execute(f"SELECT x, {percentile_sql('kanji_ratio', 'x')} FROM (SELECT unnest(?) AS x)", [[v for v, in values]]).fetchall())
+    assert {r[0]: r[1] for r in got} == sql and sql[0.319444444] == 0.4988
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0], [4.0, 3.0])], "a array<double>, z array<double>, b array<double>")
     r = df.select(unit(F.col("a")), unit(F.col("z")), cosine(F.col("a"), F.col("z")), cosine(F.col("a"), F.col("b")), pool([F.col("a"), F.col("b")], [0.5, 0.25]), match_percent(F.lit(0.3), 200)).first()
