@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,39 @@ def test_top_matches_against_brute_force(spark):
     assert whole == split and len(whole) == 50 and all(k[0] != v[0] for k, v in whole.items())
     online = S.top_matches(works, F.col("id") < 10, block=16).collect()
     assert len(online) == 50 and all(0 <= r[f] <= 1 for r in online for f in S.FACTORS)
+
+
+def _block(n, seed, low=0.0):
+    rng = np.random.default_rng(seed)
+    style = np.round(rng.random((n, 8)), 1) * (low or 1)
+    genres = [[["horror"], ["drama", "horror"], [], ["romance", "drama", "drama"]][i] for i in rng.integers(0, 4, n)]
+    style[rng.random(n) < 0.3] = style[0]  # equal works
+    return pa.table({"id": rng.permutation(n), "style": style.tolist(), "genres": pa.array(genres, pa.list_(pa.string()))})
+
+
+@pytest.mark.parametrize("low", [1.0, 1e-3])
+def test_rough_pool_against_brute_force(low):
+    x = _block(2500, 3, low)
+    q = x.slice(0, 140)
+    style, genres, ids = np.array(x["style"].to_pylist()), x["genres"].to_pylist(), x["id"].to_pylist()
+    want = []
+    for i in range(140):
+        got = []
+        for j in range(2500):
+            bonus = 0.5 if genres[i] and genres[i][0] in genres[j] else 0.25 if set(genres[i]) & set(genres[j]) else 0.0
+            cos = style[i] @ style[j] / (np.linalg.norm(style[i]) * np.linalg.norm(style[j]) + 1e-9)
+            got.append((-round(0.6 * bonus + 0.4 * cos, 12), ids[j]))
+        want += [(ids[i], m) for _, m in sorted(g for g in got if g[1] != ids[i])[:40]]
+    got = S.rough_pool(q, x, 40)
+    assert list(zip(got["id"].to_pylist(), got["match"].to_pylist())) == want
+    assert S.rough_pool(q, x.slice(0, 0), 40).num_rows == S.rough_pool(q.slice(0, 0), x, 40).num_rows == 0
+
+
+def test_equal_rough_scores_go_to_the_smaller_id(spark):
+    """The same values in another order: sums differ in their last bits only, which SQL rounds away."""
+    rng = np.random.default_rng(5)
+    values = [0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9]
+    rows = [(i, "", [], [], "unknown", [0.3] * 8 if i == 0 else rng.permutation(values).tolist(), None) for i in range(60)]
+    works = spark.createDataFrame(rows, "id long, title string, genres array<string>, tags array<string>, territory string, style array<double>, concept array<double>")
+    for titles in (False, True):
+        assert sorted(r["match"] for r in S.top_matches(works, F.col("id") == 0, pool=5, titles=titles).collect()) == [1, 2, 3, 4, 5]
