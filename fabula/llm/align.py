@@ -26,6 +26,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -190,6 +191,13 @@ def unpack(blob: bytes) -> list[list]:
     return [[(line, anchors, words.split(" ") if words else []) for line, anchors, words in side] for side in marshal.loads(blob)]
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Positions at which a sorted array has another value than before."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new.nonzero()[0]
+
+
 class Pairs:
     """Sentence pairs of a document that share something, found through inverted lists: (left, right) numbers with what they share of each kind."""
 
@@ -197,7 +205,7 @@ class Pairs:
         """``keys``: left * n_right + right of every meeting in a list, ``weights``: arrays of what it adds."""
         self.n_left, self.n_right = n_left, n_right
         order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        first = _firsts(keys[order])
         self.key = keys[order][first]
         self.i, self.j = self.key // max(1, n_right), self.key % max(1, n_right)
         self.sums = [np.add.reduceat(w[order], first) if len(first) else np.zeros(0) for w in weights]
@@ -208,7 +216,7 @@ class Pairs:
         sides = []
         for own, n in ((self.i, self.n_left), (self.j, self.n_right)):
             order = np.lexsort((self.key, -score, own))
-            first = np.flatnonzero(np.diff(own[order], prepend=-1))
+            first = _firsts(own[order])
             best = np.full(n, -1)
             best[own[order][first]] = order[first]
             sides.append(best)
@@ -237,7 +245,7 @@ def anchor_lists(left: list, right: list) -> tuple[list[tuple[int, int, float]],
 
 
 def _table(rows: list, width: int) -> np.ndarray:
-    return np.array(rows, np.float64).reshape(-1, width)
+    return np.fromiter(chain.from_iterable(rows), np.float64, width * len(rows)).reshape(-1, width)
 
 
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,18 +341,18 @@ def align_document(left: list, right: list, table: Table, slot: np.ndarray, leas
     order = np.argsort(mine, kind="stable")
     lists, edges = at[order], np.searchsorted(mine[order], np.arange(len(names) + 1))
     # The bag of a left sentence: of every word of this document that its pieces go with, the greatest probability.
-    get = table.piece.get
-    pieces = [[k for f in grams if (k := get(f)) is not None] for _, _, grams in left]
-    who = np.repeat(np.arange(len(left)), [len(p) for p in pieces])
-    row = np.fromiter((k for p in pieces for k in p), np.int64, len(who))
+    who = np.repeat(np.arange(len(left)), [len(grams) for _, _, grams in left])
+    row = np.fromiter(map(table.piece.get, chain.from_iterable(grams for _, _, grams in left), repeat(-1)), np.int64, len(who))
+    who, row = who[row >= 0], row[row >= 0]
     entry, spread = _ranges(table.start[row], table.start[row + 1])
-    slot[known[known >= 0]] = np.flatnonzero(known >= 0)
+    mapped = (known >= 0).nonzero()[0]
+    slot[known[mapped]] = mapped
     here = slot[table.goes[entry]]
-    slot[known[known >= 0]] = -1
+    slot[known[mapped]] = -1
     there = here >= 0
     key, chance = who[spread[there]] * max(1, len(names)) + here[there], table.likely[entry[there]]
     order = np.argsort(key, kind="stable")
-    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    first = _firsts(key[order])
     bag = key[order][first]
     own, word = bag // max(1, len(names)), bag % max(1, len(names))
     gained = (np.maximum.reduceat(chance[order], first) if len(first) else np.zeros(0)) * value[word] if len(bag) else np.zeros(0)
@@ -360,15 +368,19 @@ def align_document(left: list, right: list, table: Table, slot: np.ndarray, leas
     # Likely words of the left sentence that stand elsewhere in the document count against a partner without them.
     down = wl[pairs.i] + wr[pairs.j] + full[pairs.j] + np.maximum(base[pairs.i], learned)
     score = 2 * gain / np.maximum(down, 1e-9)
-    for p in np.flatnonzero(score >= least).tolist():
-        for kind, penalty in (("#", 0.35), ("T", 0.2)):  # both count something, or name some thing, and not the same
-            a, b = ([x for x in side[k][1] if x[0] == kind] for side, k in ((left, int(pairs.i[p])), (right, int(pairs.j[p]))))
-            if a and b and not set(a) & set(b):
-                score[p] -= penalty
+    likely = np.flatnonzero(score >= least)
+    for kind, penalty in (("#", 0.35), ("T", 0.2)):  # both count something, or name some thing, and not the same
+        a, b = ([{x for x in anchors if x[0] == kind} for _, anchors, _ in side] for side in (left, right))
+        if any(a) and any(b):
+            for p, i, j in zip(likely.tolist(), pairs.i[likely].tolist(), pairs.j[likely].tolist()):
+                if a[i] and b[j] and a[i].isdisjoint(b[j]):
+                    score[p] -= penalty
     chosen = pairs.mutual(score, least)
     found = {(int(pairs.i[p]), int(pairs.j[p])): float(score[p]) for p in chosen}
     # What is left goes on among itself, more carefully.
-    free = ~np.isin(pairs.i, pairs.i[chosen]) & ~np.isin(pairs.j, pairs.j[chosen])
+    taken_i, taken_j = np.zeros(len(left), bool), np.zeros(n_right, bool)
+    taken_i[pairs.i[chosen]] = taken_j[pairs.j[chosen]] = True
+    free = ~(taken_i[pairs.i] | taken_j[pairs.j])
     if free.any():
         for p in pairs.mutual(np.where(free, score, -1.0), least + 0.08):
             found[int(pairs.i[p]), int(pairs.j[p])] = float(score[p])

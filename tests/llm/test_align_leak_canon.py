@@ -136,3 +136,10 @@ def test_leaks(spark):
     assert sorted({(r["doc_id"], r["item_id"]) for r in pieces.collect()}) == got
     assert allowed(["a"] * 13) == 2 and allowed(["字"] * 40) == 3 and allowed(["a"]) == 0
     assert leaks(df, "doc_id", "text", spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_firsts_of_sorted_numbers():
+    from fabula.llm.align import _firsts
+
+    for x in ([], [0], [3, 3], [0, 0, 1, 4, 4, 4, 9]):
+        assert _firsts(np.array(x, np.int64)).tolist() == [i for i in range(len(x)) if i == 0 or x[i] != x[i - 1]]
