@@ -143,3 +143,68 @@ def test_firsts_of_sorted_numbers():
 
     for x in ([], [0], [3, 3], [0, 0, 1, 4, 4, 4, 9]):
         assert _firsts(np.array(x, np.int64)).tolist() == [i for i in range(len(x)) if i == 0 or x[i] != x[i - 1]]
+
+
+def _documents(n):
+    rng = random.Random(7)
+    anchors = lambda: {a: 3.0 if a[0] == "#" else 1.5 for a in rng.sample(["#11", "#12", "Nrt", "Nkm", "T1", "T2"], rng.randint(0, 3))}
+    side = lambda kind: [(k + 1, anchors(), rng.sample([f"{kind}{i}" for i in range(12)], rng.randint(0, 5))) for k in range(rng.randint(0, 7))]
+    return [(side("p"), side("w")) for _ in range(n)]
+
+
+def test_documents_of_a_lot_match_as_alone():
+    import sys
+
+    from fabula.llm.align import Lot, Table, align_lot
+
+    table = Table([(f"p{i}", f"w{j}", 0.3 + 0.05 * i) for i in range(12) for j in (i, (i + 1) % 12)], {f"w{j}": 1.0 + j % 3 for j in range(11)})
+    slot = np.full(len(table.word), -1, np.int64)
+    blobs = [pack(*d) for d in _documents(300)]
+    want = []
+    for d, blob in enumerate(blobs):
+        want += [(d, i, j, s) for i, j, s in sorted(zip(*(x.tolist() for x in align_lot(Lot([blob]), table, slot))))]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        lot = Lot(blobs)
+        i, j, score = align_lot(lot, table, slot)
+    finally:
+        sys.setprofile(None)
+    d = lot.doc[0][i]
+    assert sorted(zip(d.tolist(), (i - lot.start[0][d]).tolist(), (j - lot.start[1][d]).tolist(), score.tolist())) == want and len(want) > 300
+    assert calls < 30 * len(blobs)  # the work of a document is done in arrays of many
+
+
+def test_mutual_best():
+    from fabula.llm.align import Pairs
+
+    rng = random.Random(8)
+    for n in range(60):
+        met = [(rng.randrange(5), rng.randrange(6), rng.choice([0.5, 1.0, 1.5])) for _ in range(n)]
+        pairs = Pairs(5, 6, *(np.array([m[k] for m in met], np.int64) for k in (0, 1)))
+        total = {}
+        for i, j, w in met:
+            total[i, j] = total.get((i, j), 0) + w
+        score = pairs.total(np.array([m[2] for m in met], float))
+        assert dict(zip(zip(pairs.i.tolist(), pairs.j.tolist()), score.tolist())) == total
+        for lead in (0.0, 0.6):
+            want = []
+            for i, j in sorted(total):
+                row, column = ([p for p in sorted(total) if p[side] == (i, j)[side]] for side in (0, 1))
+                if all(max(s, key=lambda p: (total[p], -p[0], -p[1])) == (i, j) for s in (row, column)) and total[i, j] >= 1:
+                    if not lead or sum(total[p] > total[i, j] - lead for p in row + column) == 2:
+                        want.append((i, j))
+            got = pairs.mutual(score, 1.0, lead)
+            assert list(zip(pairs.i[got].tolist(), pairs.j[got].tolist())) == want
+
+
+def test_a_long_document_is_counted_in_parts(spark):
+    side = lambda kind, n: [(k, {f"#{100 + k}": 3.0}, [f"{kind}{x}" for x in range(n)]) for k in range(30)]
+    read = spark.createDataFrame([(bytearray(pack(side("p", 200), side("w", 150))),)], "read binary")
+    table = learn(read)
+    assert len(table.piece) == 200 and len(table.word) == 150 and len(table.goes) == 200 * 150
